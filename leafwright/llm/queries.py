@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bayes_svm, packing, simhash
+from . import bayes_svm, html_text, packing, simhash, warc
 from .common import table
 
 
@@ -12,6 +12,15 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4, size=4)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"), warc.shared_path(spark, "warc"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bayes_svm.score(docs, bayes_svm.train(docs, table(spark, sf_dir, "labels")))
@@ -25,8 +34,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op6_html_extraction": op6_html_extraction,
+    "op7_warc_index_merge": op7_warc_index_merge,
     "op8_quality_classifier": op8_quality_classifier,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_warc_index_merge": """
+        with p as (
+            select page_id, coalesce(html, '') as h, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest
+            from pages
+        ), f as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by 1)
+        select page_id, payload_bytes, p.payload_digest,
+            case when page_id > first then 'revisit' else 'response' end as record_type,
+            case when page_id > first then first end as refers_to
+        from p left join f on f.payload_digest = p.payload_digest""",
+}
