@@ -32,7 +32,7 @@ UNITS = frozenset(
 )
 NUMBER = re.compile(rb"[+-]?[0-9][0-9.,:/]*")
 MEASURE = re.compile(rb"([+-]?[0-9][0-9.,:/]*)([a-z%][a-z/%]*)")
-EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u201e\u2026"
 ENDS, NUM, NAME, UNIT = 1, 2, 4, 8  # flags of a word; ENDS: it ends a sentence
 NOTHING = 16
 SLOTS = np.uint64([0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D])  # hashes of the placeholders
@@ -47,9 +47,9 @@ class Words(dict):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
-        core = word.strip(EDGE)
+        core = word.decode("utf-8", "replace").strip(EDGE)
         flags = ENDS if word.rstrip(b"\"')]}*#$&%")[-1:] in (b".", b"!", b"?", b":") else 0
-        low = core.lower()
+        low = core.lower().encode()
         if not core:
             flags |= NOTHING
             if word == b"%":
@@ -112,8 +112,11 @@ class Index:
             telling = np.convolve(~slots, np.ones(width, int), "valid") >= min(2, width)
             if not telling.any():
                 continue
-            for at, h in zip(np.flatnonzero(telling), windows(template, width)[telling]):
-                found.setdefault(width, []).append((int(h), len(index.items), int(at)))
+            # With names as words too: a copy in one case all through shows no names.
+            caseless = np.where(template == SLOTS[1], plain, template)
+            for form in (template, caseless):
+                for at, h in zip(np.flatnonzero(telling), windows(form, width)[telling]):
+                    found.setdefault(width, set()).add((int(h), len(index.items), int(at)))
             index.items.append((item, plain, slots, width, int(telling.sum())))
         for width, entries in found.items():
             h, item, at = zip(*sorted(entries))
