@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,15 +13,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` to the folder that all machines share and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: the session's ``spark.checkpoint.dir``, or where that is unset (local runs, tests) one of our own."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafwright-"))
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return held.get()
 
-    The folder is the session's ``spark.checkpoint.dir``; a folder of our own is
-    made only where that is unset (local runs and tests).
-    """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafwright-"))
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder and read it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bayes_svm, decontaminate, html_text, packing, pii, simhash, warc
-from .common import table
+from .common import shared_path, table
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.round_trip(table(spark, sf_dir, "pages"), warc.shared_path(spark, "warc"))
+    found = warc.round_trip(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -208,8 +207,3 @@ def round_trip(pages: DataFrame, path: str, least: int = LEAST) -> DataFrame:
     write(records(pages, least), path)
     return merged(saved(read(spark, path)))
 
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under the folder that all machines share."""
-    saved(spark.range(1))  # sets the folder where the session names none
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
