@@ -1,12 +1,61 @@
-"""A corpus pipeline of five stages: each works on what the one before it kept."""
+"""A corpus pipeline: quality classifier, SimHash near-dedup, benchmark decontamination, PII, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it
+kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafwright.llm import bayes_svm, decontaminate, packing, pii, simhash
+from leafwright.llm.common import shared_path, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts as good; it is fitted on the labelled ones among ``docs``."""
+    return bayes_svm.accepted(docs, bayes_svm.train(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest doc_id."""
+    return simhash.keep_one(docs, radius=4, size=4)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data masked in their texts."""
+    return pii.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("PII", personal_data),
+    ("packing", pack),
+]
 
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages on documents; each result but the last is written to the shared folder and read again."""
+    docs, path = table(spark, sf_dir, "documents"), shared_path(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{path}/{k}")
+            docs = spark.read.parquet(f"{path}/{k}")
+    return docs
