@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bayes_svm, decontaminate, html_text, packing, pii, simhash, warc
+from . import bayes_svm, decontaminate, html_text, packing, pii, simhash, substring, warc
 from .common import shared_path, table
 
 
@@ -34,6 +34,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bayes_svm.score(docs, bayes_svm.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op6_html_extraction": op6_html_extraction,
     "op7_warc_index_merge": op7_warc_index_merge,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
 }
 
