@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bayes_svm, decontaminate, html_text, packing, pii, simhash, substring, warc
+from . import bayes_svm, decontaminate, html_text, packing, pii, quality_rules, simhash, substring, warc
 from .common import shared_path, table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents")).select(*quality_rules.CONTRACT)
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4, size=4)
 
@@ -45,6 +49,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_pii": op5_pii,
@@ -56,6 +61,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality_rules.oracle(),
     "op7_warc_index_merge": """
         with p as (
             select page_id, coalesce(html, '') as h, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest
