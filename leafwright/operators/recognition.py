@@ -85,7 +85,7 @@ def page_text(lines: DataFrame) -> DataFrame:
     key = F.struct(F.floor(F.col("bbox.y0") / 20).alias("band"), F.col("bbox.x0").alias("x"), "line_id", cleaned(F.col("text")).alias("t"))
     return lines.groupBy("doc_id", "page_no").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda v: v.t), "\n").alias("text"),
-        F.bround(F.avg("conf"), 2).alias("mean_conf"), F.bround(F.min("conf"), 2).alias("min_conf"), F.count("*").alias("lines_kept"),
+        F.bround(F.round(F.avg("conf"), 9), 2).alias("mean_conf"), F.bround(F.min("conf"), 2).alias("min_conf"), F.count("*").alias("lines_kept"),
     )
 
 

@@ -249,7 +249,7 @@ def keyword_triage(spark, d):
     return few.select("doc_id", F.explode("few").alias("x")).select("doc_id", "x.page_no", (-F.col("x.p")).alias("priority"))
 
 
-PAIRS = "with f as (select source, doc_id, left(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), 200) as t from documents qualify row_number() over (partition by source order by doc_id) <= 3)"
+PAIRS = r"with f as (select source, doc_id, left(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), 200) as t from documents qualify row_number() over (partition by source order by doc_id) <= 3)"
 
 
 def _pairs(spark, d):
