@@ -111,6 +111,8 @@ def main_text(html: str | None, sigma: float = 1.0, factor: float = 0.5) -> str:
     """The article's blocks, in order, with two newlines between; empty if there is none."""
     parser = Lines()
     parser.feed(html or "")
+    if parser.rawdata.startswith("<!--"):  # a comment that never ends is no text
+        parser.rawdata = ""
     parser.close()
     parser.cut()
     lines = [(" ".join("".join(parts).split()), tags, path, furniture) for parts, tags, path, furniture in parser.lines]
