@@ -76,18 +76,9 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30))))
 
 
-def _hinge(rows: list[np.ndarray], y: np.ndarray, width: int, alpha: float, c: float, rounds: int, seed: int) -> tuple[np.ndarray, float]:
-    """Weights of indicators (log ratios included) and bias, by dual coordinate descent."""
-    up, down = (y > 0).sum(), (y < 0).sum()
-    counts = {s: np.full(width, alpha) for s in (1, -1)}
-    for x, s in zip(rows, y):
-        counts[int(s)][x] += 1
-    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[-1] / counts[-1].sum())
-    ratio[(counts[1] + counts[-1]) < 2 * alpha + 2] = 0.0  # seen once: says nothing about other texts
-    # With a unit for the bias, the dual step of row i needs its squared length.
-    values = [ratio[x] / np.sqrt(max(1, len(x))) for x in rows]
+def descend(rows, values, y: np.ndarray, cost: np.ndarray, width: int, rounds: int, seed: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and dual variables of the hinge loss by dual coordinate descent; the bias is one more weight, of a unit value."""
     square = np.array([v @ v for v in values]) + 1.0
-    cost = np.where(y > 0, c * len(y) / (2 * up), c * len(y) / (2 * down))
     w, b, dual = np.zeros(width), 0.0, np.zeros(len(y))
     order = np.random.default_rng(seed)
     for _ in range(rounds):
@@ -100,6 +91,20 @@ def _hinge(rows: list[np.ndarray], y: np.ndarray, width: int, alpha: float, c: f
                 w[x] += step * v
                 b += step
                 dual[i] = new
+    return w, b, dual
+
+
+def _hinge(rows: list[np.ndarray], y: np.ndarray, width: int, alpha: float, c: float, rounds: int, seed: int) -> tuple[np.ndarray, float]:
+    """Weights of indicators (log ratios included) and bias, by dual coordinate descent."""
+    up, down = (y > 0).sum(), (y < 0).sum()
+    counts = {s: np.full(width, alpha) for s in (1, -1)}
+    for x, s in zip(rows, y):
+        counts[int(s)][x] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[-1] / counts[-1].sum())
+    ratio[(counts[1] + counts[-1]) < 2 * alpha + 2] = 0.0  # seen once: says nothing about other texts
+    values = [ratio[x] / np.sqrt(max(1, len(x))) for x in rows]
+    cost = np.where(y > 0, c * len(y) / (2 * up), c * len(y) / (2 * down))
+    w, b, _ = descend(rows, values, y, cost, width, rounds, seed)
     return w * ratio, b
 
 
