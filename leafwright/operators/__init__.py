@@ -1 +1,3 @@
 """Operators: DataFrames in, DataFrames out."""
+
+from . import endpoints  # noqa: F401 - registers its engines

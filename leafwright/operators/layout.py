@@ -186,6 +186,11 @@ def crop_plan(blocks: DataFrame, cropped: Column | None = None) -> DataFrame:
     return rows.select("doc_id", "x.page_no", "x.block_idx", "crop_no", F.format_string("page%04d_crop%03d_%s.png", "x.page_no", "crop_no", "x.label").alias("name"))
 
 
+def output_path(stem: Column, suffix: Column, extension: Column) -> Column:
+    """``stem_output/stem[_suffix].extension``."""
+    return F.concat(stem, F.lit("_output/"), F.concat_ws("_", stem, F.nullif(suffix, F.lit(""))), F.lit("."), extension)
+
+
 def layout_report(blocks: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """(doc_id, status, total_blocks, total_crops, errors, exit_code)."""
     counts = blocks.groupBy("doc_id").agg(F.count("*").alias("total_blocks"), F.count_if(F.col("label").isin(*CROPPED)).alias("total_crops"))

@@ -233,6 +233,34 @@ def block_census(spark, d):
     return _blocks(spark, d).groupBy("label").agg(F.count("*").alias("blocks"), F.count_if(F.col("score") < 0.5).alias("weak"))
 
 
+@query(
+    """with b as (select page_id, k, ['header', 'title', 'display_formula', 'formula_number', 'text', 'text'][k + 1] as label, case when k = 4 and page_id % 3 = 0 then '  ' else ' ' || url || k || ' ' end as content,
+        case when k = 5 then '' else 'bbox=[' || k || ', ' || (2 * k) || ', ' || (k + 9) || ', ' || (page_id % 50) || ']' end as box from pages, range(6) r(k)),
+    p as (select page_id, k, case label when 'header' then '<!-- ' || box || ' -->' || chr(10) || '### ' || trim(content) when 'title' then '<!-- ' || box || ' -->' || chr(10) || '## ' || trim(content)
+        when 'display_formula' then '$$' || trim(content) || '$$ <!-- ' || box || ' -->' when 'formula_number' then '(' || trim(content) || ') <!-- ' || box || ' -->' else trim(content) || ' <!-- ' || box || ' -->' end as s
+        from b where trim(content) <> '')
+    select page_id as doc_id, 1 as page_no, string_agg(s, chr(10) || chr(10) order by k) as text from p group by 1"""
+)
+def vl_render(spark, d):
+    k = F.col("block_idx")
+    rows = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page_no"), "url", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("block_idx"))
+    label = F.get(F.array(*map(F.lit, ("header", "title", "display_formula", "formula_number", "text", "text"))), k)
+    content = F.when((k == 4) & (F.col("doc_id") % 3 == 0), "  ").otherwise(F.concat(F.lit(" "), "url", k.cast("string"), F.lit(" ")))
+    box = F.when(k == 5, F.array().cast("array<int>")).otherwise(F.array(k, 2 * k, k + 9, (F.col("doc_id") % 50).cast("int")))
+    return layout.vl_markdown(rows.select("doc_id", "page_no", "block_idx", label.alias("label"), content.alias("content"), box.alias("bbox")))
+
+
+@query(
+    """select p_partkey, (case when k = 0 then 'd' || p_partkey || '_output/d' || p_partkey || '_p1-3.md' when k = 1 then 'd' || p_partkey || '_output/d' || p_partkey || '.txt' else 'd' || p_partkey || '_output/d' || p_partkey || '_p2.html' end) as path
+    from (select p_partkey, p_partkey % 3 as k from part)"""
+)
+def output_names(spark, d):
+    k = F.col("p_partkey") % 3
+    suffix = F.when(k == 0, "p1-3").when(k == 1, "").otherwise("p2")
+    extension = F.when(k == 0, "md").when(k == 1, "txt").otherwise("html")
+    return table(spark, d, "part").select("p_partkey", layout.output_path(F.concat(F.lit("d"), F.col("p_partkey").cast("string")), suffix, extension).alias("path"))
+
+
 @query()
 def recognise_double(spark, d):
     """The engine boundary with the test double, which decodes bytes and is no recogniser."""
