@@ -131,12 +131,12 @@ def blocks(texts: pa.Array, most: int = 16 << 20):
         start = stop
 
 
-def pack(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 1024, piece: int = 256, pool: int = 512) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 1024, piece: int = 256, pool: int = 1024) -> DataFrame:
     """One row for each piece, columns as in ``SCHEMA``; ``vocabulary``: path of the ranks file.
 
-    What is left of a document after its whole windows is cut into equal pieces
-    of ``piece`` ids at most, which differencing can balance well; a pool has
-    ``pool`` pieces. A null or empty text is the single id 0. Rows with a null
+    What is left of a document after its whole windows is cut into pieces of
+    ``piece`` ids and one of what remains, sizes that differencing can balance
+    well; a pool has about ``pool`` pieces. A null or empty text is the single id 0. Rows with a null
     doc_id or a repeated one are packed as documents of their own. Sequence ids
     are unique: the task's partition is in the high bits. Other columns are not
     read. An empty table gives no rows.
@@ -174,10 +174,8 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 1024, p
                     for start in range(0, whole, capacity):
                         rows.append((doc, start, capacity, zlib.crc32(data[4 * start : 4 * (start + capacity)]), total, base + made, 0))
                         made += 1
-                    rest = total - whole
-                    n = -(-rest // piece)
-                    for k in range(n):
-                        a, b = whole + rest * k // n, whole + rest * (k + 1) // n
+                    for a in range(whole, total, piece):
+                        b = min(a + piece, total)
                         held.append((doc, a, b - a, zlib.crc32(data[4 * a : 4 * b]), total))
                     if len(held) >= pool:
                         flush()
