@@ -15,13 +15,12 @@ TRIES = 3
 
 def detector_size(h: Column, w: Column) -> Column:
     """struct(h, w): short sides grown to 736, long ones then cut to 4000, both rounded half-even to multiples of 32."""
-    short, long = F.least(h, w), F.greatest(h, w)
+    short = F.least(h, w)
     grow = F.when(short < SHORT_SIDE, F.lit(float(SHORT_SIDE)) / short).otherwise(1.0)
     h1, w1 = F.floor(h * grow), F.floor(w * grow)
     most = F.greatest(h1, w1)
     cut = F.when(most > LONG_SIDE, F.lit(float(LONG_SIDE)) / most).otherwise(1.0)
     side = lambda x: F.greatest(F.bround(F.floor(x * cut) / F.lit(float(STEP)), 0).cast("int") * STEP, F.lit(STEP))
-    del long
     return F.struct(side(h1).alias("h"), side(w1).alias("w"))
 
 
@@ -104,7 +103,7 @@ def register(name: str):
 
 
 @register("double")
-def _double(options: dict) -> Recogniser:
+def double(options: dict) -> Recogniser:
     """A test double: it "reads" an image by decoding its bytes as UTF-8. It is no recogniser."""
 
     def recognise(image: bytes, prompt: str = "") -> tuple[str, dict]:
@@ -153,3 +152,29 @@ def recognise(images: DataFrame, engine: str, options: dict | None = None, tries
             )
 
     return images.select(F.col("doc_id").cast("long"), F.col("page_no").cast("int"), F.col("image").cast("binary")).mapInArrow(run, "doc_id long, page_no int, text string, error string, tries int")
+
+
+def recognise_documents(images: DataFrame, engine: str, options: dict | None = None) -> DataFrame:
+    """(doc_id, pages, text, error): all pages of a document in one request, in page order; the engine gets their images as a list.
+
+    A document's images are in one row, as the request has them; ask for page ranges where documents are long.
+    """
+    import pandas as pd
+
+    factory, options = ENGINES[engine], dict(options or {})
+
+    def run(batches):
+        read = factory(options)
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                try:
+                    text, stats = read([bytes(i) for i in r.images], options.get("prompt", ""))
+                    out.append((r.doc_id, list(r.pages), text, stats.get("error")))
+                except Exception as e:  # noqa: BLE001 - an engine's failure is data
+                    out.append((r.doc_id, list(r.pages), "", f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["doc_id", "pages", "text", "error"])
+
+    held = F.array_sort(F.collect_list(F.struct("page_no", "image")))
+    rows = images.groupBy("doc_id").agg(held.alias("h")).select("doc_id", F.col("h.page_no").alias("pages"), F.col("h.image").alias("images"))
+    return rows.mapInPandas(run, "doc_id long, pages array<int>, text string, error string")

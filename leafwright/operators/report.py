@@ -31,6 +31,11 @@ def run_report(pages: DataFrame) -> DataFrame:
     return total.join(each, "doc_id", "left").select("doc_id", F.when(F.col("issues").isNull(), "ok").otherwise("warn").alias("status"), "total_time", "pages", "issues")
 
 
+def as_json(df: DataFrame) -> DataFrame:
+    """(json): rows as JSON objects; fields that are null are left out."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
+
+
 def request_fault(engine: Column, source: Column, dpi: Column, output_dir: Column) -> Column:
     """The first fault of a request, or null; dpi comes as text."""
     number = dpi.try_cast("int")

@@ -35,3 +35,23 @@ def markdown(rows: Column) -> Column:
     rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), wide), "|"), F.lit("|\n"))
     body = F.array_join(F.transform(F.slice(kept, 2, F.greatest(F.lit(0), F.size(kept) - 1)), line), "")
     return F.when(F.size(kept) == 0, "").when(F.size(kept) == 1, row_key(F.get(kept, F.lit(0)))).otherwise(F.concat(line(F.get(kept, F.lit(0))), rule, body))
+
+
+#: Markers of a document made from its text layer.
+STRUCTURED, REFERENCE, TABLES = "<!-- PDFMUX OUTPUT (structured, from text layer) -->\n\n", "\n\n<!-- PYMUPDF + PDFPLUMBER REFERENCE -->\n", "\n\n[TABLES]\n\n"
+
+
+def text_documents(pages: DataFrame, structured: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text, total_tables) from (doc_id, page_no, text, tables): marked pages in order, each with its tables.
+
+    ``structured`` (doc_id, content) goes in front where a document has any.
+    """
+    shown = F.array_join(F.transform("tables", lambda t: F.concat(markdown(t), F.lit("\n"))), "")
+    n = F.coalesce(F.when(F.size("tables") > 0, F.size("tables")), F.lit(0))
+    body = F.concat(F.lit("\n\n<!-- PAGE "), F.col("page_no").cast("string"), F.lit(" -->\n\n"), F.coalesce("text", F.lit("")), F.when(n > 0, F.concat(F.lit(TABLES), shown)).otherwise(""))
+    each = pages.select("doc_id", "page_no", body.alias("body"), n.alias("n"))
+    docs = each.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "body"))), lambda x: x.body), "").alias("body"), F.sum("n").alias("total_tables"))
+    if structured is None:
+        return docs.select("doc_id", F.col("body").alias("text"), "total_tables")
+    front = F.when(F.length("content") > 0, F.concat(F.lit(STRUCTURED), "content", F.lit(REFERENCE))).otherwise("")
+    return docs.join(structured, "doc_id", "left").select("doc_id", F.concat(F.coalesce(front, F.lit("")), "body").alias("text"), "total_tables")

@@ -9,7 +9,7 @@ from leafwright.functions import text as T
 from leafwright.operators import evaluation, report, selection, tables
 from leafwright.sources.driver_tables import SQL_PAGES, document_pages, pages, table
 
-from .registry import WS, query, sql_squeeze, sql_strip
+from .registry import query, sql_squeeze, sql_strip
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -112,6 +112,22 @@ def table_markdown(spark, d):
     return found.select("doc_id", tables.markdown(F.col("rows")).alias("md"), F.size(tables.first_rows(F.col("rows"))).cast("long").alias("rows"))
 
 
+@query(
+    f"""with {SQL_PAGES}, c as (select doc_id, page_no, text, string_split(text, chr(10))[1] as a, coalesce(string_split(text, chr(10))[2], '') as b from page),
+    p as (select doc_id, page_no, chr(10) || chr(10) || '<!-- PAGE ' || page_no || ' -->' || chr(10) || chr(10) || text || case when contains(a, '|') then chr(10) || chr(10) || '[TABLES]' || chr(10) || chr(10)
+        || case when a || ' | x' = b || ' | y' then '' else '| ' || a || ' | x |' || chr(10) || '|---|---|' || chr(10) || '| ' || b || ' | y |' || chr(10) end || chr(10) else '' end as s, contains(a, '|')::int as n from c)
+    select doc_id, case when doc_id % 3 = 0 then '<!-- PDFMUX OUTPUT (structured, from text layer) -->' || chr(10) || chr(10) || '# d' || doc_id || chr(10) || chr(10) || '<!-- PYMUPDF + PDFPLUMBER REFERENCE -->' || chr(10) else '' end
+        || string_agg(s, '' order by page_no) as text, sum(n)::bigint as total_tables from p group by 1"""
+)
+def text_path_document(spark, d):
+    """The text path's document; a page whose first line has a bar gives a table of its first two lines."""
+    lines = F.split("text", "\n", -1)
+    a, b = F.get(lines, F.lit(0)), F.coalesce(F.get(lines, F.lit(1)), F.lit(""))
+    made = F.when(a.contains("|"), F.array(F.array(F.array(a, F.lit("x")), F.array(b, F.lit("y")))))
+    structured = _docs(spark, d).where("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("# d"), F.col("doc_id").cast("string")).alias("content"))
+    return tables.text_documents(_pages(spark, d).withColumn("tables", made), structured)
+
+
 @query(
     f"""with {SQL_PAGES}, m as (select doc_id, {MARKED} as md from page group by 1)
     select doc_id, round_even(length({sql_squeeze("md")})::double / nullif(length({sql_strip("d.text")}), 0), 3) as coverage, length(md)::bigint as md_chars from m join documents d using (doc_id)"""

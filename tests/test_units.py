@@ -1,6 +1,5 @@
 """Cases by hand: page ranges, configuration, geometry, decoding, tables, cache, PDF."""
 
-import itertools
 import random
 import zlib
 
@@ -175,24 +174,12 @@ def test_report(spark):
 
 
 def test_recognise(spark):
-    calls = itertools.count()
-    del calls
-
-    @recognition.register("third_time")
-    def make(options):
-        n = [0]
-
-        def read(image, prompt=""):
-            n[0] += 1
-            if image == b"bad":
-                raise RuntimeError("no")
-            return ("ok" if n[0] % 3 == 0 else ""), {}
-
-        return read
-
-    df = spark.createDataFrame([(1, 1, bytearray(b"x"))], "doc_id long, page_no int, image binary").coalesce(1)
-    row = recognition.recognise(df, "double").first()
-    assert (row.text, row.error, row.tries) == ("x", None, 1)
+    df = spark.createDataFrame([(1, 1, bytearray(b"x")), (1, 2, bytearray(b""))], "doc_id long, page_no int, image binary")
+    got = {r.page_no: (r.text, r.error, r.tries) for r in recognition.recognise(df, "double").collect()}
+    assert got == {1: ("x", None, 1), 2: ("", None, 3)}
+    # The double takes one image, so a list is its failure, which is data.
+    row = recognition.recognise_documents(df, "double").first()
+    assert row.pages == [1, 2] and row.text == "" and "AttributeError" in row.error
 
 
 def test_results(spark):
