@@ -163,8 +163,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
 
     ranked = chosen.join(texts.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
     ranked = ranked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    few = texts.join(F.broadcast(ranked), "doc_id").mapInArrow(featurize, "doc_id long, quality int, features binary").collect()
-    few = sorted({r.doc_id: r for r in sorted(few, key=lambda r: bytes(r.features))}.values(), key=lambda r: r.doc_id)
+    few = texts.join(F.broadcast(ranked), "doc_id").mapInArrow(featurize, "doc_id long, quality int, features binary")
+    # A row for each id, whatever repeats it: what reaches the driver has the sample's bound.
+    few = few.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("features").alias("features")).collect()
+    few.sort(key=lambda r: r.doc_id)
     return fit([np.frombuffer(r.features, "<i4").astype(np.int64) for r in few], np.array([r.quality for r in few]), bits)
 
 
