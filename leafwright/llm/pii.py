@@ -339,7 +339,10 @@ def find(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list[tupl
     for start, stop in islands(text):
         while k < len(taken) and taken[k][1] <= start:
             k += 1
-        near = [t for t in taken[k:] if t[0] < stop] if k < len(taken) and taken[k][0] < stop else []
+        near, i = [], k
+        while i < len(taken) and taken[i][0] < stop:
+            near.append(taken[i])
+            i += 1
         if len(near) == 1 and near[0][0] - start <= 1 and stop - near[0][1] <= 3:
             continue  # a base span fills the island: nothing is left to add
         for kind, a, b in field.decode(Island(text, start, stop)):
