@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -60,19 +61,18 @@ def section(md: Column, start: str, end: str) -> Column:
 def phrase_hits(texts: DataFrame, phrases: DataFrame, block_bytes: int = PHRASE_BYTES) -> DataFrame:
     """(id, hits, phrases): how many phrases each text holds, white space apart.
 
-    Phrases go to the tasks in blocks of a bounded size, as one array; every
-    block is held against all texts, and the counts are summed on the row.
+    Phrases go to the tasks in blocks of a bounded size, each a constant of the
+    plan; every block is held against all texts, with no join, and the counts
+    are summed on the row.
     """
-    spark = texts.sparkSession
     plain = phrases.select(squeezed(F.col("phrase")).alias("p")).where(F.length("p") > 0)
     bytes_, total = plain.agg(F.coalesce(F.sum(F.octet_length("p")), F.lit(0)), F.count("*")).first()
     count = max(1, -(-bytes_ // block_bytes))
     held = [[r.p for r in plain.where(F.pmod(F.xxhash64("p"), F.lit(count)) == k).collect()] for k in range(count)]
     hits = F.lit(0)
-    for k, block in enumerate(held):
-        one = spark.createDataFrame([(block,)], f"block{k} array<string>")
-        texts = texts.join(F.broadcast(one), F.lit(True))
-        hits = hits + F.size(F.filter(f"block{k}", lambda p: F.contains(F.col("_squeezed"), p)))
+    for block in held:
+        constant = F.from_json(F.lit(json.dumps(block)), "array<string>")
+        hits = hits + F.size(F.filter(constant, lambda p: F.contains(F.col("_squeezed"), p)))
     return texts.withColumn("_squeezed", squeezed(F.coalesce("text", F.lit("")))).select("id", hits.cast("long").alias("hits"), F.lit(total).cast("long").alias("phrases"))
 
 

@@ -1,7 +1,8 @@
 """Boxes, line-to-block assignment, reading order and Markdown.
 
-Everything is per page: joins have the page as an equality key and the geometry
-as the rest of the condition, so they hash on pages however many there are.
+Everything is per page. A page's lines and its blocks each become one array by
+one shuffle on the page; matching, ordering and rendering are then expressions
+on that row, so no plan here shuffles a line or a block twice.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 PAGE = ("doc_id", "page_no")
 OVERLAP = 0.7  # share of a line within a block from which it belongs to it
 FULL_WIDTH = 0.7  # share of the page's width from which a block spans it
+BLOCKS = "array<struct<block_idx: int, label: string, bbox: struct<x0: int, y0: int, x1: int, y1: int>>>"
 #: Labels that are cropped, shown as figures, or headings.
 CROPPED = ("table", "figure", "formula", "image", "chart", "seal", "stamp", "figure_caption", "table_caption")
 FIGURES = ("figure", "image", "chart", "seal", "stamp")
@@ -42,25 +44,28 @@ def overlap(line: Column, block: Column) -> Column:
     return F.coalesce(side("x0", "x1") * side("y0", "y1") / area, F.lit(0.0))
 
 
-def assigned(lines: DataFrame, blocks: DataFrame, least: float = OVERLAP) -> DataFrame:
-    """Each line with block_idx (null: an orphan) and overlap, that of its best block; of equal ones the lowest index wins.
+def _blocks_by_page(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("block_idx", "label", "bbox"))).alias("blocks"))
 
-    The best block is a partial aggregate over the line's key, so a page of many
-    blocks costs no sort; a line's text and box come back by the same key.
-    """
-    key = [*PAGE, "line_id"]
-    a, b = lines.alias("a"), blocks.alias("b")
-    meets = F.expr("a.doc_id = b.doc_id and a.page_no = b.page_no and a.bbox.x0 < b.bbox.x1 and a.bbox.x1 > b.bbox.x0 and a.bbox.y0 < b.bbox.y1 and a.bbox.y1 > b.bbox.y0")
-    ratio = overlap(F.col("a.bbox"), F.col("b.bbox"))
-    best = (
-        a.join(b, meets)
-        .select(*(F.col(f"a.{k}") for k in key), F.struct(ratio.alias("r"), (-F.col("b.block_idx")).alias("i")).alias("m"))
-        .groupBy(*key)
-        .agg(F.max("m").alias("m"))
-    )
-    out = lines.join(best, key, "left")
-    r = F.coalesce(F.col("m.r"), F.lit(0.0))
-    return out.select(*lines.columns, F.when(r >= least, -F.col("m.i")).alias("block_idx"), r.alias("overlap"))
+
+def _best(line: Column, blocks: Column) -> Column:
+    """struct(i, r): the block of the largest overlap; of equal ones the first, so the lowest index; none at 0."""
+    start = F.struct(F.lit(-1).alias("i"), F.lit(0.0).alias("r"))
+
+    def step(best: Column, block: Column) -> Column:
+        r = overlap(line.bbox, block.bbox)
+        return F.when(r > best.r, F.struct(block.block_idx.alias("i"), r.alias("r"))).otherwise(best)
+
+    return F.when(line.bbox.isNotNull(), F.aggregate(F.coalesce(blocks, F.array().cast(BLOCKS)), start, step)).otherwise(start)
+
+
+def assigned(lines: DataFrame, blocks: DataFrame, least: float = OVERLAP) -> DataFrame:
+    """Each line with block_idx (null: an orphan) and overlap, that of its best block; of equal ones the lowest index wins."""
+    held = lines.groupBy(*PAGE).agg(F.collect_list(F.struct(*[c for c in lines.columns if c not in PAGE])).alias("lines"))
+    rows = held.join(_blocks_by_page(blocks), list(PAGE), "left")
+    matched = F.transform("lines", lambda x: F.struct(x.alias("x"), _best(x, F.col("blocks")).alias("m")))
+    out = rows.select(*PAGE, F.explode(matched).alias("q")).select(*PAGE, "q.x.*", "q.m")
+    return out.select(*lines.columns, F.when(F.col("m.r") >= least, F.col("m.i")).alias("block_idx"), F.col("m.r").alias("overlap"))
 
 
 def page_widths(blocks: DataFrame, pages: DataFrame | None = None) -> DataFrame:
@@ -72,54 +77,58 @@ def page_widths(blocks: DataFrame, pages: DataFrame | None = None) -> DataFrame:
 
 
 #: Columns of one segment by a fold over its blocks, left to right: a block joins the first column that covers more than half of it.
-_FOLD = """reduce(
-    array_sort({blocks}, (p, q) -> case when p.bbox.x0 < q.bbox.x0 then -1 when p.bbox.x0 > q.bbox.x0 then 1 else p.block_idx - q.block_idx end),
-    cast(array() as array<struct<x0: int, x1: int, m: array<int>>>),
+_FITS = "least(b.bbox.x1, {c}.x1) - greatest(b.bbox.x0, {c}.x0) > 0.5D * greatest(1, b.bbox.x1 - b.bbox.x0)"
+_MEMBER = "struct(b.bbox.y0 as y, b.bbox.x0 as x, b.block_idx as i)"
+_FOLD = f"""reduce(
+    array_sort({{blocks}}, (p, q) -> case when p.bbox.x0 < q.bbox.x0 then -1 when p.bbox.x0 > q.bbox.x0 then 1 else p.block_idx - q.block_idx end),
+    cast(array() as array<struct<x0: int, x1: int, m: array<struct<y: int, x: int, i: int>>>>),
     (cols, b) -> if(
-        exists(cols, c -> least(b.bbox.x1, c.x1) - greatest(b.bbox.x0, c.x0) > 0.5D * greatest(1, b.bbox.x1 - b.bbox.x0)),
-        transform(cols, (c, i) -> if(
-            i = array_position(transform(cols, d -> least(b.bbox.x1, d.x1) - greatest(b.bbox.x0, d.x0) > 0.5D * greatest(1, b.bbox.x1 - b.bbox.x0)), true) - 1,
-            struct(least(c.x0, b.bbox.x0) as x0, greatest(c.x1, b.bbox.x1) as x1, concat(c.m, array(b.block_idx)) as m), c)),
-        concat(cols, array(struct(b.bbox.x0 as x0, b.bbox.x1 as x1, array(b.block_idx) as m)))))"""
-
+        exists(cols, c -> {_FITS.format(c="c")}),
+        transform(cols, (c, k) -> if(
+            k = array_position(transform(cols, d -> {_FITS.format(c="d")}), true) - 1,
+            struct(least(c.x0, b.bbox.x0) as x0, greatest(c.x1, b.bbox.x1) as x1, concat(c.m, array({_MEMBER})) as m), c)),
+        concat(cols, array(struct(b.bbox.x0 as x0, b.bbox.x1 as x1, array({_MEMBER}) as m)))))"""
 
-def segments(blocks: DataFrame, widths: DataFrame) -> DataFrame:
-    """Blocks with is_full and segment: how many blocks of full width start strictly above (their own rank for those of full width)."""
-    full = (F.col("bbox.x1") - F.col("bbox.x0")) >= FULL_WIDTH * F.col("page_w")
-    marked = blocks.join(widths, list(PAGE)).withColumn("is_full", full)
-    pages = marked.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.when(F.col("is_full"), F.struct(F.col("bbox.y0").alias("y"), F.col("block_idx").alias("i"))))).alias("tops"))
-    own = F.expr("cast(size(filter(tops, t -> t.y < bbox.y0)) as int)")
-    rank = F.expr("cast(size(filter(tops, t -> t.y < bbox.y0 or (t.y = bbox.y0 and t.i < block_idx))) + 1 as int)")
-    return marked.join(pages, list(PAGE)).withColumn("segment", F.when(F.col("is_full"), rank).otherwise(own)).drop("tops", "page_w")
 
+def placed(blocks: DataFrame, widths: DataFrame) -> DataFrame:
+    """(page, blocks, ordered): a page's blocks and their reading order, entries (segment, is_full, column, i).
 
-def columns(segmented: DataFrame) -> DataFrame:
-    """(page, segment, block_idx, column): columns left to right within each segment of blocks that are not of full width."""
-    held = segmented.where(~F.col("is_full")).groupBy(*PAGE, "segment").agg(F.collect_list(F.struct("block_idx", "bbox")).alias("held"))
-    folded = held.select(*PAGE, "segment", F.expr(_FOLD.format(blocks="held")).alias("cols"))
-    # Columns of one left edge stay in the order in which they were opened.
-    ordered = F.expr("array_sort(transform(cols, (c, i) -> struct(c.x0 as x0, i as i, c.m as m)))")
-    rows = folded.select(*PAGE, "segment", F.posexplode(ordered).alias("column", "c"))
-    return rows.select(*PAGE, "segment", "column", F.explode("c.m").alias("block_idx"))
+    A block of full width stands before its segment, which is how many of them
+    start strictly above a block; within a segment columns go left to right (of
+    equal left edges in the order in which they were opened), and a column top
+    to bottom.
+    """
+    rows = _blocks_by_page(blocks).join(widths, list(PAGE))
+    wide = f"b.bbox.x1 - b.bbox.x0 >= {FULL_WIDTH}D * page_w"
+    rows = rows.withColumn("tops", F.expr(f"array_sort(transform(filter(blocks, b -> {wide}), b -> struct(b.bbox.y0 as y, b.block_idx as i)))"))
+    rows = rows.withColumn("rest", F.expr(f"transform(filter(blocks, b -> not ({wide})), b -> struct(size(filter(tops, t -> t.y < b.bbox.y0)) as s, b.block_idx as block_idx, b.bbox as bbox))"))
+    rows = rows.withColumn("cols", F.expr(f"transform(sequence(0, size(tops)), s -> {_FOLD.format(blocks='filter(rest, r -> r.s = s)')})"))
+    inner = """flatten(transform(array_sort(transform(c, (q, k) -> struct(q.x0 as x0, k as k, q.m as m))), (q, k) ->
+        transform(array_sort(q.m), z -> struct(s as segment, false as is_full, k as column, z.i as i))))"""
+    head = "if(s = 0, array(), array(struct(s as segment, true as is_full, -1 as column, get(tops, s - 1).i as i)))"
+    return rows.select(*PAGE, "blocks", F.expr(f"flatten(transform(cols, (c, s) -> concat({head}, {inner})))").alias("ordered"))
 
 
 def reading_order(blocks: DataFrame, widths: DataFrame) -> DataFrame:
-    """Blocks with segment, column and position, 1-based on the page.
+    """(page, block_idx, label, bbox, segment, is_full, column, position): position is 1-based on the page."""
+    rows = placed(blocks, widths).select(*PAGE, "blocks", F.posexplode("ordered").alias("p", "o"))
+    block = F.get(F.filter("blocks", lambda b: b.block_idx == F.col("o.i")), F.lit(0))
+    return rows.select(*PAGE, block.alias("b"), "o", "p").select(*PAGE, "b.*", "o.segment", "o.is_full", "o.column", (F.col("p") + 1).alias("position"))
 
-    A block of full width stands before its segment; within a segment columns go
-    left to right, and a column top to bottom.
-    """
-    segmented = segments(blocks, widths)
-    placed = segmented.join(columns(segmented).drop("segment"), [*PAGE, "block_idx"], "left").withColumn("column", F.coalesce("column", F.lit(-1)))
-    key = F.struct("segment", (~F.col("is_full")).alias("later"), "column", F.col("bbox.y0").alias("y"), F.col("bbox.x0").alias("x"), "block_idx")
-    ranked = placed.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), F.struct(*placed.drop(*PAGE).columns).alias("v")))).alias("all"))
-    return ranked.select(*PAGE, F.posexplode("all").alias("p", "x")).select(*PAGE, "x.v.*", (F.col("p") + 1).alias("position"))
 
+def lines_text(lines: Column) -> Column:
+    """Lines by (y, x), joined by newlines; a line without a box counts as at the origin."""
+    key = lambda v: F.struct(F.coalesce(v.bbox.y0, F.lit(0.0)).alias("y"), F.coalesce(v.bbox.x0, F.lit(0.0)).alias("x"), v.line_id.alias("n"), v.text.alias("t"))
+    return F.array_join(F.transform(F.array_sort(F.transform(lines, key)), lambda v: v.t), "\n")
 
-def block_text(lines: DataFrame) -> DataFrame:
-    """(page, block_idx, text): lines of a block by (y, x), joined by newlines."""
-    key = F.struct(F.coalesce("bbox.y0", F.lit(0.0)).alias("y"), F.coalesce("bbox.x0", F.lit(0.0)).alias("x"), "line_id", "text")
-    return lines.groupBy(*PAGE, "block_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda v: v.text), "\n").alias("text"))
+
+def _lines_by_page(lines: DataFrame) -> DataFrame:
+    return lines.groupBy(*PAGE).agg(F.collect_list(F.struct("line_id", "text", "bbox")).alias("lines"))
+
+
+def page_text(lines: DataFrame) -> DataFrame:
+    """(page, text): all of a page's lines by (y, x)."""
+    return _lines_by_page(lines).select(*PAGE, lines_text(F.col("lines")).alias("text"))
 
 
 #: Fixed value: the marker in front of lines that belong to no block.
@@ -147,17 +156,19 @@ def block_parts(label: Column, bbox: Column, text: Column) -> Column:
 
 def markdown(lines: DataFrame, blocks: DataFrame, widths: DataFrame, least: float = OVERLAP) -> DataFrame:
     """(page, text, blocks, orphans): the page's Markdown by reading order, orphans at the end."""
-    placed = assigned(lines, blocks, least)
-    texts = block_text(placed)
-    ordered = reading_order(blocks, widths).join(texts.where("block_idx is not null"), [*PAGE, "block_idx"], "left")
-    parts = ordered.select(*PAGE, "position", block_parts(F.col("label"), F.col("bbox"), F.col("text")).alias("parts"), F.lit(1).alias("block"))
-    last = texts.where("block_idx is null").select(*PAGE, F.lit(2147483647).alias("position"), F.array(F.lit(ORPHANS), F.col("text")).alias("parts"), F.lit(0).alias("block"))
-    count = placed.groupBy(*PAGE).agg(F.count_if(F.col("block_idx").isNull()).alias("orphans"))
-    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("position", "parts"))), lambda x: x.parts))
-    pages = parts.unionByName(last).groupBy(*PAGE).agg(
-        F.array_join(F.filter(joined, lambda p: ~F.regexp_like(p, F.lit(r"^(?U)\s*$"))), "\n\n").alias("text"), F.sum("block").alias("blocks")
-    )
-    return pages.join(count, list(PAGE), "left").withColumn("orphans", F.coalesce("orphans", F.lit(0)).cast("long"))
+    rows = _lines_by_page(lines).join(placed(blocks, widths), list(PAGE), "full_outer")
+    matched = F.transform(F.coalesce("lines", F.array().cast("array<struct<line_id: int, text: string, bbox: struct<x0: double, y0: double, x1: double, y1: double>>>")), lambda x: F.struct(x.alias("x"), _best(x, F.col("blocks")).alias("m")))
+    rows = rows.withColumn("got", F.transform(matched, lambda q: F.struct(F.when(q.m.r >= least, q.m.i).alias("i"), q.x.alias("x"))))
+    rows = rows.withColumn("lost", F.transform(F.filter("got", lambda g: g.i.isNull()), lambda g: g.x))
+
+    def parts(entry: Column) -> Column:
+        block = F.get(F.filter("blocks", lambda b: b.block_idx == entry.i), F.lit(0))
+        return block_parts(block.label, block.bbox, lines_text(F.transform(F.filter("got", lambda g: g.i == entry.i), lambda g: g.x)))
+
+    body = F.coalesce(F.flatten(F.transform("ordered", parts)), F.array().cast("array<string>"))
+    tail = F.when(F.size("lost") > 0, F.array(F.lit(ORPHANS), lines_text(F.col("lost")))).otherwise(F.array().cast("array<string>"))
+    text = F.array_join(F.filter(F.concat(body, tail), lambda p: ~F.regexp_like(p, F.lit(r"^(?U)\s*$"))), "\n\n")
+    return rows.select(*PAGE, text.alias("text"), F.coalesce(F.size("ordered"), F.lit(0)).cast("long").alias("blocks"), F.size("lost").cast("long").alias("orphans"))
 
 
 def vl_markdown(blocks: DataFrame, keep_blank: bool = False) -> DataFrame:

@@ -55,7 +55,7 @@ def extract(pages: DataFrame, options: ExtractOptions | None = None, lines: Data
         kept = (blocks if blocks is not None else lines.sparkSession.createDataFrame([], "doc_id long, page_no int, block_idx int, label string, score double, bbox struct<x0: int, y0: int, x1: int, y1: int>"))
         kept = layout.kept_blocks(kept, options.min_score).join(wanted, list(layout.PAGE), "left_semi")
         laid = layout.markdown(read, kept, layout.page_widths(kept, images)).select(*layout.PAGE, F.col("text").alias("md"))
-        flat = layout.block_text(read.withColumn("block_idx", F.lit(None).cast("int"))).select(*layout.PAGE, F.col("text").alias("plain"))
+        flat = layout.page_text(read).withColumnRenamed("text", "plain")
         has = kept.select(*layout.PAGE).distinct().withColumn("laid", F.lit(True))
         got = images.drop("text").join(flat, list(layout.PAGE), "left").join(laid, list(layout.PAGE), "left").join(has, list(layout.PAGE), "left")
         body = F.when(F.col("laid"), F.col("md")).otherwise(F.col("plain"))

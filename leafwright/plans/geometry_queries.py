@@ -66,7 +66,7 @@ FULL = """fw as (select *, x1 - x0 >= 0.7 * 1200 as is_full from kept),
 @query(f"with {KEPT}, {FULL} select * from seg")
 def full_width_segments(spark, d):
     blocks = _blocks(spark, d)
-    return layout.segments(blocks, _widths(blocks)).select("doc_id", "page_no", "block_idx", "is_full", "segment")
+    return layout.reading_order(blocks, _widths(blocks)).select("doc_id", "page_no", "block_idx", "is_full", "segment")
 
 
 # With two columns at most a column is a distinct left edge, which SQL can number.
@@ -76,7 +76,7 @@ COLUMN = f"{KEPT}, {FULL}, col as (select doc_id, page_no, block_idx, is_full, s
 @query(f'with {COLUMN} select doc_id, page_no, segment, block_idx, col as "column" from col where not is_full')
 def column_clusters(spark, d):
     blocks = _blocks(spark, d)
-    return layout.columns(layout.segments(blocks, _widths(blocks))).select("doc_id", "page_no", "segment", "block_idx", "column")
+    return layout.reading_order(blocks, _widths(blocks)).where("not is_full").select("doc_id", "page_no", "segment", "block_idx", "column")
 
 
 POSITION = f"{COLUMN}, pos as (select *, row_number() over (partition by doc_id, page_no order by segment, (not is_full)::int, col, y0, x0, block_idx)::int as position from col)"
