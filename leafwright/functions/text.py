@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ MATHJAX = (
 )
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with value computed once: a lambda's variable is, a column used in a lambda or many times need not be."""
+    return F.get(F.transform(F.array(value), lambda x: of(x)), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 
@@ -54,18 +61,21 @@ def plain_no_proxy(value: Column) -> Column:
 
 def unfenced(text: Column) -> Column:
     """Stripped text without the code fence around it."""
-    t = strip(text)
-    t = F.when(t.startswith("```html"), F.substr(t, F.lit(8))).when(t.startswith("```"), F.substr(t, F.lit(4))).otherwise(t)
-    return strip(F.when(t.endswith("```"), F.left(t, F.length(t) - 3)).otherwise(t))
+    opened = lambda t: F.when(t.startswith("```html"), F.substr(t, F.lit(8))).when(t.startswith("```"), F.substr(t, F.lit(4))).otherwise(t)
+    closed = lambda t: strip(F.when(t.endswith("```"), F.left(t, F.length(t) - 3)).otherwise(t))
+    return let(let(strip(text), lambda t: strip(opened(t))), closed)
 
 
 def with_mathjax(text: Column) -> Column:
     """HTML with the math header after its first head tag, else body tag, else in front."""
-    header, t = F.lit(MATHJAX), unfenced(text)
+    header = F.lit(MATHJAX)
 
-    def after(tag: str) -> Column:
+    def after(t: Column, tag: str) -> Column:
         end = F.instr(t, tag) + len(tag) - 1
         return F.concat(F.left(t, end), F.lit("\n"), header, F.substr(t, end + 1))
 
-    inside = F.when(F.instr(t, "<head>") > 0, after("<head>")).when(F.instr(t, "<body>") > 0, after("<body>"))
-    return F.when(t.startswith("<html"), F.coalesce(inside, F.concat(header, t))).otherwise(F.concat(header, t))
+    def made(t: Column) -> Column:
+        inside = F.when(F.instr(t, "<head>") > 0, after(t, "<head>")).when(F.instr(t, "<body>") > 0, after(t, "<body>"))
+        return F.when(t.startswith("<html"), F.coalesce(inside, F.concat(header, t))).otherwise(F.concat(header, t))
+
+    return let(unfenced(text), made)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from leafwright.functions.text import squeezed, strip
+from leafwright.functions.text import let, squeezed, strip
 
 PAGE_MARK = r"<!-- PAGE (\d+) -->"
 #: Fixed value: symbols that speak for formulas.
@@ -38,9 +38,9 @@ def page_marks(md: Column) -> Column:
 def split_pages(md: Column) -> Column:
     """Array of (page, body) of a marked text; without marks the whole is page null."""
     numbers = F.regexp_extract_all(md, F.lit(PAGE_MARK), 1)
-    bodies = F.split(md, PAGE_MARK, -1)
-    marked = F.transform(numbers, lambda n, i: F.struct(n.cast("int").alias("page"), strip(F.get(bodies, i + 1)).alias("body")))
-    return F.when(F.size(numbers) == 0, F.array(F.struct(F.lit(None).cast("int").alias("page"), md.alias("body")))).otherwise(marked)
+    pages = lambda bodies: F.transform(numbers, lambda n, i: F.struct(n.cast("int").alias("page"), strip(F.get(bodies, i + 1)).alias("body")))
+    marked = let(F.split(md, PAGE_MARK, -1), pages)
+    return F.when(~F.contains(md, F.lit("<!-- PAGE ")) | (F.size(numbers) == 0), F.array(F.struct(F.lit(None).cast("int").alias("page"), md.alias("body")))).otherwise(marked)
 
 
 def picked_page(md: Column, page: Column) -> Column:
@@ -58,6 +58,10 @@ def section(md: Column, start: str, end: str) -> Column:
     return F.when((at > 0) & (stop > 0), strip(F.left(rest, stop - 1)))
 
 
+def _held_by(phrases: Column):
+    return lambda text: F.size(F.filter(phrases, lambda p: F.contains(text, p)))
+
+
 def phrase_hits(texts: DataFrame, phrases: DataFrame, block_bytes: int = PHRASE_BYTES) -> DataFrame:
     """(id, hits, phrases): how many phrases each text holds, white space apart.
 
@@ -71,9 +75,10 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, block_bytes: int = PHRASE_
     held = [[r.p for r in plain.where(F.pmod(F.xxhash64("p"), F.lit(count)) == k).collect()] for k in range(count)]
     hits = F.lit(0)
     for block in held:
-        constant = F.from_json(F.lit(json.dumps(block)), "array<string>")
-        hits = hits + F.size(F.filter(constant, lambda p: F.contains(F.col("_squeezed"), p)))
-    return texts.withColumn("_squeezed", squeezed(F.coalesce("text", F.lit("")))).select("id", hits.cast("long").alias("hits"), F.lit(total).cast("long").alias("phrases"))
+        # A lambda's variable is computed once; a column would be squeezed anew for each phrase.
+        one = F.transform(F.array(squeezed(F.coalesce("text", F.lit("")))), _held_by(F.from_json(F.lit(json.dumps(block)), "array<string>")))
+        hits = hits + F.get(one, F.lit(0))
+    return texts.select("id", hits.cast("long").alias("hits"), F.lit(total).cast("long").alias("phrases"))
 
 
 def text_labels(text: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafwright.functions.text import let
+
 #: Defaults of the detector and the recogniser.
 SHORT_SIDE, LONG_SIDE, STEP = 736, 4000, 32
 HEIGHT, BASE_WIDTH, WIDEST = 48, 320, 3200
@@ -38,12 +40,18 @@ def ctc(matrix: Column, dictionary: Column, offset: int = 0, trim: int = 0) -> C
 
     Classes without an entry in the dictionary are dropped too, after that test.
     """
-    steps = F.transform(matrix, lambda r: F.struct((F.array_position(r, F.array_max(r)) - 1).cast("int").alias("k"), F.array_max(r).cast("double").alias("p")))
-    kept = F.filter(steps, lambda s, i: (s.k != 0) & (F.coalesce(F.get(steps, i - 1).k, F.lit(-1)) != s.k))
-    known = F.filter(kept, lambda s: (s.k + offset >= 0) & (s.k + offset < F.size(dictionary) - trim))
-    text = F.array_join(F.transform(known, lambda s: F.get(dictionary, s.k + offset)), "")
-    total = F.aggregate(known, F.lit(0.0), lambda t, s: t + s.p)
-    return F.struct(text.alias("text"), F.when(F.size(known) > 0, total / F.size(known)).otherwise(0.0).alias("conf"), F.size(known).alias("kept"))
+    best = lambda r: F.struct((F.array_position(r, F.array_max(r)) - 1).cast("int").alias("k"), F.array_max(r).cast("double").alias("p"))
+    known = lambda s: (s.k + offset >= 0) & (s.k + offset < F.size(dictionary) - trim)
+
+    def kept(steps: Column) -> Column:
+        return F.filter(F.filter(steps, lambda s, i: (s.k != 0) & (F.coalesce(F.get(steps, i - 1).k, F.lit(-1)) != s.k)), known)
+
+    def decoded(steps: Column) -> Column:
+        text = F.array_join(F.transform(steps, lambda s: F.get(dictionary, s.k + offset)), "")
+        total = F.aggregate(steps, F.lit(0.0), lambda t, s: t + s.p)
+        return F.struct(text.alias("text"), F.when(F.size(steps) > 0, total / F.size(steps)).otherwise(0.0).alias("conf"), F.size(steps).alias("kept"))
+
+    return let(let(F.transform(matrix, best), kept), decoded)
 
 
 def dictionary(lines: list[str]) -> list[str]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafwright.functions.text import let
+
 
 def cell_text(cell: Column) -> Column:
     """A cell on one line; null as empty."""
@@ -17,8 +19,7 @@ def row_key(row: Column) -> Column:
 
 def first_rows(rows: Column) -> Column:
     """Rows of an array of rows, each key's first only."""
-    keys = F.transform(rows, row_key)
-    return F.filter(rows, lambda r, i: F.array_position(keys, row_key(r)) == i + 1)
+    return let(F.transform(rows, row_key), lambda keys: F.filter(rows, lambda r, i: F.array_position(keys, F.get(keys, i)) == i + 1))
 
 
 def deduped(cells: DataFrame) -> DataFrame:
@@ -29,12 +30,15 @@ def deduped(cells: DataFrame) -> DataFrame:
 
 def markdown(rows: Column) -> Column:
     """Markdown of an array of rows: the first is the header, others are filled up or cut to its width; a lone row is its joined cells."""
-    kept = first_rows(rows)
-    wide = F.size(F.get(kept, F.lit(0)))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.slice(F.concat(r, F.array_repeat(F.lit(""), F.greatest(F.lit(0), wide - F.size(r)))), F.lit(1), wide), cell_text), " | "), F.lit(" |\n"))
-    rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), wide), "|"), F.lit("|\n"))
-    body = F.array_join(F.transform(F.slice(kept, 2, F.greatest(F.lit(0), F.size(kept) - 1)), line), "")
-    return F.when(F.size(kept) == 0, "").when(F.size(kept) == 1, row_key(F.get(kept, F.lit(0)))).otherwise(F.concat(line(F.get(kept, F.lit(0))), rule, body))
+    def made(kept: Column) -> Column:
+        wide = F.size(F.get(kept, F.lit(0)))
+        full = lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), F.greatest(F.lit(0), wide - F.size(r)))), F.lit(1), wide)
+        line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(full(r), cell_text), " | "), F.lit(" |\n"))
+        rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), wide), "|"), F.lit("|\n"))
+        body = F.array_join(F.transform(F.slice(kept, 2, F.greatest(F.lit(0), F.size(kept) - 1)), line), "")
+        return F.when(F.size(kept) == 0, "").when(F.size(kept) == 1, row_key(F.get(kept, F.lit(0)))).otherwise(F.concat(line(F.get(kept, F.lit(0))), rule, body))
+
+    return let(first_rows(rows), made)
 
 
 #: Markers of a document made from its text layer.
