@@ -222,16 +222,26 @@ def verified(source: Source, threshold: float, tile: int = 256) -> DataFrame:
     def compare(batches):
         for batch in batches:
             for mine, held in zip(*tuples(batch, "mine", "held")):
+                # A spanning forest: what is connected already is not compared again.
+                root = {x["node"]: x["node"] for x in [*mine, *held]}
+
+                def find(n):
+                    while root[n] != n:
+                        root[n] = n = root[root[n]]
+                    return n
+
                 u, v = [], []
                 others = [(y["node"], set(y["shingles"])) for y in held]
                 for x in mine:
                     if x["failed"]:
                         s = set(x["shingles"])
                         for node, t in others:
-                            both = len(s & t)
-                            if node != x["node"] and both >= threshold * (len(s) + len(t) - both):
-                                u.append(x["node"])
-                                v.append(node)
+                            if find(node) != find(x["node"]):
+                                both = len(s & t)
+                                if both >= threshold * (len(s) + len(t) - both):
+                                    root[find(node)] = find(x["node"])
+                                    u.append(x["node"])
+                                    v.append(node)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     more = pairs.repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(compare, "u long, v long")
