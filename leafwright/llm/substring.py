@@ -78,21 +78,24 @@ class Batch:
         self.counts = np.array(counts, np.int64)
         self.ends = np.cumsum(self.counts)
         self.begins = self.ends - self.counts
-        self.size = size
-        mixed = h.copy()
-        for k in range(1, size):  # a shingle that would cross a passage's end is dropped below
-            mixed[: len(h) - k] = _mix(mixed[: len(h) - k]) + h[k:]
-        mixed = _mix(mixed)
-        # The whole sequence's hash, place by place; passages shorter than a shingle are one shingle, this one.
+        self.hashes, self.size = h, size
+        # The whole sequence's hash, place by place.
         place = np.arange(len(h), dtype=np.uint64) - np.repeat(self.begins, self.counts).astype(np.uint64)
         whole = np.add.reduceat(_mix(h + _mix(place + np.uint64(1))), self.begins) if len(h) else np.zeros(0, np.uint64)
         self.keys = _mix(whole + self.counts.astype(np.uint64))
+
+    def shingled(self) -> tuple[np.ndarray, np.ndarray]:
+        """(shingles, where each passage's start); a passage shorter than a shingle is one shingle, its own hash."""
+        h, size = self.hashes, self.size
+        mixed = h.copy()
+        for k in range(1, size):  # a shingle that would cross a passage's end is dropped below
+            mixed[: len(h) - k] = _mix(mixed[: len(h) - k]) + h[k:]
         n = np.maximum(1, self.counts - size + 1)
-        self.first = np.cumsum(n) - n
-        spot = np.arange(n.sum()) - np.repeat(self.first, n) + np.repeat(self.begins, n)
-        self.shingles = mixed[spot] if len(h) else mixed
+        first = np.cumsum(n) - n
+        shingles = _mix(mixed[np.arange(n.sum()) - np.repeat(first - self.begins, n)]) if len(h) else mixed
         short = self.counts < size
-        self.shingles[self.first[short]] = self.keys[short]
+        shingles[first[short]] = self.keys[short]
+        return shingles, first
 
     def bands(self, bands: int, rows: int) -> np.ndarray:
         """An array (passages, bands) of bucket keys."""
@@ -100,8 +103,9 @@ class Batch:
         out = np.zeros((len(self.rows), bands), np.uint64)
         if not self.rows:
             return out
+        shingles, first = self.shingled()
         for k, seed in enumerate(seeds):
-            least = np.minimum.reduceat(_mix(self.shingles ^ seed), self.first)
+            least = np.minimum.reduceat(_mix(shingles ^ seed), first)
             out[:, k // rows] = _mix(out[:, k // rows] + least + np.uint64(k))
         return out
 
@@ -179,8 +183,9 @@ class Source:
 
         def emit(b):
             keep = np.flatnonzero(_passes(shared.value, b.keys))
-            ends = np.append(b.first[1:], len(b.shingles))
-            sets = [np.unique(b.shingles[b.first[i] : ends[i]]).view(np.int64) for i in keep]
+            shingles, first = b.shingled()
+            ends = np.append(first[1:], len(shingles))
+            sets = [np.unique(shingles[first[i] : ends[i]]).view(np.int64) for i in keep]
             return pa.RecordBatch.from_arrays([pa.array(b.keys[keep].view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
         return self._run(emit, "node long, shingles array<long>")
@@ -264,17 +269,17 @@ def repeated(
     """
     source = Source(docs.where("doc_id is not null"), least, size, bands_for(threshold, rows, recall), rows)
     classes = components(verified(source, threshold), "u", "v").withColumnRenamed("component", "class_id")
-    place = F.struct("doc_id", "no")
-    nodes = source.places().groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    nodes = nodes.join(classes, "node", "left").withColumn("class_id", F.coalesce("class_id", "node"))
-    nodes = saved(nodes.where("first < last or class_id != node").unionByName(nodes.where("not (first < last or class_id != node)").join(classes.select(F.col("class_id").alias("node")).distinct(), "node", "left_semi")))
-    spread = saved(nodes.groupBy("class_id").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first < last").drop("last"))
-    shared = saved(nodes.select("node", "class_id").join(spread, "class_id"))
+    nodes = source.places().groupBy("node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    nodes = nodes.join(classes, "node", "left").where("n > 1 or class_id is not null")
+    nodes = saved(nodes.withColumn("class_id", F.coalesce("class_id", "node")))
+    spread = nodes.groupBy("class_id").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    shared = saved(nodes.select("node", "class_id").join(saved(spread), "class_id"))
     found = source.places(sieve(shared, "node")).join(shared, "node").dropDuplicates(["doc_id", "no"])
-    order = Window.partitionBy("doc_id").orderBy("no")
+    of_doc = Window.partitionBy("doc_id")
+    again = F.row_number().over(Window.partitionBy("doc_id", "class_id").orderBy("no")) > 1
     run = (
-        found.withColumn("run", F.col("no") - F.row_number().over(order))
-        .withColumn("later", place > F.col("first"))
+        found.withColumn("run", F.col("no") - F.row_number().over(of_doc.orderBy("no")))
+        .withColumn("later", (F.col("doc_id") > F.col("first")) | again)
         .groupBy("doc_id", "run")
         .agg(
             F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("stop"), F.sum("n_words").alias("n_words"),

@@ -419,8 +419,8 @@ def test_verified_links_lose_nothing(spark):
     source = substring.Source(docs, 12, 5, 40, 1)
     got = {(x.u, x.v) for x in substring.verified(source, 0.8, tile=7).collect()}
     batch = substring.Batch(list(range(60)), texts, substring.Hashes(), 12, 5)
-    ends = np.append(batch.first[1:], len(batch.shingles))
-    sets = {int(k): frozenset(batch.shingles[a:b].tolist()) for k, a, b in zip(batch.keys.view(np.int64), batch.first, ends)}
+    shingles, first = batch.shingled()
+    sets = {int(k): frozenset(shingles[a:b].tolist()) for k, a, b in zip(batch.keys.view(np.int64), first, np.append(first[1:], len(shingles)))}
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
 
     def classes(pairs):
