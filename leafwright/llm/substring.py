@@ -199,8 +199,8 @@ def verified(source: Source, threshold: float, tile: int = 256) -> DataFrame:
     spark = source.docs.sparkSession
     met = source.buckets().groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket", "least")
     met = saved(met)
-    members = source.buckets(sieve(met, "bucket")).join(met, "bucket")
-    members = saved(members.where("node != least").groupBy("bucket", "node").agg(F.min("least").alias("least")))
+    # Repeats go before the join, in partial aggregates: then a common passage is one row of its buckets.
+    members = saved(source.buckets(sieve(met, "bucket")).distinct().join(met, "bucket").where("node != least"))
     star = saved(members.select("node", "least").distinct())
     wanted = star.select("node").unionByName(star.select(F.col("least").alias("node")))
     sets = source.shingles(sieve(wanted, "node")).join(wanted.distinct(), "node", "left_semi")
