@@ -1,9 +1,9 @@
 """Substring dedup by paragraph MinHash banding.
 
-Texts are cut at line ends and, within a line, at sentence ends once a passage
-has enough words, so a passage that stands in the middle of other text comes out
-cut alike everywhere after its first long sentence. Copies of a passage are one
-node by hash. Distinct ones meet where a band of their MinHash values is equal;
+Texts are cut at line ends and at every sentence end, whatever stands around, so
+the sentences of a passage are cut alike wherever it stands; only where it starts
+or stops within a sentence are words of others glued to it. Copies of a passage
+are one node by hash. Distinct ones meet where a band of their MinHash values is equal;
 each is verified against the least of its bucket by exact Jaccard similarity of
 word shingles, and where one fails there, against the whole bucket in tiles.
 Components of verified links are the classes; a class found in two places is
@@ -46,29 +46,23 @@ class Hashes(dict):
         return found
 
 
-def passages(text: str, least: int) -> list[tuple[int, int, list[str]]]:
-    """(start, stop, words) in code points; every word is in one passage."""
-    found, words, start, at = [], [], 0, 0
+def passages(text: str) -> list[tuple[int, int, list[str]]]:
+    """(start, stop, words) in code points; every word is in one passage, a sentence or the rest of a line."""
+    found = []
     for m in SENTENCE.finditer(text):
-        if not words:
-            start = at
-        words += m[0].lower().split()
-        at = m.end()
-        if words and (len(words) >= least or m[0].endswith("\n")):
-            found.append((start, at, words))
-            words = []
-    if words:
-        found.append((start, len(text), words))
+        words = m[0].lower().split()
+        if words:
+            found.append((m.start(), m.end(), words))
     return found
 
 
 class Batch:
-    """Passages of a run of texts, hashed together."""
+    """Passages of a run of texts, hashed together. ``least`` is not read: no cut depends on a count of words."""
 
     def __init__(self, ids, texts, memo: Hashes, least: int, size: int):
         self.rows, words, counts = [], [], []
         for doc, text in zip(ids, texts):
-            for k, (a, b, w) in enumerate(passages(text or "", least)):
+            for k, (a, b, w) in enumerate(passages(text or "")):
                 self.rows.append((doc, k, a, b))
                 words += w
                 counts.append(len(w))
@@ -163,16 +157,20 @@ class Source:
 
         return self._run(emit, "doc_id long, no int, start int, stop int, n_words int, node long")
 
-    def buckets(self, bitmap=None) -> DataFrame:
+    def buckets(self, threshold: float, bitmap=None) -> DataFrame:
         """(bucket, node) of passages, repeats included."""
         bands, rows = self.bands, self.rows
+        few = threshold / (1 - threshold) - 1e-6 if threshold < 1 else np.inf
         shared = None if bitmap is None else self.docs.sparkSession.sparkContext.broadcast(bitmap)
 
         def emit(b):
-            keys, nodes = b.bands(bands, rows).ravel(), np.repeat(b.keys, bands)
+            keys = b.bands(bands, rows)
+            # Sets of under ``few`` shingles reach the threshold with equal sets only, and those meet in any band.
+            on = (b.counts - b.size + 1 >= few)[:, None] | (np.arange(bands) == 0)
             if shared is not None:
-                on = _passes(shared.value, keys)
-                keys, nodes = keys[on], nodes[on]
+                on &= _passes(shared.value, keys.ravel()).reshape(keys.shape)
+            nodes = np.broadcast_to(b.keys[:, None], keys.shape)[on]
+            keys = keys[on]
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes.view(np.int64))], ["bucket", "node"])
 
         return self._run(emit, "bucket long, node long")
@@ -197,10 +195,10 @@ SIMILARITY = "size(array_intersect(a, b)) / (size(a) + size(b) - size(array_inte
 def verified(source: Source, threshold: float, tile: int = 256) -> DataFrame:
     """Links (u, v) of distinct passages at the threshold; they connect what all links found by the bands connect."""
     spark = source.docs.sparkSession
-    met = source.buckets().groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket", "least")
+    met = source.buckets(threshold).groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket", "least")
     met = saved(met)
     # Repeats go before the join, in partial aggregates: then a common passage is one row of its buckets.
-    members = saved(source.buckets(sieve(met, "bucket")).distinct().join(met, "bucket").where("node != least"))
+    members = saved(source.buckets(threshold, sieve(met, "bucket")).distinct().join(met, "bucket").where("node != least"))
     star = saved(members.select("node", "least").distinct())
     wanted = star.select("node").unionByName(star.select(F.col("least").alias("node")))
     sets = source.shingles(sieve(wanted, "node")).join(wanted.distinct(), "node", "left_semi")
@@ -262,8 +260,7 @@ def repeated(
     too (another document, or a document of the same id elsewhere in its text),
     ``run_words`` words at least together; class_id is that of its longest
     passage, and remove says that all of its passages have an earlier place, in
-    order of (doc_id, position). ``least``: words from which a passage ends at a
-    sentence's end. Null and wordless texts have no passages, null ids no place;
+    order of (doc_id, position). ``least`` is not read. Null and wordless texts have no passages, null ids no place;
     rows that repeat an id are one document. Other columns are not read. An
     empty table gives no rows.
     """

@@ -404,6 +404,26 @@ def test_repeated_passages(spark):
     assert len(out) == 60 and out[20] == docs[20] and out[11] == "" and len(out[3]) < len(docs[3])
 
 
+@pytest.mark.parametrize("lengths", [(55,), (62,), (30, 28), (26, 26), (13, 14, 12, 16), (6, 7, 5, 8, 6, 9, 7, 6)])
+def test_passages_among_short_sentences_are_found(spark, lengths):
+    """Passages of 50 to 62 words in the middle of lines of short sentences, against the places they were put at."""
+    r = random.Random(str(lengths))
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(4, 8)))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    line = lambda: [sentence(r.randint(2, 8)) for _ in range(r.randint(5, 9))]
+    shared = [" ".join(sentence(n) for n in lengths) for _ in range(8)]
+    docs, places = [], []
+    for k in range(24):
+        before, after = " ".join([*line(), ""]), " ".join(["", *line()])
+        docs.append(before + shared[k // 3] + after)
+        places.append((len(before), len(before) + len(shared[k // 3])))
+    covered = {k: set() for k in range(24)}
+    for x in substring.repeated(made(spark, docs)).collect():
+        covered[x.doc_id] |= set(range(x.start, x.stop))
+    for k, (a, b) in enumerate(places):
+        assert covered[k] >= set(range(a, b)) and len(covered[k]) <= b - a + 1
+
+
 def test_verified_links_lose_nothing(spark):
     """Links against brute force over the same passages, with a bucket whose least member fails."""
     r = random.Random(9)
