@@ -256,34 +256,52 @@ def repeated(
 ) -> DataFrame:
     """Repeated stretches: (doc_id, start, stop, n_words, class_id, remove), start and stop in code points.
 
-    A stretch is a run of a document's passages that all stand in another place
-    too (another document, or a document of the same id elsewhere in its text),
-    ``run_words`` words at least together; class_id is that of its longest
-    passage, and remove says that all of its passages have an earlier place, in
-    order of (doc_id, position). ``least`` is not read. Null and wordless texts have no passages, null ids no place;
-    rows that repeat an id are one document. Other columns are not read. An
-    empty table gives no rows.
+    A run of a document's passages that all stand in another place too (another
+    document, or a document of the same id elsewhere in its text) is told if it
+    has ``run_words`` words at least together. Its rows are parts of it: passages
+    whose classes stand side by side, in this order, in every place told are one
+    part, others are parts of their own, so a part may have fewer words. Equal
+    parts have the same class_id, that of their first passage; remove says that
+    the part has an earlier place, in order of (doc_id, position). ``least`` is
+    not read. Null and wordless texts have no passages, null ids no place; rows
+    that repeat an id are one document. Other columns are not read. An empty
+    table gives no rows.
     """
     source = Source(docs.where("doc_id is not null"), least, size, bands_for(threshold, rows, recall), rows)
     classes = components(verified(source, threshold), "u", "v").withColumnRenamed("component", "class_id")
-    nodes = source.places().groupBy("node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    nodes = source.places().groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     nodes = nodes.join(classes, "node", "left").where("n > 1 or class_id is not null")
     nodes = saved(nodes.withColumn("class_id", F.coalesce("class_id", "node")))
     spread = nodes.groupBy("class_id").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
     shared = saved(nodes.select("node", "class_id").join(saved(spread), "class_id"))
     found = source.places(sieve(shared, "node")).join(shared, "node").dropDuplicates(["doc_id", "no"])
-    of_doc = Window.partitionBy("doc_id")
-    again = F.row_number().over(Window.partitionBy("doc_id", "class_id").orderBy("no")) > 1
-    run = (
-        found.withColumn("run", F.col("no") - F.row_number().over(of_doc.orderBy("no")))
-        .withColumn("later", (F.col("doc_id") > F.col("first")) | again)
-        .groupBy("doc_id", "run")
-        .agg(
-            F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("stop"), F.sum("n_words").alias("n_words"),
-            F.max_by("class_id", F.struct("n_words", -F.col("no"))).alias("class_id"), F.min("later").alias("remove"),
-        )
+    in_order = Window.partitionBy("doc_id").orderBy("no")
+    of_run = Window.partitionBy("doc_id", "run")
+    found = (
+        found.withColumn("run", F.col("no") - F.row_number().over(in_order))
+        .withColumn("told", F.sum("n_words").over(of_run) >= run_words)
+        .withColumn("before", F.when(F.col("told"), F.lag("class_id").over(of_run.orderBy("no"))))
+        .withColumn("after", F.when(F.col("told"), F.lead("class_id").over(of_run.orderBy("no"))))
+    )
+    found = saved(found)
+    # What stands in front of a class, or after it, in all places told; null if that differs or is nothing.
+    told = F.count(F.when(F.col("told"), 1))
+    only = lambda c: F.when((F.count(c) == told) & (F.min(c) == F.max(c)), F.min(c))
+    first_no = F.min(F.when(F.col("doc_id") == F.col("first"), F.col("no")))
+    ways = found.groupBy("class_id").agg(only("before").alias("only_before"), only("after").alias("only_after"), first_no.alias("first_no"))
+    told = found.where("told").drop("before", "after", "told").join(ways, "class_id")
+    ahead = lambda c: F.lag(c).over(of_run.orderBy("no"))
+    # Two neighbours stay together if they do so in every place, their first ones included.
+    joined = (
+        (F.col("only_before") == ahead("class_id")) & (ahead("only_after") == F.col("class_id")) & (ahead("first") == F.col("first")) & (ahead("first_no") + 1 == F.col("first_no"))
+    )
+    told = told.withColumn("starts", (~F.coalesce(joined, F.lit(False))).cast("int")).withColumn("part", F.sum("starts").over(in_order))
+    later = (F.col("doc_id") > F.col("first")) | (F.col("no") > F.col("first_no"))
+    parts = told.groupBy("doc_id", "part").agg(
+        F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("stop"), F.sum("n_words").alias("n_words"),
+        F.min_by("class_id", "no").alias("class_id"), F.min(later).alias("remove"),
     )
-    return run.where(F.col("n_words") >= run_words).drop("run")
+    return parts.drop("part")
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:

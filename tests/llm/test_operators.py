@@ -424,6 +424,22 @@ def test_passages_among_short_sentences_are_found(spark, lengths):
         assert covered[k] >= set(range(a, b)) and len(covered[k]) <= b - a + 1
 
 
+def test_neighbouring_passages_keep_their_classes(spark):
+    """Each passage of a run keeps all its places, and goes wherever it has an earlier one."""
+    r = random.Random(18)
+    sentence = lambda: (" ".join("".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(30)) + ".").capitalize()
+    a, b, c = [" ".join(sentence() for _ in range(2)) for _ in range(3)]
+    own = [sentence() for _ in range(6)]
+    docs = [f"{a}\n{own[0]}", f"{own[1]}\n{a}\n{b}", f"{b}\n{own[2]}", f"{c}\n{b}\n{c}\n{own[3]}", own[4], f"{a}\n{b}"]
+    places = {}
+    for x in substring.repeated(made(spark, docs)).collect():
+        places.setdefault(x.class_id, set()).add((x.doc_id, docs[x.doc_id][x.start : x.stop].strip(), x.remove))
+    want = [{(0, a, False), (1, a, True), (5, a, True)}, {(1, b, False), (2, b, True), (3, b, True), (5, b, True)}, {(3, c, False), (3, c, True)}]
+    assert sorted(map(sorted, places.values())) == sorted(map(sorted, want))
+    out = {x.doc_id: x.text.split() for x in substring.without_repeats(made(spark, docs)).collect()}
+    assert [out[k] for k in range(6)] == [t.split() for t in (docs[0], f"{own[1]} {b}", own[2], f"{c} {own[3]}", own[4], "")]
+
+
 def test_verified_links_lose_nothing(spark):
     """Links against brute force over the same passages, with a bucket whose least member fails."""
     r = random.Random(9)
