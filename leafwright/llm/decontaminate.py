@@ -93,6 +93,17 @@ def windows(tokens: np.ndarray, size: int) -> np.ndarray:
     return total ^ total >> np.uint64(32)
 
 
+def _paired(i, d, shift: int, width: int, original: np.ndarray, plain: np.ndarray) -> list[tuple[int, int]]:
+    """(item word, document word) of matched windows, one to one: nearest the shift first, then equal words."""
+    near = sorted({(abs(int(b) - int(a) - shift), original[int(a) + j] != plain[int(b) + j], int(a) + j, int(b) + j) for a, b in zip(i, d) for j in range(width)})
+    pairs, used = {}, set()
+    for _, _, a, b in near:
+        if a not in pairs and b not in used:
+            pairs[a] = b
+            used.add(b)
+    return sorted(pairs.items())
+
+
 @dataclass
 class Index:
     """A block's items by template window. Windows that are slots but for one word tell nothing and do not count."""
@@ -150,28 +161,36 @@ class Index:
                     continue
                 # The best stretch: matches whose shift is close to a common one.
                 shift, slack = d - i, max(width, len(original) // 4)
-                best: tuple = (0,)
+                stretches: dict[tuple, tuple] = {}
                 for s in np.unique(shift):
                     near = np.abs(shift - s) <= slack
                     matched = len(np.unique(i[near]))
-                    if matched > best[0]:
-                        best = (matched, near)
-                matched, near = best
-                if matched < threshold * total:
-                    continue
-                d, i = d[near], i[near]
-                pairs = sorted({(int(a) + j, int(b) + j) for a, b in zip(i, d) for j in range(width)})
-                stands: dict[int, dict[int, int]] = {}
-                for a, b in pairs:
-                    if slots[a]:
-                        sides = stands.setdefault(int(original[a]), {})
-                        sides[int(plain[b])] = sides.get(int(plain[b]), 0) + 1
-                n = sum(sum(s.values()) for s in stands.values())
-                agree = sum(max(s.values()) for s in stands.values())
-                if n and agree < threshold * n:
+                    if matched >= threshold * total:
+                        # Of stretches with the same matches, the shift with most of them on it.
+                        on = int((shift == s).sum())
+                        key = (matched, *np.flatnonzero(near)[[0, -1]])
+                        if key not in stretches or on > stretches[key][0]:
+                            stretches[key] = (on, matched, int(s), near)
+                # A copy word by word first, then the most matches; the first whose slots agree counts.
+                judged = []
+                for on, matched, s, near in stretches.values():
+                    pairs = _paired(i[near], d[near], s, width, original, plain)
+                    same = all(original[a] == plain[b] for a, b in pairs)
+                    judged.append((same, matched, on, -s, pairs))
+                for same, matched, _, _, pairs in sorted(judged, key=lambda x: x[:4], reverse=True):
+                    stands: dict[int, dict[int, int]] = {}
+                    for a, b in pairs:
+                        if slots[a]:
+                            sides = stands.setdefault(int(original[a]), {})
+                            sides[int(plain[b])] = sides.get(int(plain[b]), 0) + 1
+                    n = sum(sum(x.values()) for x in stands.values())
+                    agree = sum(max(x.values()) for x in stands.values())
+                    if same or not n or agree >= threshold * n:
+                        at_words = [b for _, b in pairs]
+                        found.append((name, matched / total, total, matched, n, agree, same, min(at_words), max(at_words)))
+                        break
+                else:
                     continue
-                same = all(original[a] == plain[b] for a, b in pairs)
-                found.append((name, matched / total, total, matched, n, agree, same, int(d.min()), int(d.max()) + width - 1))
                 if first:
                     return found
         return found

@@ -201,6 +201,21 @@ def test_decontamination_finds_all_passages(spark, texts, sf):
     assert many == got
 
 
+def test_decontamination_parallel_clauses(spark):
+    """Copies of items whose template windows repeat: verbatim ones, and one with other values; mixed-up values are none."""
+    items = [
+        "Anna buys 3 red apples, Tom buys 4 red apples, Eve buys 5 red apples.",
+        "On day 1 the shop sold 12 small boxes, on day 2 the shop sold 15 small boxes, on day 3 the shop sold 19 small boxes. How many boxes were sold?",
+    ]
+    other = "On day 4 the shop sold 22 small boxes, on day 6 the shop sold 25 small boxes, on day 8 the shop sold 29 small boxes. How many boxes were sold?"
+    around = "Some words stand in front of it here. {} And more words follow after it."
+    docs = made(spark, [around.format(items[0]), around.format(items[1]), around.format(other), around.format("No item is in this one.")])
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.verbatim, x.n_consistent == x.n_slots) for x in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(0, 0): (True, True), (1, 1): (True, True), (2, 1): (False, True)}
+    assert [x.doc_id for x in decontaminate.clean(docs, bench).collect()] == [3]
+
+
 def test_decontamination_slots(spark):
     item = "If Alice buys 3 apples and Bob buys 5 pears for 12 dollars then Alice has 3 apples in a bag of 2 kg total weight today."
     twin = "so it goes. If Carol buys 7 apples and Dave buys 9 pears for 30 dollars then Carol has 7 apples in a bag of 4 kg total weight today."
