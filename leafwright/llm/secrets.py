@@ -169,8 +169,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     # ends[i]: where the candidates before the i-th and the text in front of them end.
     sizes = "zip_with(gaps, runs, (g, c) -> length(g) + length(c))"
     found = found.select("*", F.expr(f"aggregate({sizes}, array(0), (t, x) -> concat(t, array(element_at(t, -1) + x)))").alias("ends"))
-    each = """transform(runs, (c, i) -> struct(get(ends, i) + length(get(gaps, i)) as start, c as c, right(get(gaps, i), 40) as b,
-        coalesce(left(get(gaps, i + 1), 8), substring(text, get(ends, i + 1) + 1, 8)) as a))"""
+    each = """transform(runs, (c, i) -> struct(get(ends, i) + length(get(gaps, i)) as start, c as c,
+        substring(text, greatest(1, get(ends, i) + length(get(gaps, i)) - 39), least(40, get(ends, i) + length(get(gaps, i)))) as b, substring(text, get(ends, i + 1) + 1, 8) as a))"""
     return found.select("doc_id", F.expr(each).alias("found"))
 
 

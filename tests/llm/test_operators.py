@@ -188,6 +188,18 @@ def test_secrets_candidates_by_hand(spark):
     assert secrets.scan(made(spark, AWKWARD)).count() == 0 and secrets.scan(made(spark, [])).count() == 0
 
 
+def test_secrets_behind_long_names(spark):
+    """What stands around a candidate is the text by position, other candidates included."""
+    value = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    names = ["AWS_SECRET_ACCESS_KEY", "GITHUB_ACCESS_TOKEN", "STRIPE_SECRET_KEY", "token"]
+    texts = [f'We set {n} = "{value}" there, then went on.' for n in names] + [f"The file_checksum_sha256 = {value} is a hash."]
+    for row in secrets.candidates(made(spark, texts)).select("doc_id", F.explode("found").alias("x")).collect():
+        t, x = texts[row.doc_id], row.x
+        assert x.b == t[max(0, x.start - 40) : x.start] and x.a == t[x.start + len(x.c) :][:8]
+    got = {(r.doc_id, r.secret) for r in secrets.scan(made(spark, texts)).collect()}
+    assert {(k, value) for k in range(4)} <= got and (4, value) not in got
+
+
 # 4: decontamination
 
 
