@@ -13,8 +13,8 @@ memory is bounded by a pool and the longest document of an Arrow batch.
 
 from __future__ import annotations
 
-import base64
 import heapq
+import json
 import zlib
 from array import array
 
@@ -28,25 +28,40 @@ from pyspark.sql import functions as F
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def byte_letters() -> dict[str, int]:
+    """Letter -> byte of byte-level vocabularies: printable Latin-1 stands for itself, the others follow from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 class Encoder:
-    """Byte-level BPE ids as little-endian unsigned 32-bit bytes.
+    """Byte-level BPE ids as little-endian unsigned 32-bit bytes, those of ``tokenizers`` for the vocabulary file at ``path``.
 
-    In this vocabulary's split pattern a space before a character that is not
-    white space always opens a new piece, so a text's ids are those of its
-    chunks at spaces, and a block of texts needs each distinct chunk but once.
-    Texts with other white space at a chunk's start go in whole.
+    The split pattern opens a new piece at a space before a character that is
+    not white space, so a text's ids are those of its chunks at spaces, and a
+    block of texts needs each distinct chunk but once; those go through the
+    same vocabulary's ranks. Texts with other white space at a chunk's start go
+    in whole, and texts that hold a special token's string go to ``tokenizers``.
     """
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)
+        self.special = [t["content"] for t in held.get("added_tokens", [])]
+        letters, vocabulary = byte_letters(), held["model"]["vocab"]
+        ranks = {bytes(map(letters.__getitem__, word)): i for word, i in vocabulary.items() if word not in self.special}
+        self.reference = Tokenizer.from_file(path)
         self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.spaced = np.zeros(max(ranks.values()) + 1, bool)
         self.spaced[[i for w, i in ranks.items() if w[:1] == b" "]] = True
 
     def whole(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return array("I", self.reference.encode(text, add_special_tokens=False).ids).tobytes()
         return array("I", self.bpe.encode_ordinary(text)).tobytes()
 
     def encode(self, texts: pa.Array) -> list[bytes]:
@@ -73,7 +88,9 @@ class Encoder:
         spread = ids[np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(begin[codes] - (ends - sizes), sizes)]
         odd = odd[codes]
         odd[offsets[:-1]] = False
-        strange = np.add.reduceat(odd, offsets[:-1]) > 0 if len(odd) else []
+        strange = np.add.reduceat(odd, offsets[:-1]) > 0 if len(odd) else np.zeros(len(texts), bool)
+        for token in self.special:
+            strange |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         cuts = np.append(0, ends)[offsets]
         return [
             self.whole(texts[k].as_py()) if strange[k] else self.whole(chunks[int(first[k])].as_py()) + spread[cuts[k] : cuts[k + 1]].tobytes()
@@ -132,7 +149,7 @@ def blocks(texts: pa.Array, most: int = 16 << 20):
 
 
 def pack(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 1024, piece: int = 256, pool: int = 1024) -> DataFrame:
-    """One row for each piece, columns as in ``SCHEMA``; ``vocabulary``: path of the ranks file.
+    """One row for each piece, columns as in ``SCHEMA``; ``vocabulary``: path of the ``tokenizers`` file, on every machine.
 
     What is left of a document after its whole windows is cut into pieces of
     ``piece`` ids and one of what remains, sizes that differencing can balance
