@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share: the session's ``spark.checkpoint.dir``, or where that is unset (local runs, tests) one of our own."""
+    """The folder that all machines share: the session's ``spark.checkpoint.dir``.
+
+    Where that is unset a run on one machine gets a temporary folder; a cluster
+    has no such folder of its own, and the call fails.
+    """
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not held.isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafwright-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="leafwright-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get()
 
@@ -27,12 +35,58 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete what lies at ``path``, in whatever store that is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+class Store:
+    """Tables in one place of the shared folder, as Parquet: later steps read only the columns they want, and their sizes are known to the planner."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.made = spark, shared_path(spark, name), 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.path}/{self.made}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        removed(self.spark, self.path)
+
+
+#: Rows that a side has at most to be broadcast; they are a key and a few numbers each.
+MOST = 50_000
+
+
+def looked_up(left: DataFrame, keys: DataFrame, key: str, count: str, how: str = "inner", most: int = MOST) -> DataFrame:
+    """``left`` joined with ``keys`` on ``key``, no key hot in a shuffle.
+
+    ``keys`` is a table at rest with each key once; ``count`` says how many rows
+    of ``left`` have it. Keys of more than a ``most``-th of those rows, which are
+    fewer than ``most``, are broadcast; rows of the others meet in a shuffle, where
+    no key has more than that share. ``how`` is inner, left or left_semi. ``left`` is read
+    twice if both kinds exist.
+    """
+    n, total = keys.agg(F.count("*"), F.sum(count)).first()
+    given = [] if how == "left_semi" else [c for c in keys.columns if c not in (key, count)]
+    table = keys.select(key, *given)
+    if n <= most:
+        return left.join(F.broadcast(table), key, how)
+    hot = F.col(count) > -(-total // most)
+    heavy, light = (F.broadcast(keys.where(hot).select(key, *given)), keys.where(~hot).select(key, *given))
+    few = left.join(heavy, key, "left_semi" if how == "left_semi" else "inner")
+    return few.unionByName(left.join(F.broadcast(keys.where(hot).select(key)), key, "left_anti").join(light, key, how).select(*few.columns))
+
+
 def components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
     """Connected components of the links ``a``-``b`` by alternating large-star and small-star steps.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bayes_svm, decontaminate, html_text, packing, pii, quality_rules, secrets, simhash, substring, warc
-from .common import shared_path, table
+from .common import table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.round_trip(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = warc.histories(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "history")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +73,16 @@ ORACLES: dict[str, str] = {
         with p as (
             select page_id, coalesce(html, '') as h, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest
             from pages
-        ), f as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by 1)
-        select page_id, payload_bytes, p.payload_digest,
-            case when page_id > first then 'revisit' else 'response' end as record_type,
-            case when page_id > first then first end as refers_to
-        from p left join f on f.payload_digest = p.payload_digest""",
+        ), f as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by 1),
+        k as (
+            select page_id, split_part(split_part(split_part(regexp_replace(split_part(lower(coalesce(url, '')), '#', 1), '^[a-z][a-z0-9+.-]*://(www[0-9]*[.])?', ''), '/', 1), '?', 1), ':', 1) as host,
+                regexp_replace(regexp_replace(split_part(lower(coalesce(url, '')), '#', 1), '^[a-z][a-z0-9+.-]*://(www[0-9]*[.])?', ''), '^[^/?]*', '') as rest,
+                strftime(timestamp '2024-01-01' + to_seconds(page_id % 1000000000), '%Y-%m-%dT%H:%M:%SZ') as captured
+            from pages
+        ), u as (select page_id, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || rest as url_key, captured from k)
+        select p.page_id, payload_bytes, p.payload_digest,
+            case when p.page_id > first then 'revisit' else 'response' end as record_type,
+            case when p.page_id > first then first end as refers_to,
+            url_key, captured, row_number() over (order by url_key, captured, p.page_id) as history
+        from p join u on u.page_id = p.page_id left join f on f.payload_digest = p.payload_digest""",
 }

@@ -1,12 +1,12 @@
 """WARC archives of pages, and their external index by loser-tree merging.
 
 Each task writes the records of its pages as archive files of a bounded count of
-records; the captures of one file, sorted by URL key and timestamp, are a run.
-All writing and reading goes through Spark, so archives can lie in any store.
-The index deals the runs out by range of (URL key, timestamp, page), which
-splits a URL key of any size, and each task merges its slices of the runs with a
-loser tree: partitions in order, and rows in order within, are the captures'
-global history.
+bytes; the captures of one file, sorted by URL key and timestamp, are a run.
+All writing and reading goes through Spark, so archives can lie in any store,
+and payloads go from the pages to the archives without a shuffle. The index
+deals the runs out by range of (URL key, timestamp, page), which splits a URL key
+of any size, and each task merges its slices of the runs with a loser tree: as
+many ranges as the count of captures asks for, so a task's slice has a bound.
 """
 
 from __future__ import annotations
@@ -14,16 +14,20 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import MOST, looked_up, removed, saved, shared_path
 
 CRLF = "\r\n"
 LEAST = 100  # bytes of a payload that can be revisited
+FILE_BYTES = 32 << 20  # of records in an archive file; a larger record has a file of its own
+SPAN = 1_000_000_000  # seconds over which capture times are dealt out
+SLICE = 200_000  # index rows of a merging task
 INDEX = (
     "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, captured string,"
     " archive string, record_offset long, record_length long"
@@ -38,7 +42,7 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, "\\.")), ","), F.lit(")"), F.regexp_replace(plain, "^[^/?]*", ""))
 
 
-def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
+def records(pages: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
     """Pages with what their records say: payload, its size and digest, record_type and refers_to."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("string")
     base = pages.select(
@@ -49,17 +53,29 @@ def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
         F.sha2(payload.cast("binary"), 256).alias("payload_digest"),
     )
     first = base.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    first = saved(first.where("n > 1").drop("n"))
+    # Digests that repeat, with the rows they have: the most common ones are broadcast, and without others nothing is shuffled.
+    first = saved(first.where("n > 1"))
     again = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
-    return base.join(first, "payload_digest", "left").select(
+    return looked_up(base, first, "payload_digest", "n", "left", most).select(
         *base.columns, F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to")
     )
 
 
-def write(recorded: DataFrame, path: str, per_file: int = 2000, start: str = "2024-01-01") -> None:
-    """Archive files at ``path``; a capture's time is ``start`` and a second for each page id."""
+def captured(start: str = "2024-01-01", span: int = SPAN) -> Column:
+    """A page's capture time: ``start`` and a second for each page id, counted round after ``span`` seconds."""
+    seconds = F.unix_timestamp(F.lit(start), "yyyy-MM-dd") + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(span))
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def write(recorded: DataFrame, path: str, file_bytes: int = FILE_BYTES, start: str = "2024-01-01", span: int = SPAN) -> None:
+    """Archive files at ``path`` of about ``file_bytes`` at most, or one record.
+
+    Records fall in classes by the power of four that bounds their bytes; a
+    task's n-th row is in part n * bound / file_bytes of its class, so a part
+    has file_bytes / bound records at most, and each part is a file of a task.
+    """
     safe = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]", "%20")
-    at = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(start), "yyyy-MM-dd") + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    at = captured(start, span)
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF)
@@ -78,8 +94,11 @@ def write(recorded: DataFrame, path: str, per_file: int = 2000, start: str = "20
         ).otherwise(""),
         F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF + CRLF), block,
     )
-    rows = recorded.select(head.alias("value"), url_key(F.col("url")).alias("k"), at.alias("t"), "page_id").sortWithinPartitions("k", "t", "page_id")
-    rows.select("value").write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", per_file).text(path)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    size = F.octet_length("value")
+    bound = F.greatest(F.lit(1 << 16), F.pow(F.lit(4.0), F.ceil(F.log(4.0, size.cast("double")))).cast("long"))
+    rows = recorded.select(head.alias("value"), row.alias("row")).select("value", bound.alias("bound"), F.floor(F.col("row") * bound / file_bytes).alias("part"))
+    rows.write.partitionBy("bound", "part").option("lineSep", CRLF + CRLF).text(path)
 
 
 FIELD = re.compile(rb"([A-Za-z0-9-]+): ?(.*?)\r\n")
@@ -101,33 +120,44 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], int, int, int, int]]:
         at = end + 4
 
 
+def _arrow(kind: str) -> pa.Schema:
+    return pa.schema([(x.split()[0], pa.int64() if x.endswith("long") else pa.string()) for x in kind.split(", ")])
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The index rows of all records in the archives at ``path``; payloads are measured, not believed."""
+    """The index rows of all records in the archives at ``path``, each file's in order, a run; payloads are measured, not believed."""
 
     def page(urn: str) -> int | None:
         value = urn.rpartition(":")[2].rstrip(">")
         return None if value == "null" else int(value)
 
+    schema = _arrow(INDEX)
+
     def run(batches):
-        names = [x.split()[0] for x in INDEX.split(", ")]
         for batch in batches:
             for k in range(batch.num_rows):
-                rows, data, file = [], batch.column(1)[k].as_buffer().to_pybytes(), batch.column(0)[k].as_py()
+                rows, data, file = [], batch.column(1)[k].as_py(), batch.column(0)[k].as_py()
+                view = memoryview(data)
                 for h, at, size, body, end in parse(data):
                     full = h["warc-type"] == "response"
                     rows.append(
                         (
                             page(h["warc-record-id"]), end - body if full else int(h["http-content-length"]),
-                            hashlib.sha256(data[body:end]).hexdigest() if full else h["warc-payload-digest"].removeprefix("sha256:"),
+                            hashlib.sha256(view[body:end]).hexdigest() if full else h["warc-payload-digest"].removeprefix("sha256:"),
                             h["warc-type"], None if full else page(h["warc-refers-to"]), h["x-url-key"], h["warc-date"], file, at, size,
                         )
                     )
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema)
+                rows.sort(key=lambda r: (*in_order(r[5], r[6], r[0]), r[8]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    schema = pa.schema([(x.split()[0], pa.int64() if x.endswith("long") else pa.string()) for x in INDEX.split(", ")])
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, INDEX)
 
 
+def in_order(key: str, at: str, page: int | None) -> tuple:
+    """Order of captures; a null page comes first, as in Spark."""
+    return key, at, page is not None, page or 0
+
+
 class LoserTree:
     """Merge of sorted iterators: each inner node keeps the loser of its match, so a step replays one path."""
 
@@ -163,36 +193,37 @@ class LoserTree:
             self._play(w)
 
 
-def merged(index: DataFrame) -> DataFrame:
-    """The index in global order, with ``history``, a capture's place: it rises with URL key, timestamp and page."""
-    spark = index.sparkSession
+def merged(index: DataFrame, rows: int = SLICE) -> DataFrame:
+    """The index in global order, with ``history``, a capture's place from 1: it rises with URL key, timestamp and page.
+
+    ``index`` is at rest. A task merges about ``rows`` captures, whatever their count.
+    """
     order = ["url_key", "captured", "page_id"]
-    dealt = index.repartitionByRange(max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))), *order, "archive", "record_offset")
-    dealt = dealt.sortWithinPartitions("archive", *order, "record_offset")
+    ranges = max(1, -(-index.count() // rows))
+    dealt = index.repartitionByRange(ranges, *order, "archive", "record_offset")
+    kind = INDEX + ", task int, place long"
+    schema = _arrow(INDEX).append(pa.field("task", pa.int32())).append(pa.field("place", pa.int64()))
 
     def run(batches):
-        # A task's slices of the runs: index entries only, a share of the whole that falls with the partitions.
-        slices: dict[str, list] = {}
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                slices.setdefault(row[7], []).append(row)
-        tree = LoserTree([iter(s) for s in slices.values()], lambda r: (r[5], r[6], r[0] is not None, r[0] or 0, r[8]))
-        place, out = TaskContext.get().partitionId() << 36, []
-
-        def batch_of(out):
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-
-        for n, row in enumerate(tree):
-            out.append((*row, place + n))
-            if len(out) == 8192:
-                yield batch_of(out)
-                out = []
-        if out:
-            yield batch_of(out)
-
-    kind = INDEX + ", history long"
-    schema = pa.schema([(x.split()[0], pa.int64() if x.endswith("long") else pa.string()) for x in kind.split(", ")])
-    return dealt.mapInArrow(run, kind)
+        held = pa.Table.from_batches(batches, _arrow(INDEX)).combine_chunks()
+        keys = [held.column(c).to_pylist() for c in (*order, "archive", "record_offset")]
+        runs: dict[str, list] = {}
+        for k, (key, at, page, archive, offset) in enumerate(zip(*keys)):
+            runs.setdefault(archive, []).append((*in_order(key, at, page), archive, offset, k))
+        # A run mostly comes as it lies in its archive's index, in order: then this is one look at it.
+        tree = LoserTree([iter(sorted(x)) for x in runs.values()], lambda r: r)
+        ahead = [r[-1] for r in tree]
+        task = TaskContext.get().partitionId()
+        held = held.take(pa.array(ahead, pa.int64())) if ahead else held
+        held = held.append_column("task", pa.array([task] * len(ahead), pa.int32())).append_column("place", pa.array(range(1, len(ahead) + 1), pa.int64()))
+        yield from held.cast(schema).to_batches(8192)
+
+    out = saved(dealt.mapInArrow(run, kind))
+    # What lies before a task's slice: a row for each task.
+    sizes = sorted(map(tuple, out.groupBy("task").count().collect()))
+    ends = accumulate((n for _, n in sizes), initial=0)
+    before = index.sparkSession.createDataFrame([(task, end) for (task, _), end in zip(sizes, ends)], "task int, before long")
+    return out.join(F.broadcast(before), "task").select(*(x.split()[0] for x in INDEX.split(", ")), (F.col("before") + F.col("place")).alias("history"))
 
 
 def round_trip(pages: DataFrame, path: str, least: int = LEAST) -> DataFrame:
@@ -207,3 +238,11 @@ def round_trip(pages: DataFrame, path: str, least: int = LEAST) -> DataFrame:
     write(records(pages, least), path)
     return merged(saved(read(spark, path)))
 
+
+def histories(pages: DataFrame, least: int = LEAST) -> DataFrame:
+    """``round_trip`` by way of archives that are deleted once they are read."""
+    path = shared_path(pages.sparkSession, "warc")
+    try:
+        return round_trip(pages, path, least)
+    finally:
+        removed(pages.sparkSession, path)

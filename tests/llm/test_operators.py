@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from leafwright.llm import bayes_svm, decontaminate, html_text, packing, pii, quality_rules, queries, secrets, simhash, substring, warc
-from leafwright.llm.common import components, shared_path, table
+from leafwright.llm.common import components, looked_up, shared_path, table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, component long, node long"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -369,6 +369,47 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0), shared_path(spark, "warc-none")).count() == 0
 
 
+def test_warc_awkward(spark):
+    """Ids of 2^62 and below zero, null and repeated ids, a page of 50 MB, many revisits, an empty table, and files and slices much smaller than the whole."""
+    body, common = "<p>" + "x" * 120, "<p>" + "y" * 300
+    rows = [(1 << 62, "http://a.example.com/", body), (10**13, "http://a.example.com/", body), (-5, "b", body), (None, "c", body), (None, "c", "z" * 200), (7, "d", "é" * 25_000_000), (7, "d", common)]
+    rows += [(100 + k, f"http://h{k % 7}.example.com/{k}", common if k % 3 else "w" * k) for k in range(300)] + [(100, "http://h0.example.com/0", "again")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    path = shared_path(spark, "warc-test")
+    warc.write(warc.records(pages, most=1), path, file_bytes=1 << 17)
+    files = spark.read.format("binaryFile").load(path).select("length").collect()
+    assert len(files) > 3 and sum(f.length > 1 << 17 for f in files) == 1
+    index = warc.merged(warc.saved(warc.read(spark, path)), rows=37).collect()
+    once = warc.histories(pages).collect()
+    assert collections.Counter(r[:7] for r in index) == collections.Counter(r[:7] for r in once) and len(index) == len(rows)
+    first = {}
+    for i, _, html in rows:
+        if i is not None and len(html.encode()) >= 100:
+            first[html] = min(i, first.get(html, i))
+    want = collections.Counter()
+    for i, _, html in rows:
+        f = first.get(html)
+        again = f is not None and (i is None or i > f)
+        want[(i, len(html.encode()), hashlib.sha256(html.encode()).hexdigest(), "revisit" if again else "response", f if again else None)] += 1
+    assert collections.Counter(tuple(r[:5]) for r in index) == want and any(k[3] == "revisit" for k in want)
+    order = [(r.url_key, r.captured, r.page_id is not None, r.page_id or 0) for r in sorted(index, key=lambda r: r.history)]
+    assert order == sorted(order) and sorted(r.history for r in index) == list(range(1, len(rows) + 1)) and all(len(r.captured) == 20 for r in index)
+    assert warc.histories(pages.limit(0)).count() == 0
+
+
+def test_lookups_agree(spark):
+    """Keys by broadcast, by shuffle, and by both."""
+    r = random.Random(13)
+    left = [(r.choice((1, 1, 1, r.randrange(40))), k) for k in range(300)]
+    counts = collections.Counter(k for k, _ in left)
+    keys = spark.createDataFrame([(k, n, -k) for k, n in counts.items() if k % 2 or k > 20], "k long, n long, v long")
+    rows = spark.createDataFrame(left, "k long, x long")
+    for how in ("inner", "left", "left_semi"):
+        want = sorted(map(str, rows.join(keys.drop("n"), "k", how).collect()))
+        for most in (1, 5, 100):
+            assert sorted(map(str, looked_up(rows, keys, "k", "n", how, most).collect())) == want
+
+
 # 8: classifier
 
 
