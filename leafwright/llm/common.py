@@ -59,6 +59,11 @@ class Store:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no later step reads."""
+        for file in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+            removed(self.spark, file)
+
     def close(self) -> None:
         removed(self.spark, self.path)
 
@@ -87,19 +92,21 @@ def looked_up(left: DataFrame, keys: DataFrame, key: str, count: str, how: str =
     return few.unionByName(left.join(F.broadcast(keys.where(hot).select(key)), key, "left_anti").join(light, key, how).select(*few.columns))
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, rounds: int = 50, store: Store | None = None) -> DataFrame:
     """Connected components of the links ``a``-``b`` by alternating large-star and small-star steps.
 
     Returns (node, component): component is the smallest node reachable. Nodes
     without links, links with a null end and self-links are left out. A node
     with very many links costs no more than its links: minima are partial
-    aggregates and the joins that hand them out can be split by AQE.
+    aggregates, and nodes with many links get theirs by broadcast. The result
+    lies in ``store``; tables of earlier rounds are deleted.
     """
+    store = store or Store(edges.sparkSession, "components")
     kind = edges.schema[a].dataType.simpleString()
     e = edges.select(F.greatest(a, b).cast(kind).alias("u"), F.least(a, b).cast(kind).alias("v")).where(
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
     )
-    e = saved(e.distinct())
+    e = store(e.distinct())
     last = None
     for _ in range(rounds):
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -107,12 +114,13 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
             break
         last = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        e = saved(e)
-        least = saved(e.groupBy("u").agg(F.min("v").alias("m")))
-        small = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        e = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        least = store(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = store(looked_up(both.where("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        lower = store(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = looked_up(large, lower, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        after = store(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct())
+        store.drop(e, least, large, lower)
+        e = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

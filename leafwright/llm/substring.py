@@ -9,9 +9,11 @@ word shingles, and where one fails there, against the whole bucket in tiles.
 Components of verified links are the classes; a class found in two places is
 repeated text, and all but its first place is for removal.
 
-Between passes a sieve of fixed size (a bitmap) lets through what a later join
-wants, and some more; joins after it are exact. It bounds what is shuffled, never
-what is found.
+One pass over the documents writes places, nodes and bands to the shared folder;
+buckets, classes and stretches come from there. A second pass makes shingle sets
+of the passages that are to be verified. Sieves, bitmaps of a size that follows
+the count of what is wanted up to a bound, thin out what a join reads; joins after
+them are exact, so they bound what is shuffled, never what is found.
 """
 
 from __future__ import annotations
@@ -20,15 +22,17 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, saved, tuples
+from .common import Store, components, looked_up, saved, tuples
+from .packing import blocks
 
 SENTENCE = re.compile(r"[^.!?\n]*[.!?]*\n?")
-SIEVE_BITS = 25
+SIEVE_BITS = (20, 28)  # of the smallest and the largest sieve, 128 kB and 32 MB
 
 
 def bands_for(threshold: float, rows: int, recall: float) -> int:
@@ -57,9 +61,9 @@ def passages(text: str) -> list[tuple[int, int, list[str]]]:
 
 
 class Batch:
-    """Passages of a run of texts, hashed together. ``least`` is not read: no cut depends on a count of words."""
+    """Passages of a run of texts, hashed together."""
 
-    def __init__(self, ids, texts, memo: Hashes, least: int, size: int):
+    def __init__(self, ids, texts, memo: Hashes, size: int):
         self.rows, words, counts = [], [], []
         for doc, text in zip(ids, texts):
             for k, (a, b, w) in enumerate(passages(text or "")):
@@ -110,8 +114,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def sieve(df: DataFrame, column: str, bits: int = SIEVE_BITS) -> np.ndarray:
-    """A bitmap of fixed size with the low bits of all values of ``column``; 2 ** (bits - 6) rows at most reach the driver."""
+def sieve(df: DataFrame, column: str) -> np.ndarray:
+    """A bitmap with the low bits of all values of ``column``, some eight bits for each up to the bound; it reaches the driver in words of 64 bits."""
+    least, most = SIEVE_BITS
+    bits = min(most, max(least, (8 * df.count()).bit_length()))
     low = df.select(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).alias("x"))
     words = low.groupBy(F.shiftright("x", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("m")).toArrow()
     bitmap = np.zeros(1 << bits - 6, np.uint64)
@@ -124,63 +130,68 @@ def _passes(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     return bitmap[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1) > 0
 
 
+def sifted(df: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
+    """The rows whose ``column`` the sieve lets through."""
+    shared = df.sparkSession.sparkContext.broadcast(bitmap)
+    at = df.columns.index(column)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_passes(shared.value, batch.column(at).to_numpy().view(np.uint64))))
+
+    return df.mapInArrow(run, df.schema)
+
+
 class Source:
     """Passes over the documents, each for what its step needs."""
 
-    def __init__(self, docs: DataFrame, least: int, size: int, bands: int, rows: int):
+    def __init__(self, docs: DataFrame, size: int, bands: int, rows: int, threshold: float):
         self.docs = docs.select(F.col("doc_id").cast("long"), "text")
-        self.least, self.size, self.bands, self.rows = least, size, bands, rows
+        self.size, self.bands, self.rows, self.threshold = size, bands, rows, threshold
 
     def _run(self, emit, schema: str) -> DataFrame:
-        least, size = self.least, self.size
+        size = self.size
 
         def run(batches):
-            memo = Hashes()
+            memo, seen = Hashes(), set()
             for batch in batches:
-                ids, texts = tuples(batch, "doc_id", "text")
-                for k in range(0, len(ids), 256):
-                    made = Batch(ids[k : k + 256], texts[k : k + 256], memo, least, size)
+                ids, texts = batch.column(0), batch.column(1)
+                for i, j in blocks(texts, 1 << 20):
+                    made = Batch(ids[i:j].to_pylist(), texts[i:j].to_pylist(), memo, size)
                     if made.rows:
-                        yield emit(made)
+                        yield emit(made, seen)
 
         return self.docs.mapInArrow(run, schema)
 
-    def places(self, bitmap=None) -> DataFrame:
-        """(doc_id, no, start, stop, n_words, node) of passages, those the sieve lets through if there is one."""
-        shared = None if bitmap is None else self.docs.sparkSession.sparkContext.broadcast(bitmap)
-
-        def emit(b):
-            keep = np.arange(len(b.rows)) if shared is None else np.flatnonzero(_passes(shared.value, b.keys))
-            doc, no, start, stop = zip(*[b.rows[i] for i in keep]) if len(keep) else [()] * 4
-            columns = [pa.array(doc, pa.int64()), *(pa.array(x, pa.int32()) for x in (no, start, stop)), pa.array(b.counts[keep], pa.int32()), pa.array(b.keys[keep].view(np.int64))]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "no", "start", "stop", "n_words", "node"])
-
-        return self._run(emit, "doc_id long, no int, start int, stop int, n_words int, node long")
-
-    def buckets(self, threshold: float, bitmap=None) -> DataFrame:
-        """(bucket, node) of passages, repeats included."""
+    def passages(self) -> DataFrame:
+        """(doc_id, no, start, stop, n_words, node, bands) of all passages, bands being their bucket keys."""
         bands, rows = self.bands, self.rows
-        few = threshold / (1 - threshold) - 1e-6 if threshold < 1 else np.inf
-        shared = None if bitmap is None else self.docs.sparkSession.sparkContext.broadcast(bitmap)
+        few = self.threshold / (1 - self.threshold) - 1e-6 if self.threshold < 1 else np.inf
 
-        def emit(b):
+        def emit(b, seen):
             keys = b.bands(bands, rows)
             # Sets of under ``few`` shingles reach the threshold with equal sets only, and those meet in any band.
             on = (b.counts - b.size + 1 >= few)[:, None] | (np.arange(bands) == 0)
-            if shared is not None:
-                on &= _passes(shared.value, keys.ravel()).reshape(keys.shape)
-            nodes = np.broadcast_to(b.keys[:, None], keys.shape)[on]
-            keys = keys[on]
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes.view(np.int64))], ["bucket", "node"])
+            doc, no, start, stop = zip(*b.rows)
+            held = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(on.sum(1))), pa.int32()), pa.array(keys[on].view(np.int64)))
+            columns = [pa.array(doc, pa.int64()), *(pa.array(x, pa.int32()) for x in (no, start, stop)), pa.array(b.counts, pa.int32()), pa.array(b.keys.view(np.int64)), held]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "no", "start", "stop", "n_words", "node", "bands"])
 
-        return self._run(emit, "bucket long, node long")
+        return self._run(emit, "doc_id long, no int, start int, stop int, n_words int, node long, bands array<long>")
 
     def shingles(self, bitmap) -> DataFrame:
-        """(node, shingles) of passages that the sieve lets through, repeats included."""
+        """(node, shingles) of passages that the sieve lets through; repeats within a task mostly once."""
         shared = self.docs.sparkSession.sparkContext.broadcast(bitmap)
 
-        def emit(b):
-            keep = np.flatnonzero(_passes(shared.value, b.keys))
+        def emit(b, seen):
+            if len(seen) > 200_000:
+                seen.clear()
+            keep = []
+            for i in np.flatnonzero(_passes(shared.value, b.keys)).tolist():
+                node = int(b.keys[i])
+                if node not in seen:
+                    seen.add(node)
+                    keep.append(i)
             shingles, first = b.shingled()
             ends = np.append(first[1:], len(shingles))
             sets = [np.unique(shingles[first[i] : ends[i]]).view(np.int64) for i in keep]
@@ -189,27 +200,47 @@ class Source:
         return self._run(emit, "node long, shingles array<long>")
 
 
+def _members(passages: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """(bucket, node) of what the sieve lets through, repeats included."""
+    shared = passages.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        for batch in batches:
+            bands = batch.column(1)
+            nodes = np.repeat(batch.column(0).to_numpy(), pc.list_value_length(bands).to_numpy())
+            keys = bands.flatten().to_numpy()
+            on = _passes(shared.value, keys.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[on]), pa.array(nodes[on])], ["bucket", "node"])
+
+    return passages.select("node", "bands").mapInArrow(run, "bucket long, node long")
+
+
 SIMILARITY = "size(array_intersect(a, b)) / (size(a) + size(b) - size(array_intersect(a, b)))"
 
 
-def verified(source: Source, threshold: float, tile: int = 256) -> DataFrame:
+def verified(source: Source, passages: DataFrame, store: Store, tile: int = 256) -> DataFrame:
     """Links (u, v) of distinct passages at the threshold; they connect what all links found by the bands connect."""
-    spark = source.docs.sparkSession
-    met = source.buckets(threshold).groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket", "least")
-    met = saved(met)
+    spark, threshold = source.docs.sparkSession, source.threshold
+    met = passages.select("node", F.explode("bands").alias("bucket")).groupBy("bucket")
+    met = store(met.agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).where("least < most").select("bucket", "least", "n"))
     # Repeats go before the join, in partial aggregates: then a common passage is one row of its buckets.
-    members = saved(source.buckets(threshold, sieve(met, "bucket")).distinct().join(met, "bucket").where("node != least"))
-    star = saved(members.select("node", "least").distinct())
-    wanted = star.select("node").unionByName(star.select(F.col("least").alias("node")))
-    sets = source.shingles(sieve(wanted, "node")).join(wanted.distinct(), "node", "left_semi")
-    sets = saved(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
-    a, b = sets.select("node", F.col("shingles").alias("a")), sets.select(F.col("node").alias("least"), F.col("shingles").alias("b"))
-    star = saved(star.join(a, "node").join(b, "least").select("node", "least", (F.expr(SIMILARITY) >= threshold).alias("good")))
+    members = looked_up(_members(passages, sieve(met, "bucket")).distinct(), met, "bucket", "n")
+    members = store(members.where("node != least").select("bucket", "node", "least"))
+    star = members.select("node", "least").distinct()
+    wanted = store(star.select("node").unionByName(star.select(F.col("least").alias("node"))).distinct())
+    sets = source.shingles(sieve(wanted, "node")).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = store(sets.join(wanted, "node", "left_semi"))
+    # A least passage meets as many members as its buckets have: its set goes out once for every ``tile`` of them.
+    fans = store(star.groupBy("least").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / tile)))
+    star = looked_up(star, fans, "least", "n").withColumn("part", F.pmod(F.xxhash64("node"), "parts")).drop("parts")
+    b = fans.join(sets.withColumnRenamed("node", "least"), "least").select("least", F.col("shingles").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    star = star.join(sets.select("node", F.col("shingles").alias("a")), "node").join(b, ["least", "part"])
+    star = store(star.select("node", "least", (F.expr(SIMILARITY) >= threshold).alias("good")))
     links = star.where("good").select(F.col("node").alias("u"), F.col("least").alias("v"))
     # A member that its bucket's least one does not link may link another member: those buckets are compared in tiles.
     failed = members.join(star.where("not good"), ["node", "least"], "left_semi").select("bucket", "node").withColumn("failed", F.lit(True))
     open_buckets = members.groupBy("bucket").agg((F.count("*") + 1).alias("n")).where("n > 2")
-    open_buckets = saved(open_buckets.join(failed.select("bucket").distinct(), "bucket", "left_semi").withColumn("parts", F.ceil(F.col("n") / tile)))
+    open_buckets = store(open_buckets.join(failed.select("bucket").distinct(), "bucket", "left_semi").withColumn("parts", F.ceil(F.col("n") / tile)))
     if open_buckets.isEmpty():
         return links
     rows = (
@@ -218,7 +249,7 @@ def verified(source: Source, threshold: float, tile: int = 256) -> DataFrame:
         .select("bucket", "parts", "node", F.coalesce("failed", F.lit(False)).alias("failed"), F.pmod(F.xxhash64("node"), "parts").alias("part"))
         .join(sets, "node")
     )
-    tiles = saved(rows.groupBy("bucket", "part").agg(F.first("parts").alias("parts"), F.collect_list(F.struct("node", "failed", "shingles")).alias("held")))
+    tiles = store(rows.groupBy("bucket", "part").agg(F.first("parts").alias("parts"), F.collect_list(F.struct("node", "failed", "shingles")).alias("held")))
     left = tiles.where("exists(held, x -> x.failed)").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pairs = left.select("bucket", "other", F.col("held").alias("mine")).join(tiles.select("bucket", F.col("part").alias("other"), "held"), ["bucket", "other"])
 
@@ -252,7 +283,7 @@ def verified(source: Source, threshold: float, tile: int = 256) -> DataFrame:
 
 
 def repeated(
-    docs: DataFrame, least: int = 12, run_words: int = 25, size: int = 5, threshold: float = 0.8, rows: int = 2, recall: float = 0.99
+    docs: DataFrame, run_words: int = 25, size: int = 5, threshold: float = 0.8, rows: int = 2, recall: float = 0.99
 ) -> DataFrame:
     """Repeated stretches: (doc_id, start, stop, n_words, class_id, remove), start and stop in code points.
 
@@ -262,19 +293,21 @@ def repeated(
     whose classes stand side by side, in this order, in every place told are one
     part, others are parts of their own, so a part may have fewer words. Equal
     parts have the same class_id, that of their first passage; remove says that
-    the part has an earlier place, in order of (doc_id, position). ``least`` is
-    not read. Null and wordless texts have no passages, null ids no place; rows
-    that repeat an id are one document. Other columns are not read. An empty
-    table gives no rows.
+    the part has an earlier place, in order of (doc_id, position). Null and
+    wordless texts have no passages, null ids no place; rows that repeat an id
+    are one document. Other columns are not read. An empty table gives no rows.
     """
-    source = Source(docs.where("doc_id is not null"), least, size, bands_for(threshold, rows, recall), rows)
-    classes = components(verified(source, threshold), "u", "v").withColumnRenamed("component", "class_id")
-    nodes = source.places().groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    source = Source(docs.where("doc_id is not null"), size, bands_for(threshold, rows, recall), rows, threshold)
+    store = Store(docs.sparkSession, "substring")
+    passages = store(source.passages())
+    classes = components(verified(source, passages, store), "u", "v", store=store).withColumnRenamed("component", "class_id")
+    nodes = passages.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     nodes = nodes.join(classes, "node", "left").where("n > 1 or class_id is not null")
-    nodes = saved(nodes.withColumn("class_id", F.coalesce("class_id", "node")))
-    spread = nodes.groupBy("class_id").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    shared = saved(nodes.select("node", "class_id").join(saved(spread), "class_id"))
-    found = source.places(sieve(shared, "node")).join(shared, "node").dropDuplicates(["doc_id", "no"])
+    nodes = store(nodes.withColumn("class_id", F.coalesce("class_id", "node")))
+    spread = store(nodes.groupBy("class_id").agg(F.min("first").alias("first"), F.sum("n").alias("all"), F.count("*").alias("of")).where("all > 1"))
+    shared = store(looked_up(nodes.select("node", "class_id", "n"), spread.select("class_id", "first", "of"), "class_id", "of"))
+    found = sifted(passages.drop("bands"), "node", sieve(shared, "node"))
+    found = looked_up(found, shared, "node", "n").dropDuplicates(["doc_id", "no"])
     in_order = Window.partitionBy("doc_id").orderBy("no")
     of_run = Window.partitionBy("doc_id", "run")
     found = (
@@ -283,13 +316,13 @@ def repeated(
         .withColumn("before", F.when(F.col("told"), F.lag("class_id").over(of_run.orderBy("no"))))
         .withColumn("after", F.when(F.col("told"), F.lead("class_id").over(of_run.orderBy("no"))))
     )
-    found = saved(found)
+    found = store(found)
     # What stands in front of a class, or after it, in all places told; null if that differs or is nothing.
     told = F.count(F.when(F.col("told"), 1))
     only = lambda c: F.when((F.count(c) == told) & (F.min(c) == F.max(c)), F.min(c))
     first_no = F.min(F.when(F.col("doc_id") == F.col("first"), F.col("no")))
-    ways = found.groupBy("class_id").agg(only("before").alias("only_before"), only("after").alias("only_after"), first_no.alias("first_no"))
-    told = found.where("told").drop("before", "after", "told").join(ways, "class_id")
+    ways = found.groupBy("class_id").agg(only("before").alias("only_before"), only("after").alias("only_after"), first_no.alias("first_no"), F.count("*").alias("n"))
+    told = looked_up(found.where("told").drop("before", "after", "told"), store(ways), "class_id", "n")
     ahead = lambda c: F.lag(c).over(of_run.orderBy("no"))
     # Two neighbours stay together if they do so in every place, their first ones included.
     joined = (
@@ -301,7 +334,9 @@ def repeated(
         F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("stop"), F.sum("n_words").alias("n_words"),
         F.min_by("class_id", "no").alias("class_id"), F.min(later).alias("remove"),
     )
-    return parts.drop("part")
+    parts = saved(parts.drop("part"))
+    store.close()
+    return parts
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:

@@ -520,9 +520,9 @@ def test_verified_links_lose_nothing(spark):
         texts.append(" ".join(words) + ".")
     docs = made(spark, texts)
     # With one value a band and many bands almost all pairs meet, so the tiles must say which are links.
-    source = substring.Source(docs, 12, 5, 40, 1)
-    got = {(x.u, x.v) for x in substring.verified(source, 0.8, tile=7).collect()}
-    batch = substring.Batch(list(range(60)), texts, substring.Hashes(), 12, 5)
+    source, store = substring.Source(docs, 5, 40, 1, 0.8), substring.Store(spark, "links-test")
+    got = {(x.u, x.v) for x in substring.verified(source, store(source.passages()), store, tile=7).collect()}
+    batch = substring.Batch(list(range(60)), texts, substring.Hashes(), 5)
     shingles, first = batch.shingled()
     sets = {int(k): frozenset(shingles[a:b].tolist()) for k, a, b in zip(batch.keys.view(np.int64), first, np.append(first[1:], len(shingles)))}
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
