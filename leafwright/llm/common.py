@@ -69,7 +69,7 @@ class Store:
 
 
 #: Rows that a side has at most to be broadcast; they are a key and a few numbers each.
-MOST = 50_000
+MOST = 200_000
 
 
 def looked_up(left: DataFrame, keys: DataFrame, key: str, count: str, how: str = "inner", most: int = MOST) -> DataFrame:
@@ -107,12 +107,11 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 50, store: Store
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
     )
     e = store(e.distinct())
-    last = None
     for _ in range(rounds):
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last or not now[0]:
+        # Done when each link leads from a node that has no other to one that leads nowhere.
+        n, nodes = e.agg(F.count("*"), F.countDistinct("u")).first()
+        if n == nodes and e.join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             break
-        last = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = store(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
         large = store(looked_up(both.where("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())

@@ -18,20 +18,16 @@ them are exact, so they bound what is shuffled, never what is found.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Store, components, looked_up, saved, tuples
+from .common import Store, components, looked_up, tuples
 from .packing import blocks
 
-SENTENCE = re.compile(r"[^.!?\n]*[.!?]*\n?")
 SIEVE_BITS = (20, 28)  # of the smallest and the largest sieve, 128 kB and 32 MB
 
 
@@ -40,48 +36,68 @@ def bands_for(threshold: float, rows: int, recall: float) -> int:
     return int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows)))
 
 
-class Hashes(dict):
-    def __init__(self, most: int = 200_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: str) -> int:
-        found = self[word] = xxhash.xxh64_intdigest(word, 5)
-        return found
+_random = np.random.default_rng(5)
+LETTERS = _random.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
+PLACES = _random.integers(1, 1 << 63, 1 << 16, np.uint64) | np.uint64(1)
+SPACE, STOP = np.zeros(256, bool), np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+STOP[list(b".!?")] = True
+LETTERS[SPACE] = 0
 
 
-def passages(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, stop, words) in code points; every word is in one passage, a sentence or the rest of a line."""
-    found = []
-    for m in SENTENCE.finditer(text):
-        words = m[0].lower().split()
-        if words:
-            found.append((m.start(), m.end(), words))
-    return found
+class Batch:
+    """Passages of a run of texts, hashed together, every word in one passage, a sentence or the rest of a line.
 
+    All is done on the texts' bytes in lower case, which has the code points of
+    the texts one by one: ``ids``, ``no``, ``start`` and ``stop`` say where a
+    passage is, in code points, ``keys`` what it is, and ``hashes`` has its words'.
+    """
 
-class Batch:
-    """Passages of a run of texts, hashed together."""
-
-    def __init__(self, ids, texts, memo: Hashes, size: int):
-        self.rows, words, counts = [], [], []
-        for doc, text in zip(ids, texts):
-            for k, (a, b, w) in enumerate(passages(text or "")):
-                self.rows.append((doc, k, a, b))
-                words += w
-                counts.append(len(w))
-        if len(memo) > memo.most:
-            memo.clear()
-        h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-        self.counts = np.array(counts, np.int64)
+    def __init__(self, ids: pa.Array, texts: pa.Array, size: int, chunk: int = 1 << 20):
+        texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        ends, n = ends - ends[0], int(ends[-1] - ends[0])
+        # A piece ends with a line, with the marks that end a sentence, and with a text.
+        line, stop = data == 10, STOP[data]
+        last = line | stop & ~np.append(stop[1:] | line[1:], False)
+        last[ends[1:][ends[1:] > ends[:-1]] - 1] = True
+        space = SPACE[data]
+        first = ~space & np.append(True, space[:-1] | last[:-1])[:n]
+        at = np.flatnonzero(first)  # of words
+        stops = np.flatnonzero(last) + 1  # of pieces
+        piece = np.searchsorted(stops, at, "right")
+        count = np.bincount(piece, minlength=len(stops)) if len(stops) else np.zeros(0, int)
+        some = np.flatnonzero(count)
+        starts = np.append(0, stops[:-1])[some] if len(stops) else some
+        stops, self.counts = stops[some], count[some]
+        self.doc = np.searchsorted(ends[1:], starts, "right")
+        self.no = np.arange(len(some)) - np.searchsorted(self.doc, self.doc)
+        letters = np.append(0, np.cumsum((data & 0xC0) != 0x80, dtype=np.int64))
+        self.start, self.stop = (letters[x] - letters[ends[self.doc]] for x in (starts, stops))
+        self.ids = ids.take(pa.array(self.doc))
         self.ends = np.cumsum(self.counts)
         self.begins = self.ends - self.counts
-        self.hashes, self.size = h, size
+        self.hashes, self.size = self._words(data, at, chunk), size
         # The whole sequence's hash, place by place.
+        h = self.hashes
         place = np.arange(len(h), dtype=np.uint64) - np.repeat(self.begins, self.counts).astype(np.uint64)
         whole = np.add.reduceat(_mix(h + _mix(place + np.uint64(1))), self.begins) if len(h) else np.zeros(0, np.uint64)
         self.keys = _mix(whole + self.counts.astype(np.uint64))
 
+    @staticmethod
+    def _words(data: np.ndarray, at: np.ndarray, chunk: int) -> np.ndarray:
+        """Hashes of the words that start ``at``; white space counts as nothing."""
+        out, k, n = np.zeros(len(at), np.uint64), 0, len(at)
+        while k < n:
+            j = max(k + 1, int(np.searchsorted(at, at[k] + chunk)))
+            a, b = at[k], at[j] if j < n else len(data)
+            lengths = np.diff(np.append(at[k:j], b))
+            place = np.arange(b - a) - np.repeat(at[k:j] - a, lengths)
+            out[k:j] = np.add.reduceat(LETTERS[data[a:b]] * PLACES[place & 0xFFFF], at[k:j] - a)
+            k = j
+        return _mix(out)
+
     def shingled(self) -> tuple[np.ndarray, np.ndarray]:
         """(shingles, where each passage's start); a passage shorter than a shingle is one shingle, its own hash."""
         h, size = self.hashes, self.size
@@ -98,8 +114,8 @@ class Batch:
     def bands(self, bands: int, rows: int) -> np.ndarray:
         """An array (passages, bands) of bucket keys."""
         seeds = np.random.default_rng(17).integers(1, 1 << 63, bands * rows, np.uint64)
-        out = np.zeros((len(self.rows), bands), np.uint64)
-        if not self.rows:
+        out = np.zeros((len(self.keys), bands), np.uint64)
+        if not len(out):
             return out
         shingles, first = self.shingled()
         for k, seed in enumerate(seeds):
@@ -153,12 +169,12 @@ class Source:
         size = self.size
 
         def run(batches):
-            memo, seen = Hashes(), set()
+            seen = set()
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1)
                 for i, j in blocks(texts, 1 << 20):
-                    made = Batch(ids[i:j].to_pylist(), texts[i:j].to_pylist(), memo, size)
-                    if made.rows:
+                    made = Batch(ids[i:j], texts[i:j], size)
+                    if len(made.keys):
                         yield emit(made, seen)
 
         return self.docs.mapInArrow(run, schema)
@@ -172,9 +188,8 @@ class Source:
             keys = b.bands(bands, rows)
             # Sets of under ``few`` shingles reach the threshold with equal sets only, and those meet in any band.
             on = (b.counts - b.size + 1 >= few)[:, None] | (np.arange(bands) == 0)
-            doc, no, start, stop = zip(*b.rows)
             held = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(on.sum(1))), pa.int32()), pa.array(keys[on].view(np.int64)))
-            columns = [pa.array(doc, pa.int64()), *(pa.array(x, pa.int32()) for x in (no, start, stop)), pa.array(b.counts, pa.int32()), pa.array(b.keys.view(np.int64)), held]
+            columns = [b.ids, *(pa.array(x, pa.int32()) for x in (b.no, b.start, b.stop, b.counts)), pa.array(b.keys.view(np.int64)), held]
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "no", "start", "stop", "n_words", "node", "bands"])
 
         return self._run(emit, "doc_id long, no int, start int, stop int, n_words int, node long, bands array<long>")
@@ -224,7 +239,7 @@ def verified(source: Source, passages: DataFrame, store: Store, tile: int = 256)
     met = passages.select("node", F.explode("bands").alias("bucket")).groupBy("bucket")
     met = store(met.agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).where("least < most").select("bucket", "least", "n"))
     # Repeats go before the join, in partial aggregates: then a common passage is one row of its buckets.
-    members = looked_up(_members(passages, sieve(met, "bucket")).distinct(), met, "bucket", "n")
+    members = looked_up(store(_members(passages, sieve(met, "bucket")).distinct()), met, "bucket", "n")
     members = store(members.where("node != least").select("bucket", "node", "least"))
     star = members.select("node", "least").distinct()
     wanted = store(star.select("node").unionByName(star.select(F.col("least").alias("node"))).distinct())
@@ -282,9 +297,7 @@ def verified(source: Source, passages: DataFrame, store: Store, tile: int = 256)
     return links.unionByName(more)
 
 
-def repeated(
-    docs: DataFrame, run_words: int = 25, size: int = 5, threshold: float = 0.8, rows: int = 2, recall: float = 0.99
-) -> DataFrame:
+def repeated(docs: DataFrame, run_words: int = 25, size: int = 5, threshold: float = 0.8, rows: int = 2, recall: float = 0.99) -> DataFrame:
     """Repeated stretches: (doc_id, start, stop, n_words, class_id, remove), start and stop in code points.
 
     A run of a document's passages that all stand in another place too (another
@@ -306,16 +319,13 @@ def repeated(
     nodes = store(nodes.withColumn("class_id", F.coalesce("class_id", "node")))
     spread = store(nodes.groupBy("class_id").agg(F.min("first").alias("first"), F.sum("n").alias("all"), F.count("*").alias("of")).where("all > 1"))
     shared = store(looked_up(nodes.select("node", "class_id", "n"), spread.select("class_id", "first", "of"), "class_id", "of"))
-    found = sifted(passages.drop("bands"), "node", sieve(shared, "node"))
+    found = store(sifted(passages.drop("bands"), "node", sieve(shared, "node")))
     found = looked_up(found, shared, "node", "n").dropDuplicates(["doc_id", "no"])
-    in_order = Window.partitionBy("doc_id").orderBy("no")
-    of_run = Window.partitionBy("doc_id", "run")
-    found = (
-        found.withColumn("run", F.col("no") - F.row_number().over(in_order))
-        .withColumn("told", F.sum("n_words").over(of_run) >= run_words)
-        .withColumn("before", F.when(F.col("told"), F.lag("class_id").over(of_run.orderBy("no"))))
-        .withColumn("after", F.when(F.col("told"), F.lead("class_id").over(of_run.orderBy("no"))))
-    )
+    found = found.withColumn("run", F.col("no") - F.row_number().over(Window.partitionBy("doc_id").orderBy("no")))
+    of_run = Window.partitionBy("doc_id", "run").orderBy("no")
+    whole_run = of_run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = found.withColumns({"told": F.sum("n_words").over(whole_run) >= run_words, "before": F.lag("class_id").over(of_run), "after": F.lead("class_id").over(of_run)})
+    found = found.withColumns({c: F.when(F.col("told"), F.col(c)) for c in ("before", "after")})
     found = store(found)
     # What stands in front of a class, or after it, in all places told; null if that differs or is nothing.
     told = F.count(F.when(F.col("told"), 1))
@@ -323,18 +333,18 @@ def repeated(
     first_no = F.min(F.when(F.col("doc_id") == F.col("first"), F.col("no")))
     ways = found.groupBy("class_id").agg(only("before").alias("only_before"), only("after").alias("only_after"), first_no.alias("first_no"), F.count("*").alias("n"))
     told = looked_up(found.where("told").drop("before", "after", "told"), store(ways), "class_id", "n")
-    ahead = lambda c: F.lag(c).over(of_run.orderBy("no"))
+    ahead = lambda c: F.lag(c).over(of_run)
     # Two neighbours stay together if they do so in every place, their first ones included.
     joined = (
         (F.col("only_before") == ahead("class_id")) & (ahead("only_after") == F.col("class_id")) & (ahead("first") == F.col("first")) & (ahead("first_no") + 1 == F.col("first_no"))
     )
-    told = told.withColumn("starts", (~F.coalesce(joined, F.lit(False))).cast("int")).withColumn("part", F.sum("starts").over(in_order))
+    told = told.withColumn("starts", (~F.coalesce(joined, F.lit(False))).cast("int")).withColumn("part", F.sum("starts").over(of_run))
     later = (F.col("doc_id") > F.col("first")) | (F.col("no") > F.col("first_no"))
-    parts = told.groupBy("doc_id", "part").agg(
+    parts = told.groupBy("doc_id", "run", "part").agg(
         F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("stop"), F.sum("n_words").alias("n_words"),
         F.min_by("class_id", "no").alias("class_id"), F.min(later).alias("remove"),
     )
-    parts = saved(parts.drop("part"))
+    parts = Store(docs.sparkSession, "repeated")(parts.drop("run", "part"))
     store.close()
     return parts
 

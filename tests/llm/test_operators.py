@@ -448,6 +448,30 @@ def test_dual_coordinate_descent_closes_the_gap():
 # 9: substring dedup
 
 
+def passages_by_hand(text):
+    """(start, stop, words): pieces end with a line or with the marks of a sentence; those without words are left out."""
+    found = []
+    for m in re.finditer(r"[^.!?\n]*[.!?]*\n?", text or ""):
+        words = re.findall(r"[^\x20\x09-\x0D]+", m[0].lower())
+        if words:
+            found.append((m.start(), m.end(), words))
+    return found
+
+
+def test_passages_by_hand(texts):
+    r = random.Random(14)
+    some = [*texts.values(), *AWKWARD, *("".join(r.choice("aBé. !?\n\t中🙂") for _ in range(r.randint(0, 80))) for _ in range(300))]
+    ids = pa.array(range(len(some)))
+    for chunk in (1 << 20, 7):
+        b = substring.Batch(ids.slice(0, len(some)), pa.array(some), 5, chunk)
+        got = list(zip(b.ids.to_pylist(), b.no.tolist(), b.start.tolist(), b.stop.tolist(), b.counts.tolist()))
+        want = [(k, i, x[0], x[1], len(x[2])) for k, t in enumerate(some) for i, x in enumerate(passages_by_hand(t))]
+        assert got == want
+        words = [tuple(x[2]) for t in some for x in passages_by_hand(t)]
+        assert len(set(words)) == len(set(zip(words, b.keys.tolist()))) == len(set(b.keys.tolist()))
+    assert len(substring.Batch(pa.array([], pa.int64()), pa.array([], pa.string()), 5).keys) == 0
+
+
 def test_repeated_passages(spark):
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7)))
@@ -522,7 +546,7 @@ def test_verified_links_lose_nothing(spark):
     # With one value a band and many bands almost all pairs meet, so the tiles must say which are links.
     source, store = substring.Source(docs, 5, 40, 1, 0.8), substring.Store(spark, "links-test")
     got = {(x.u, x.v) for x in substring.verified(source, store(source.passages()), store, tile=7).collect()}
-    batch = substring.Batch(list(range(60)), texts, substring.Hashes(), 5)
+    batch = substring.Batch(pa.array(range(60)), pa.array(texts), 5)
     shingles, first = batch.shingled()
     sets = {int(k): frozenset(shingles[a:b].tolist()) for k, a, b in zip(batch.keys.view(np.int64), first, np.append(first[1:], len(shingles)))}
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
