@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved, tuples
+from .common import components, looked_up, saved, tuples
 
 SEED = 42
 
@@ -91,56 +91,78 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int, sub: int = 128) ->
     return nodes[moved], nodes[label[moved]]
 
 
-def links(fps: DataFrame, radius: int = 4, tile_rows: int = 8192) -> DataFrame:
+def tiled(cells: list[tuple[int, int, int]], tile_rows: int) -> list[tuple[int, int, int, int]]:
+    """(hi, lo, first tile, parts) of each cell (hi, lo, count): small cells share a tile with those next to them, large ones have several."""
+    out, tile, held = [], -1, tile_rows
+    for hi, lo, n in sorted(cells):
+        parts = -(-n // tile_rows)
+        if parts > 1:
+            out.append((hi, lo, tile + 1, parts))
+            tile, held = tile + parts, tile_rows
+            continue
+        if held + n > tile_rows:
+            tile, held = tile + 1, 0
+        held += n
+        out.append((hi, lo, tile, 1))
+    return out
+
+
+def links(fps: DataFrame, radius: int = 4, tile_rows: int = 32768) -> DataFrame:
     """Links (u, v) that connect just what links of ``radius`` bits between distinct ``fp`` connect.
 
     ``fps`` has each fp once. The driver gets the counts by set bits of the two
     halves, 33 x 33 at most; a tile holds about ``tile_rows`` fingerprints
-    whatever the input.
+    whatever the input. A pair of tiles is made if some cells of theirs are
+    within the radius; each tile goes to its pairs in one shuffle.
     """
     spark = fps.sparkSession
     fps = fps.select(
         "fp", F.bit_count(F.shiftrightunsigned("fp", 32)).alias("hi"), F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).alias("lo")
     )
-    cells = [(r.hi, r.lo, -(-r["count"] // tile_rows)) for r in fps.groupBy("hi", "lo").count().collect()]
-    near = [
-        (*a, *b) for a in cells for b in cells if a[:2] <= b[:2] and abs(a[0] - b[0]) + abs(a[1] - b[1]) <= radius
-    ]
-    grid = spark.createDataFrame(cells or [(0, 0, 1)], "hi int, lo int, parts long")
+    cells = tiled([tuple(r) for r in fps.groupBy("hi", "lo").count().collect()], tile_rows)
+    grid = spark.createDataFrame(cells or [(0, 0, 0, 1)], "hi int, lo int, tile long, parts long")
     tiles = (
         fps.join(F.broadcast(grid), ["hi", "lo"])
-        .withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
-        .groupBy("hi", "lo", "part")
+        .withColumn("tile", F.col("tile") + F.pmod(F.xxhash64("fp"), F.col("parts")))
+        .groupBy("tile")
         .agg(F.collect_list("fp").alias("fps"))
     )
     tiles = saved(tiles)
+    # Ranges of tiles that are near, a row for each pair of cells at most; the pairs are made where they are used.
+    near = {(s, p, t, q) for h, l, s, p in cells for k, m, t, q in cells if (s, t) == (min(s, t), max(s, t)) and abs(h - k) + abs(l - m) <= radius}
     pairs = (
-        spark.createDataFrame(near or [(0, 0, 1, 0, 0, 1)], "ahi int, alo int, aparts long, bhi int, blo int, bparts long")
-        .withColumn("apart", F.explode(F.sequence(F.lit(0), F.col("aparts") - 1)))
-        .withColumn("bpart", F.explode(F.sequence(F.lit(0), F.col("bparts") - 1)))
-        .where("ahi < bhi or alo < blo or apart <= bpart")
+        spark.createDataFrame(sorted(near) or [(0, 1, 0, 1)], "s long, p long, t long, q long")
+        .select(F.explode(F.sequence(F.col("s"), F.col("s") + F.col("p") - 1)).alias("a"), "t", "q")
+        .select("a", F.explode(F.sequence(F.col("t"), F.col("t") + F.col("q") - 1)).alias("b"))
+        .where("a <= b")
+        .distinct()
+        .withColumn("pair", F.xxhash64("a", "b"))
     )
-    one = tiles.select(*(F.col(c).alias("a" + c) for c in tiles.columns))
-    two = tiles.select(*(F.col(c).alias("b" + c) for c in tiles.columns))
-    same = F.expr("ahi = bhi and alo = blo and apart = bpart")
+    count = sum(p * q for _, p, _, q in near)
+    ends = pairs.select("pair", F.col("a").alias("tile"), F.lit(0).alias("side")).unionByName(pairs.where("a < b").select("pair", F.col("b").alias("tile"), F.lit(1).alias("side")))
+    dealt = ends.join(tiles, "tile").select("pair", "side", "fps").repartition(max(1, min(count, 100_000)), "pair").sortWithinPartitions("pair", "side")
 
     def run(batches):
+        last, mine = None, None
+
+        def found(a, b):
+            u, v = forest(a, b, radius)
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+
+        # A pair comes as its first tile, then, unless it is the pair of a tile with itself, its second.
         for batch in batches:
-            for a, b, same in zip(*tuples(batch, "afps", "bfps", "same")):
-                if a:
-                    u, v = forest(np.array(a, np.int64).view(np.uint64), None if same else np.array(b, np.int64).view(np.uint64), radius)
-                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
-
-    return (
-        pairs.join(one, ["ahi", "alo", "apart"])
-        .join(two, ["bhi", "blo", "bpart"])
-        .select("afps", "bfps", same.alias("same"))
-        .repartition(spark.sparkContext.defaultParallelism * 4)
-        .mapInArrow(run, "u long, v long")
-    )
+            for k in range(batch.num_rows):
+                pair, held = batch.column(0)[k].as_py(), batch.column(2)[k].values.to_numpy().view(np.uint64)
+                if mine is not None:
+                    yield found(mine, held if pair == last else None)
+                last, mine = (None, None) if pair == last else (pair, held)
+        if mine is not None:
+            yield found(mine, None)
+
+    return dealt.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, tile_rows: int = 8192) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, tile_rows: int = 32768) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs``.
 
     Null and wordless texts have fingerprint zero and link like any other. A
@@ -149,12 +171,12 @@ def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, tile_rows:
     other than doc_id and text are not read. An empty table gives no rows.
     """
     each = saved(fingerprints(docs, size))
-    distinct = saved(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = saved(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     parts = components(links(distinct, radius, tile_rows), "u", "v").withColumnRenamed("node", "fp")
-    classes = distinct.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    smallest = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = saved(classes.join(smallest, "component").select("fp", "component_id"))
-    return each.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = saved(distinct.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    smallest = saved(classes.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("of")))
+    classes = saved(looked_up(classes.select("fp", "component", "n"), smallest, "component", "of").select("fp", "component_id", "n"))
+    return looked_up(each, classes, "fp", "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 4, size: int = 4) -> DataFrame:
