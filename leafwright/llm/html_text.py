@@ -1,10 +1,13 @@
 """Main text of web pages from streaming parser events and text-to-tag ratios.
 
-The standard library's parser gives events; block tags cut them into lines. A
-line's ratio is its text, without that of menus, adverts and the like, to its
-tags. The ratios are smoothed with a Gaussian, a multiple of their deviation is
-the threshold, and runs of lines over it are the content clusters. The region is
-what the clusters' container holds, so short paragraphs between long ones stay.
+The standard library's parser gives events; block tags cut them into lines, and
+containers are numbered, each with its parent, so a line costs one number
+however deep it lies. A line's ratio is its text to its tags, nothing for text in
+menus, adverts and the like, and link text does not count. The ratios are
+smoothed with a Gaussian, a multiple of their deviation is the threshold, and
+runs of lines over it are the content clusters. The clusters choose the
+containers that are content: all that lies in them belongs to the text, short
+paragraphs and headings too, and what lies outside does not.
 """
 
 from __future__ import annotations
@@ -30,34 +33,55 @@ BLOCK = frozenset(
 )
 #: Containers that a stray end tag of inline text cannot close.
 CONTAINER = BLOCK - {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd"}
-#: Furniture by class, id or role.
+#: Furniture by class, id or role: names that say so alone, and words that may stand with them.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies"
     " disclaimer disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related"
     " respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+BESIDE = frozenset(
+    "area bar block bottom box buttons container content form global inner item left links list main page panel post posts reader right section site slot"
+    " text thread top unit user wrap wrapper".split()
+)
+HEADER = frozenset(("header", "masthead", "banner"))
+TITLED = frozenset(("content", "post", "posts", "text"))  # a header of these holds a title
 WORDS = re.compile(r"[a-z]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def furnished(names: str) -> set[str]:
+    """Furniture names among class, id and role: of tokens all of whose words are such names or stand beside them."""
+    found: set[str] = set()
+    for token in names.lower().split():
+        words = set(WORDS.findall(token))
+        if words and words <= NAMES | BESIDE and (HEADER.isdisjoint(words) or TITLED.isdisjoint(words)):
+            found |= words & NAMES
+    return found
 
 
 class Lines(HTMLParser):
-    """Lines of a page: [text parts, tags, container path, whether furniture]."""
+    """Lines of a page: (text parts, characters of link text, tags, container, furniture container or 0, tag of the block)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, number, unseen, furniture
-        self.lines: list[tuple[list[str], int, tuple, bool]] = []
+        self.stack: list[tuple[str, int, bool, int]] = []  # tag, container, unseen, furniture container
+        self.open: dict[str, list[int]] = {}  # tag -> where it is in the stack
+        self.walls: list[int] = []  # where containers are in the stack
+        self.parent, self.tag, self.form = [0], [""], [False]  # of containers, by number
+        self.lines: list[tuple[list[str], int, int, int, int, str]] = []
         self.parts: list[str] = []
-        self.tags = self.made = 0
+        self.tags = self.linked = self.whole = 0  # whole: open article and main tags
 
     def cut(self):
         if self.parts or self.tags:
-            path = tuple((tag, number) for tag, number, _, _ in self.stack if tag in CONTAINER)
-            self.lines.append((self.parts, self.tags, path, bool(self.stack) and self.stack[-1][3]))
-        self.parts, self.tags = [], 0
+            tag, at, _, furniture = self.stack[-1] if self.stack else ("", 0, False, 0)
+            self.lines.append((self.parts, self.linked, self.tags, at, furniture, tag))
+        self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.cut()
+            self._close("head")  # a block tag ends a head that was left open
         self.tags += 1
         if tag in VOID:
             if tag == "br":
@@ -67,12 +91,21 @@ class Lines(HTMLParser):
             self._close("p")
         elif tag in ("li", "dt", "dd", "tr", "option"):
             self._close(tag)
-        unseen, furniture = (self.stack[-1][2], self.stack[-1][3]) if self.stack else (False, False)
-        within = any(x[0] in ("article", "main") for x in self.stack)
-        names = WORDS.findall(" ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role")))
-        furniture |= tag in FURNITURE or tag == "header" and not within or (tag not in ("html", "body", "article", "main") and not NAMES.isdisjoint(names) and not (within and tag == "header"))
-        self.made += 1
-        self.stack.append((tag, self.made, unseen or tag in UNSEEN, furniture))
+        _, at, unseen, furniture = self.stack[-1] if self.stack else ("", 0, False, 0)
+        names = furnished(" ".join(v for k, v in attrs if v and k in ("class", "id", "role")))
+        own = tag in FURNITURE or tag not in ("html", "body", "article", "main") and bool(names - HEADER if self.whole else names)
+        own |= tag == "header" and not self.whole
+        if tag in CONTAINER or own:
+            self.parent.append(at)
+            self.tag.append(tag)
+            at = len(self.parent) - 1
+            furniture = furniture or (at if own else 0)
+            self.form.append(tag == "form")
+        self.whole += tag in ("article", "main")
+        if tag in CONTAINER:
+            self.walls.append(len(self.stack))
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, at, unseen or tag in UNSEEN, furniture))
         if tag in ("td", "th"):
             self.parts.append(" ")
 
@@ -82,12 +115,17 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def _close(self, tag):
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                return
-            if self.stack[k][0] in CONTAINER and tag not in CONTAINER:
-                return
+        """Close the innermost ``tag`` and what is open in it; an end of inline text does not reach through a container."""
+        places = self.open.get(tag)
+        if not places or tag not in CONTAINER and self.walls and self.walls[-1] > places[-1]:
+            return
+        place = places[-1]
+        while len(self.stack) > place:
+            gone = self.stack.pop()[0]
+            self.open[gone].pop()
+            self.whole -= gone in ("article", "main")
+        while self.walls and self.walls[-1] >= place:
+            self.walls.pop()
 
     def handle_endtag(self, tag):
         self.tags += 1
@@ -99,6 +137,8 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if not (self.stack and self.stack[-1][2]):
             self.parts.append(data)
+            if self.open.get("a"):
+                self.linked += len(data)
 
 
 def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -107,37 +147,92 @@ def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, "edge"), kernel / kernel.sum(), "valid")
 
 
-def main_text(html: str | None, sigma: float = 1.0, factor: float = 0.5) -> str:
-    """The article's blocks, in order, with two newlines between; empty if there is none."""
+def _within(mass: list[int], parent: list[int]) -> list[int]:
+    """Sums over containers and all that lies in them; numbers grow inwards."""
+    mass = list(mass)
+    for k in range(len(parent) - 1, 0, -1):
+        mass[parent[k]] += mass[k]
+    return mass
+
+
+def regions(content: list[int], sizes: list[int], where: list[int], parent: list[int], tag: list[str], least: float) -> set[int]:
+    """Numbers of the containers that the lines ``content`` choose; ``sizes`` and ``where``: text and container of each line."""
+    mass, own = [0] * len(parent), [False] * len(parent)
+    for k in content:
+        mass[where[k]] += sizes[k]
+        own[where[k]] = True
+    mass = _within(mass, parent)
+    children: dict[int, list[int]] = {}
+    for k in range(1, len(parent)):
+        if mass[k]:
+            children.setdefault(parent[k], []).append(k)
+    whole = [t in ("article", "main") for t in tag]
+    for k in range(1, len(parent)):
+        whole[k] |= whole[parent[k]]
+    # Inwards as long as one container has all the clusters, or outside of articles those of weight.
+    at = 0
+    while not own[at]:
+        some = children.get(at, [])
+        heavy = max((mass[c] for c in some), default=0)
+        kept = [c for c in some if whole[at] or mass[c] >= least * heavy]
+        if len(kept) != 1:
+            return set(kept) or {at}
+        at = kept[0]
+    while tag[at] not in ("article", "main") and whole[at]:  # the rest of its article, such as a heading above the body
+        at = parent[at]
+    return {at}
+
+
+def main_text(html: str | None, sigma: float = 1.0, factor: float = 1.0, least: float = 0.2, most: float = 0.5) -> str:
+    """The article's blocks, in order, with two newlines between; empty if there is none.
+
+    ``sigma`` and ``factor``: width of the Gaussian in lines, and threshold in
+    deviations of the smoothed ratios. Clusters outside of articles count if
+    their container has ``least`` of the heaviest one's text. What is named as
+    furniture is none if all text of the page but other furniture's lies in it,
+    and a form is none from a share ``most`` of the page's text on.
+    """
     parser = Lines()
     parser.feed(html or "")
     if parser.rawdata.startswith("<!--"):  # a comment that never ends is no text
         parser.rawdata = ""
     parser.close()
     parser.cut()
-    lines = [(" ".join("".join(parts).split()), tags, path, furniture) for parts, tags, path, furniture in parser.lines]
-    if not any(text and not furniture for text, _, _, furniture in lines):
+    parent, tag = parser.parent, parser.tag
+    texts = [" ".join("".join(x[0]).split()) for x in parser.lines]
+    where, furniture = [x[3] for x in parser.lines], [x[4] for x in parser.lines]
+    # A form around most of the page, or a named container that nearly all else lies in, is a wrapper.
+    total, mass, free = sum(map(len, texts)), [0] * len(parent), 0
+    for text, f in zip(texts, furniture):
+        mass[f] += len(text)
+    free = mass[0]
+    wrapper = {f for f in set(furniture) if f and (mass[f] > most * total if parser.form[f] else mass[f] > 0.9 * (mass[f] + free))}
+    if wrapper:  # what is furniture within it still is
+        inner = [0] * len(parent)
+        for k in range(1, len(parent)):
+            inner[k] = inner[parent[k]] or (k if k not in wrapper and tag[k] in FURNITURE - {"form"} else 0)
+        furniture = [inner[w] if f in wrapper else f for w, f in zip(where, furniture)]
+    if not any(text and not f for text, f in zip(texts, furniture)):
         return ""
-    ratios = np.array([0.0 if furniture else len(text) / max(1, tags) for text, tags, _, furniture in lines])
+    ratios = np.array([0.0 if f else max(0, len(t) - x[1]) / max(1, x[2]) for t, f, x in zip(texts, furniture, parser.lines)])
     even = smooth(ratios, sigma)
-    content = [k for k in np.flatnonzero((even >= factor * even.std()) & (ratios > 0)) if lines[k][0]] or [int(ratios.argmax())]
-    # The container that holds the clusters: an article or main part if there is one, else the one with most of their text.
-    whole = [x for k in content for x in lines[k][2] if x[0] == "article"] or [x for k in content for x in lines[k][2] if x[0] == "main"]
-    if whole:
-        chosen = set(whole)
-    else:
-        mass: dict[tuple, int] = {}
-        total = sum(len(lines[k][0]) for k in content)
-        for k in content:
-            for x in lines[k][2]:
-                mass[x] = mass.get(x, 0) + len(lines[k][0])
-        # The innermost that still has most of it; numbers grow inwards.
-        inner = [x for x, n in mass.items() if 2 * n > total]
-        chosen = {max(inner, key=lambda x: x[1])} if inner else None
-    return "\n\n".join(text for text, _, path, furniture in lines if text and not furniture and (chosen is None or not chosen.isdisjoint(path)))
-
-
-def extract(pages: DataFrame, sigma: float = 1.0, factor: float = 0.5) -> DataFrame:
+    content = [int(k) for k in np.flatnonzero((even >= factor * even.std()) & (ratios > 0)) if texts[k]] or [k for k in [int(ratios.argmax())] if texts[k]]
+    content = content or [k for k, (t, f) in enumerate(zip(texts, furniture)) if t and not f]
+    chosen = regions(content, [len(t) for t in texts], where, parent, tag, least)
+    inside = [False] * len(parent)
+    for k in range(len(parent)):
+        inside[k] = k in chosen or k > 0 and inside[parent[k]]
+    held = [k for k, (t, f) in enumerate(zip(texts, furniture)) if t and not f and inside[where[k]]]
+    if chosen == {0} or all(tag[c] in ("html", "body") for c in chosen):
+        # No container is narrower than the page: from the first cluster to the last, with a heading right above.
+        held = [k for k in held if content[0] <= k <= content[-1]]
+    heading = [k for k, (t, f, x) in enumerate(zip(texts, furniture, parser.lines)) if t and not f and x[5] == "h1" and held and k < held[0]]
+    if heading and not any(parser.lines[k][5] == "h1" for k in held):
+        held = [heading[-1], *held]
+    return "\n\n".join(texts[k] for k in held)
+
+
+def extract(pages: DataFrame, sigma: float = 1.0, factor: float = 1.0) -> DataFrame:
     """(page_id, url, text, n_chars) for each row.
 
     Null, empty and textless html give an empty text; repeated rows and null

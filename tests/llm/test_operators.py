@@ -330,6 +330,54 @@ def test_html(spark):
     assert sorted(r.n_chars for r in html_text.extract(odd).collect())[0] == 0 and html_text.extract(odd).count() == 3 and html_text.extract(odd.limit(0)).count() == 0
 
 
+LONG = ["The first paragraph goes on for quite a while, so that nobody takes it for a menu.", "The second paragraph has as much to say, and says it at some length as well.", "And a third one closes the article with words enough to be told from its surroundings."]
+BODY = "".join(f"<p>{x}</p>" for x in LONG)
+TEXT = "\n\n".join(LONG)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<body><div class="page has-sidebar"><nav><a>x</a></nav><div>{BODY}</div></div></body>', TEXT),
+        (f'<body><div class="with-sidebar"><article>{BODY}</article></div><div class="sidebar"><p>side</p></div></body>', TEXT),
+        (f'<body><form><nav><ul><li><a>one</a></li></ul></nav><div>{BODY}</div><input></form></body>', TEXT),
+        (f'<body><article><p class="notice-board">{LONG[0]}</p><h2 class="share-price">Price</h2><p>{LONG[1]}</p><div class="comments"><p>{LONG[2]}</p></div></article></body>', f"{LONG[0]}\n\nPrice\n\n{LONG[1]}"),
+        (f"<body><main>{BODY}</main><article><p><a>Read on here</a></p></article></body>", TEXT),
+        (f"<body><div><section>{BODY}</section><section><p>{LONG[1]}</p><p>{LONG[2]}</p></section></div></body>", f"{TEXT}\n\n{LONG[1]}\n\n{LONG[2]}"),
+        (f'<html><title>T</title><body><div class="post-header"><h1>Title</h1></div><div>{BODY}</div></body>', f"Title\n\n{TEXT}"),
+        (f"<html><head><title>T</title><body><div>{BODY}</div></body>", TEXT),
+        (f"<body><div><p>{LONG[0]}</p><blockquote>{LONG[1]}</blockquote><table><tr><td>{LONG[2]}</td></tr></table></div></body>", TEXT),
+        (f"<body><div><a>one</a><br><a>two</a></div><div>{BODY}<p>Of.</p></div><div><a>three</a></div></body>", f"{TEXT}\n\nOf."),
+    ],
+)
+def test_html_shapes(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_html_clusters_decide(monkeypatch):
+    """Threshold and smoothing change what is taken from a page without any name or tag that tells."""
+    links = "<div>" + "".join(f"<p>entry {k}</p>" for k in range(40)) + "</div>"
+    page = f"<body>{links}<div>{BODY}</div></body>"
+    assert html_text.main_text(page) == TEXT
+    assert html_text.main_text(page, factor=0.0) != TEXT and html_text.main_text(page, factor=4.0) != html_text.main_text(page, factor=0.0)
+    monkeypatch.setattr(html_text, "smooth", lambda r, sigma: np.zeros(len(r)))
+    assert html_text.main_text(page) != TEXT
+
+
+def test_html_deep_pages_are_linear():
+    import time
+    import tracemalloc
+
+    for part in ("<div>", "<b>", "<div><b></i>", "<p>x<b>"):
+        tracemalloc.start()
+        begin = time.process_time()
+        html_text.main_text(part * 20_000 + "some text that is there")
+        took, (_, peak) = time.process_time() - begin, tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert took < 20 and peak < 100 << 20
+    assert html_text.main_text("<div>" * 100_000 + "some text that is there") == "some text that is there"
+
+
 def test_html_on_pages(spark, sf):
     import html as entities
 
