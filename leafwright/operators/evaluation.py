@@ -8,7 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from leafwright.functions.text import let, squeezed, strip
 
@@ -82,7 +82,7 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, block_bytes: int = PHRASE_
 
 
 def text_labels(text: Column) -> Column:
-    """Labels of a page that its text alone tells."""
+    """Labels of a page that its text alone tells; the patterns are fixed values."""
     dots = (F.length(text) - F.length(F.replace(text, F.lit("......"), F.lit("")))) / 6 + F.regexp_count(text, F.lit("…")) + F.regexp_count(text, F.lit(r"[^\s]\s*\.{3,}\s*\d+"))
     has = lambda c, name: F.when(c, F.lit(name))
     return F.array_compact(
@@ -138,10 +138,26 @@ def near_vectors(vectors: DataFrame, limit: float) -> DataFrame:
     return a.join(b, ["label", "band"]).where("a < b").select("a", "b", d.alias("distance")).where(F.col("distance") < limit)
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """difflib's ratio, exact and quadratic; for pairs already narrowed down."""
-    return (a.fillna("").combine(b.fillna(""), lambda x, y: difflib.SequenceMatcher(None, x, y, autojunk=False).ratio())).astype(float)
+COMPARED = StructType([StructField(n, DoubleType() if n == "ratio" else LongType()) for n in ("chars_a", "chars_b", "ratio", "changed_lines")])
+
+
+@F.pandas_udf(COMPARED)
+def compared(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Lengths, difflib's ratio, and the lines that a unified diff adds or takes away, of two whole texts; null is empty."""
+
+    def one(x, y):
+        lines = difflib.unified_diff(x.splitlines(), y.splitlines(), n=0, lineterm="")
+        changed = sum(line[:1] in ("+", "-") for line in lines if line[:3] not in ("+++", "---"))
+        return len(x), len(y), difflib.SequenceMatcher(None, x, y).ratio(), changed
+
+    return pd.DataFrame([one(x, y) for x, y in zip(a.fillna(""), b.fillna(""))], columns=["chars_a", "chars_b", "ratio", "changed_lines"])
+
+
+def concatenated(pages: DataFrame) -> DataFrame:
+    """(doc_id, md): a document's whole pages in order, each under its marker, a rule between."""
+    part = F.concat(F.lit("<!-- PAGE "), F.col("page_no").cast("string"), F.lit(" -->\n\n"), F.coalesce("text", F.lit("")))
+    rows = F.array_sort(F.collect_list(F.struct("page_no", part.alias("p"))))
+    return pages.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda x: x.p), "\n\n---\n\n").alias("md"))
 
 
 def gate(text: Column, covered: Column, encrypted: Column, least: float = 0.85) -> Column:

@@ -61,12 +61,15 @@ def first_success(attempts: DataFrame, tries: int = 3) -> DataFrame:
     return few.groupBy("job").agg(F.coalesce(hit, F.count("*")).cast("long").alias("used"), hit.isNotNull().alias("ok"), hit.cast("long").alias("at_try"))
 
 
+def engine_totals(attempts: DataFrame) -> DataFrame:
+    """(job, engine, n, ok, seconds): tries, those that succeeded, and their time, of each engine."""
+    return attempts.groupBy("job", "engine").agg(F.count("*").alias("n"), F.count_if("ok").alias("ok"), F.sum("seconds").alias("seconds"))
+
+
 def warm_mean(items: DataFrame) -> DataFrame:
-    """(grp, cold, warm_mean, n): the first item apart, the mean of the others."""
-    n = F.row_number().over(Window.partitionBy("grp").orderBy("seq"))
-    return items.withColumn("n", n).groupBy("grp").agg(
-        F.max(F.when(F.col("n") == 1, F.col("seconds"))).alias("cold"), F.avg(F.when(F.col("n") > 1, F.col("seconds"))).alias("warm_mean"), F.count("*").alias("n")
-    )
+    """(grp, cold, warm_mean, n): the first item apart, the mean of the others; partial aggregates, so a group of any size is no sort."""
+    held = items.groupBy("grp").agg(F.min_by("seconds", "seq").alias("cold"), F.sum("seconds").alias("total"), F.count("*").alias("n"))
+    return held.select("grp", "cold", ((F.col("total") - F.col("cold")) / F.expr("nullif(n - 1, 0)")).alias("warm_mean"), "n")
 
 
 def differential(totals: DataFrame) -> DataFrame:

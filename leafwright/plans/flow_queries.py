@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from leafwright.options import ExtractOptions
-from leafwright.sources.driver_tables import SQL_PAGES, layout_blocks, ocr_lines, pages, table
+from leafwright.sources.driver_tables import SQL_BLOCKS, SQL_OCR, SQL_PAGES, layout_blocks, ocr_lines, pages, table
 from leafwright.streaming import ingest
 
 from . import extract
+from .geometry_queries import RENDERED
 from .registry import query, sql_strip
 
 
@@ -24,25 +26,40 @@ def extract_text_path(spark, d):
     return extract.extract(pages(table(spark, d, "documents")), ExtractOptions(pages="1-2,4"))
 
 
-@query()
+_ALL = SQL_OCR.replace(", ocr as (", ", every as (") + ", ocr as (select * from every where conf >= 0.5)"
+_LAID = RENDERED.replace(SQL_OCR, _ALL).replace("distinct doc_id, page_no from ocr)", "distinct doc_id, page_no from every)")
+
+
+@query(
+    f"""with laid as ({_LAID}), {_ALL}, {SQL_BLOCKS.replace("distinct doc_id, page_no from ocr)", "distinct doc_id, page_no from every)")},
+    flat as (select doc_id, page_no, string_agg(text, chr(10) order by floor(y0 / 20), x0, line_id) as plain from ocr group by 1, 2),
+    body as (select doc_id, page_no, case when exists (select 1 from blocks b where b.doc_id = pg.doc_id and b.page_no = pg.page_no and score >= 0.3) then laid.text else plain end as t
+        from pg left join laid using (doc_id, page_no) left join flat using (doc_id, page_no))
+    select doc_id, page_no as page, 'hybrid' as engine, coalesce(t, '') as text, case when t is null then 'no lines' end as error, length(coalesce(t, ''))::int as chars from body"""
+)
 def extract_hybrid_path(spark, d):
     docs = table(spark, d, "documents")
     return extract.extract(pages(docs), ExtractOptions(engine="hybrid"), ocr_lines(docs), layout_blocks(docs))
 
 
 def _scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new path that all machines reach: in the checkpoint folder, or on one machine in a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = tempfile.gettempdir()
     return f"{base}/ingest-{uuid.uuid4().hex}"
 
 
-@query("select 'd' || doc_id as cache_key, left(text, 50) as text from documents where text <> ''")
+@query("select 'd' || doc_id as cache_key, text from documents where text <> ''")
 def ingest_incremental(spark, d):
     """A stream over the document files into a cache table, run twice: the second run finds nothing new.
 
     The path is a pattern, as a stream takes a pattern or a folder but no single file.
     """
     docs, path = table(spark, d, "documents"), _scratch(spark)
-    keyed = lambda b: b.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("cache_key"), F.left("text", F.lit(50)).alias("text"))
+    keyed = lambda b: b.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("cache_key"), "text")
     for _ in range(2):
         ingest.ingest(spark, f"{d}/documents.parque[t]", docs.schema, keyed, f"{path}/table", f"{path}/state")
     return ingest.cached(spark, f"{path}/table")

@@ -91,8 +91,7 @@ def reading_order(spark, d):
 MARK = layout.ORPHANS.replace("'", "''")
 
 
-@query(
-    f"""with {RATIO}, {POSITION.split("kept as (select * from blocks where score >= 0.3), ", 1)[1]},
+RENDERED = f"""with {RATIO}, {POSITION.split("kept as (select * from blocks where score >= 0.3), ", 1)[1]},
     txt as (select doc_id, page_no, block_idx, string_agg(text, chr(10) order by y0, x0, line_id) as t from placed group by 1, 2, 3),
     part as (select p.doc_id, p.page_no, position, case
         when label = 'table' then '<!-- table structure unavailable (bbox=[' || k.x0 || ', ' || k.y0 || ', ' || k.x1 || ', ' || k.y1 || ']) -->' || coalesce(chr(10) || chr(10) || t, '')
@@ -103,7 +102,9 @@ MARK = layout.ORPHANS.replace("'", "''")
         union all select doc_id, page_no, 999999, '{MARK}' || chr(10) || chr(10) || t from txt where block_idx is null)
     select doc_id, page_no, coalesce(string_agg(s, chr(10) || chr(10) order by position), '') as text, count(*) filter (where position < 999999) as blocks,
         (select count(*) from placed q where q.doc_id = part.doc_id and q.page_no = part.page_no and q.block_idx is null) as orphans from part group by 1, 2"""
-)
+
+
+@query(RENDERED)
 def render_page_md(spark, d):
     blocks = _blocks(spark, d)
     return layout.markdown(_lines(spark, d), blocks, _widths(blocks)).select("doc_id", "page_no", "text", "blocks", "orphans")
@@ -261,8 +262,43 @@ def output_names(spark, d):
     return table(spark, d, "part").select("p_partkey", layout.output_path(F.concat(F.lit("d"), F.col("p_partkey").cast("string")), suffix, extension).alias("path"))
 
 
-@query()
+@query(
+    f"""with {SQL_OCR}, p as (select doc_id, page_no, string_agg(text, chr(10) order by line_id) as text from ocr group by 1, 2)
+    select doc_id, page_no, text, null::varchar as error, case when text = '' then 3 else 1 end::int as tries from p"""
+)
 def recognise_double(spark, d):
-    """The engine boundary with the test double, which decodes bytes and is no recogniser."""
-    images = ocr_lines(table(spark, d, "documents")).groupBy("doc_id", "page_no").agg(F.max("text").cast("binary").alias("image"))
+    """The engine boundary with the test double, which decodes bytes and is no recogniser: a page's "image" is its lines."""
+    lines = F.array_sort(F.collect_list(F.struct("line_id", "text")))
+    images = _lines(spark, d).groupBy("doc_id", "page_no").agg(F.array_join(F.transform(lines, lambda x: x.text), "\n").cast("binary").alias("image"))
     return recognition.recognise(images, "double")
+
+
+@query(f"with {KEPT} select doc_id, page_no, max(x1)::double as page_w from kept group by 1, 2")
+def page_width(spark, d):
+    """Pages whose image tells no width are as wide as their furthest block."""
+    return layout.page_widths(_blocks(spark, d))
+
+
+@query(
+    """select page_id as doc_id, 1::int as page_no from pages where 100 + page_id % 40 > 80 and page_id % 3 <> 0 and page_id % 5 <> 0"""
+)
+def two_column_pages(spark, d):
+    """Words set in two columns, in one, or across the gap, from page ids."""
+    k = F.col("page_id")
+    rows = table(spark, d, "pages").select(k.alias("doc_id"), F.lit(1).alias("page_no"), F.explode(F.sequence(F.lit(0), F.lit(199) + (k % 40).cast("int"))).alias("i"))
+    left = (F.col("i") * 7 % 300).cast("double") + 60
+    x0 = F.when(F.col("doc_id") % 3 == 0, left).when(F.col("i") % 2 == 0, left).otherwise(left + 600)
+    x0 = F.when((F.col("doc_id") % 5 == 0) & (F.col("i") % 10 == 0), F.lit(600.0)).otherwise(x0)
+    return evaluation.two_column(rows.select("doc_id", "page_no", x0.alias("x0"), F.lit(float(PAGE_WIDTH)).alias("page_w")))
+
+
+@query("select page_id as doc_id, 1::int as page_no from pages where page_id % 8 >= 4")
+def table_line_pages(spark, d):
+    """Strokes from page ids: some long and level, the others short or slanting."""
+    k = F.col("page_id")
+    rows = table(spark, d, "pages").select(k.alias("doc_id"), F.lit(1).alias("page_no"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"))
+    level = F.col("i") < F.col("doc_id") % 8
+    y0 = (F.col("i") * 20).cast("double")
+    x1 = F.when(level, 800.0).when(F.col("i") % 2 == 0, 150.0).otherwise(900.0)
+    y1 = F.when(level | (F.col("i") % 2 == 0), y0 + 0.5).otherwise(y0 + 40)
+    return evaluation.ruled(rows.select("doc_id", "page_no", F.lit(0.0).alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), F.lit(float(PAGE_WIDTH)).alias("page_w")))

@@ -73,11 +73,10 @@ def diff_cost(spark, d):
     return report.differential(totals).select("grp", F.round("per_item", 6).alias("per_item"), F.round("fixed", 4).alias("fixed"))
 
 
-@query("select user_id as job, " + ", ".join(f"count(*) filter (where event_type = '{e}') as n_{e}, round(coalesce(sum(value) filter (where event_type = '{e}'), 0), 4) as s_{e}" for e in ("click", "view")) + " from events group by 1")
+@query("select user_id as job, event_type as engine, count(*) as n, count(*) filter (where event_type <> 'error') as ok, round(sum(value), 4) as seconds from events group by 1, 2")
 def engine_totals(spark, d):
-    """Counts and seconds by engine, a column for each of a fixed list."""
-    each = [x for e in ("click", "view") for x in (F.count_if(F.col("engine") == e).alias(f"n_{e}"), F.round(F.coalesce(F.sum(F.when(F.col("engine") == e, F.col("seconds"))), F.lit(0.0)), 4).alias(f"s_{e}"))]
-    return _attempts(spark, d).groupBy("job").agg(*each)
+    """A row for each job and engine that it used, whatever engines there are."""
+    return report.engine_totals(_attempts(spark, d)).withColumn("seconds", F.round("seconds", 4))
 
 
 @query(

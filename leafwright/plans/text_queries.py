@@ -265,28 +265,14 @@ def keyword_triage(spark, d):
     return few.select("doc_id", F.explode("few").alias("x")).select("doc_id", "x.page_no", (-F.col("x.p")).alias("priority"))
 
 
-PAIRS = r"with f as (select source, doc_id, left(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), 200) as t from documents qualify row_number() over (partition by source order by doc_id) <= 3)"
-
-
-def _pairs(spark, d):
-    """Pairs among the first three documents of each source: a report on a fixed few."""
-    few = _docs(spark, d).select("source", "doc_id", F.left(F.regexp_replace("text", r"[^\x00-\x7F]", "?"), F.lit(200)).alias("t"))
-    top = few.groupBy("source").agg(F.slice(F.array_sort(F.collect_list(F.struct("doc_id", "t"))), 1, 3).alias("few")).select("source", F.explode("few").alias("x")).select("source", "x.*")
-    a, b = top.toDF("source", "a", "ta"), top.toDF("source", "b", "tb")
-    return a.join(b, "source").where("a < b")
-
-
-@query(PAIRS + " select x.source, x.doc_id as a, y.doc_id as b, levenshtein(x.t, y.t)::bigint as distance from f x join f y on x.source = y.source and x.doc_id < y.doc_id")
-def text_edit_distance(spark, d):
-    return _pairs(spark, d).select("source", "a", "b", F.levenshtein("ta", "tb").cast("long").alias("distance"))
-
-
 @query()
 def text_similarity(spark, d):
-    return _pairs(spark, d).select("source", "a", "b", F.round(evaluation.sequence_ratio("ta", "tb"), 6).alias("ratio"))
+    """Two versions of every page, whole: the second has each third line in capitals and lacks each seventh."""
+    second = "array_join(filter(transform(split(text, '\\n'), (x, i) -> struct(if(i % 3 = 2, upper(x), x) as x, i as i)), y -> y.i % 7 <> 6).x, '\\n')"
+    both = _pages(spark, d).select("doc_id", "page_no", evaluation.compared(F.col("text"), F.expr(second)).alias("q"))
+    return both.select("doc_id", "page_no", "q.chars_a", "q.chars_b", F.round("q.ratio", 6).alias("ratio"), "q.changed_lines")
 
 
-@query("select source, string_agg('<!-- PAGE ' || doc_id || ' -->' || chr(10) || left(text, 40), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by doc_id) as md from documents group by 1")
+@query(f"with {SQL_PAGES} select doc_id, string_agg('<!-- PAGE ' || page_no || ' -->' || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by page_no) as md from page group by 1")
 def page_concat(spark, d):
-    part = F.concat(F.lit("<!-- PAGE "), F.col("doc_id").cast("string"), F.lit(" -->\n"), F.left("text", F.lit(40)))
-    return _docs(spark, d).groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("p")))), lambda x: x.p), "\n\n---\n\n").alias("md"))
+    return evaluation.concatenated(_pages(spark, d))

@@ -227,3 +227,22 @@ def test_extract_facade(spark):
     got = {(r.doc_id, r.page): r for r in extract.extract(pages, ExtractOptions(pages="1"), lines).collect()}
     assert got[(2, 1)].text == "seen" and (1, 2) not in got
     assert extract.tool_result(extract.extract_report(extract.extract(pages))).columns == ["status", "engine", "pages", "total_time", "issues", "output"]
+
+
+def test_text_similarity_on_whole_pages(spark, sf):
+    """Against difflib on the texts themselves."""
+    import difflib
+
+    from leafwright.plans import QUERIES
+    from leafwright.sources.driver_tables import pages, table
+
+    rows = {(r.doc_id, r.page_no): r for r in QUERIES["text_similarity"](spark, sf).collect()}
+    texts = pages(table(spark, sf, "documents")).collect()
+    assert len(rows) == len(texts)
+    for p in texts:
+        lines = [x.upper() if i % 3 == 2 else x for i, x in enumerate(p.text.split("\n")) if i % 7 != 6]
+        other, r = "\n".join(lines), rows[p.doc_id, p.page_no]
+        assert (r.chars_a, r.chars_b) == (len(p.text), len(other))
+        assert abs(r.ratio - difflib.SequenceMatcher(None, p.text, other).ratio()) < 1e-6
+        changed = [x for x in difflib.unified_diff(p.text.splitlines(), other.splitlines(), lineterm="") if x[:1] in "+-" and x[:3] not in ("+++", "---")]
+        assert r.changed_lines == len(changed)
