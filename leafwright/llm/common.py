@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,6 +128,27 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 50, store: Store
     )
 
 
+#: Bits of the smallest and the largest sieve, 128 kB and 32 MB.
+SIEVE_BITS = (20, 28)
+
+
+def sieve(df: DataFrame, column: str) -> np.ndarray:
+    """A bitmap with the low bits of all values of ``column``, some eight bits for each up to the bound; it reaches the driver in words of 64 bits."""
+    least, most = SIEVE_BITS
+    bits = min(most, max(least, (8 * df.count()).bit_length()))
+    low = df.select(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).alias("x"))
+    words = low.groupBy(F.shiftright("x", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("m")).toArrow()
+    bitmap = np.zeros(1 << bits - 6, np.uint64)
+    bitmap[words.column("w").to_numpy()] = words.column("m").to_numpy().view(np.uint64)
+    return bitmap
+
+
+def passes(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the values the sieve lets through."""
+    low = values & np.uint64((len(bitmap) << 6) - 1)
+    return bitmap[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1) > 0
+
+
 def tuples(batch, *names):
     """Columns of an Arrow record batch as Python lists."""
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]

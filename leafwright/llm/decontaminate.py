@@ -2,27 +2,29 @@
 
 Numbers, names and units become typed placeholders, so that an item and a
 re-parameterised copy have the same template. Hashes of a document's template
-windows are looked up among those of the items; an item whose windows a stretch
-of the document holds at the threshold or above is a candidate, and its slots
-are then paired: the same value in the item has to stand against the same value
-in the document.
-
-The items' windows are broadcast in blocks of a bounded count of bytes; each
-block is held against all documents, so a benchmark of any size can be used.
+windows are joined with those of the items; an item whose windows a stretch of
+the document holds at the threshold or above is a candidate, and its slots are
+then paired: the same value in the item has to stand against the same value in
+the document.
+
+The documents are read once whatever the benchmark's size: a sieve of bounded
+size lets through the windows that items may have. A document that holds enough
+of an item's windows has one of any few of them, so candidates come from the
+item's rarest ones, and common phrases of a benchmark join nothing by themselves.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import tuples
+from .common import MOST, Store, passes, sieve, tuples
 
 #: Units of measure that follow a number.
 UNITS = frozenset(
@@ -93,7 +95,7 @@ def windows(tokens: np.ndarray, size: int) -> np.ndarray:
     return total ^ total >> np.uint64(32)
 
 
-def _paired(i, d, shift: int, width: int, original: np.ndarray, plain: np.ndarray) -> list[tuple[int, int]]:
+def _paired(i, d, shift: int, width: int, original: np.ndarray, plain: dict[int, int]) -> list[tuple[int, int]]:
     """(item word, document word) of matched windows, one to one: nearest the shift first, then equal words."""
     near = sorted({(abs(int(b) - int(a) - shift), original[int(a) + j] != plain[int(b) + j], int(a) + j, int(b) + j) for a, b in zip(i, d) for j in range(width)})
     pairs, used = {}, set()
@@ -104,150 +106,173 @@ def _paired(i, d, shift: int, width: int, original: np.ndarray, plain: np.ndarra
     return sorted(pairs.items())
 
 
-@dataclass
-class Index:
-    """A block's items by template window. Windows that are slots but for one word tell nothing and do not count."""
-
-    size: int
-    items: list = field(default_factory=list)  # (item_id, plain hashes, slots, window size, windows that count)
-    tables: dict = field(default_factory=dict)  # window size -> (sorted hashes, item numbers, positions, first-look table)
-
-    @classmethod
-    def of(cls, rows: list[tuple[int, bytes | None]], size: int) -> Index:
-        index, words, found = cls(size), Words(), {}
-        for item, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or b"")):
-            template, plain, slots = words.canonical(text)
-            width = min(size, len(plain))
-            if not width:
-                continue
-            telling = np.convolve(~slots, np.ones(width, int), "valid") >= min(2, width)
-            if not telling.any():
-                continue
-            # With names as words too: a copy in one case all through shows no names.
-            caseless = np.where(template == SLOTS[1], plain, template)
-            for form in (template, caseless):
-                for at, h in zip(np.flatnonzero(telling), windows(form, width)[telling]):
-                    found.setdefault(width, set()).add((int(h), len(index.items), int(at)))
-            index.items.append((item, plain, slots, width, int(telling.sum())))
-        for width, entries in found.items():
-            h, item, at = zip(*sorted(entries))
-            h = np.array(h, np.uint64)
-            look = np.zeros(1 << 20, bool)
-            look[h >> np.uint64(44)] = True
-            index.tables[width] = (h, np.array(item), np.array(at), look)
-        return index
-
-    def leaks(self, words: Words, text: bytes | None, threshold: float, first: bool = False) -> list[tuple]:
-        """(item_id, containment, n_windows, n_matched, n_slots, n_consistent, verbatim, first_word, last_word) of items found."""
-        template, plain, _ = words.canonical(text)
-        found = []
-        for width, (hashes, item, at, look) in self.tables.items():
-            w = windows(template, width)
-            here = np.flatnonzero(look[w >> np.uint64(44)])
-            if not len(here):
-                continue
-            low, high = np.searchsorted(hashes, w[here]), np.searchsorted(hashes, w[here], "right")
-            count = high - low
-            if not count.any():
-                continue
-            here = np.repeat(here, count)
-            entry = np.repeat(high - np.cumsum(count), count) + np.arange(count.sum())
-            which, where = item[entry], at[entry]
-            for k in np.unique(which):
-                name, original, slots, _, total = self.items[k]
-                mine = which == k
-                d, i = here[mine], where[mine]
-                if len(set(i.tolist())) < threshold * total:
-                    continue
-                # The best stretch: matches whose shift is close to a common one.
-                shift, slack = d - i, max(width, len(original) // 4)
-                stretches: dict[tuple, tuple] = {}
-                for s in np.unique(shift):
-                    near = np.abs(shift - s) <= slack
-                    matched = len(np.unique(i[near]))
-                    if matched >= threshold * total:
-                        # Of stretches with the same matches, the shift with most of them on it.
-                        on = int((shift == s).sum())
-                        key = (matched, *np.flatnonzero(near)[[0, -1]])
-                        if key not in stretches or on > stretches[key][0]:
-                            stretches[key] = (on, matched, int(s), near)
-                # A copy word by word first, then the most matches; the first whose slots agree counts.
-                judged = []
-                for on, matched, s, near in stretches.values():
-                    pairs = _paired(i[near], d[near], s, width, original, plain)
-                    same = all(original[a] == plain[b] for a, b in pairs)
-                    judged.append((same, matched, on, -s, pairs))
-                for same, matched, _, _, pairs in sorted(judged, key=lambda x: x[:4], reverse=True):
-                    stands: dict[int, dict[int, int]] = {}
-                    for a, b in pairs:
-                        if slots[a]:
-                            sides = stands.setdefault(int(original[a]), {})
-                            sides[int(plain[b])] = sides.get(int(plain[b]), 0) + 1
-                    n = sum(sum(x.values()) for x in stands.values())
-                    agree = sum(max(x.values()) for x in stands.values())
-                    if same or not n or agree >= threshold * n:
-                        at_words = [b for _, b in pairs]
-                        found.append((name, matched / total, total, matched, n, agree, same, min(at_words), max(at_words)))
-                        break
-                else:
-                    continue
-                if first:
-                    return found
-        return found
-
+ITEMS = "item long, item_id long, width int, at int, total int, hash long"
+WINDOWS = "doc long, doc_id long, hash long, at int, plain array<long>"
+LEAKS = "doc_id long, item_id long, containment double, n_windows long, n_matched long, n_slots long, n_consistent long, verbatim boolean, first_word long, last_word long"
 
-def blocks(benchmark: DataFrame, window: int, block_bytes: int):
-    """Indices of the benchmark, each of about ``block_bytes`` of text."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null").distinct()
-    size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    count = max(1, -(-size // block_bytes))
-    for k in range(count):
-        yield Index.of([(r.item_id, bytes(r.text)) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).collect()], window)
 
+def _telling(text: bytes | None, words: Words, size: int):
+    """(plain hashes, slots, width, places of windows that count, their hashes by form); None for a text without any.
 
-LEAKS = "doc_id long, item_id long, containment double, n_windows long, n_matched long, n_slots long, n_consistent long, verbatim boolean, first_word long, last_word long"
+    Windows that are slots but for one word tell nothing and do not count.
+    """
+    template, plain, slots = words.canonical(text)
+    width = min(size, len(plain))
+    if not width:
+        return None
+    telling = np.convolve(~slots, np.ones(width, int), "valid") >= min(2, width)
+    if not telling.any():
+        return None
+    # With names as words too: a copy in one case all through shows no names.
+    caseless = np.where(template == SLOTS[1], plain, template)
+    return plain, slots, width, np.flatnonzero(telling), [windows(form, width)[telling] for form in (template, caseless)]
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, text) of distinct rows; ``item`` tells them apart."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null").distinct()
+    return rows.select(F.xxhash64(F.coalesce("item_id", F.lit(-1)), "text").alias("item"), "item_id", "text")
+
+
+def item_windows(items: DataFrame, size: int) -> DataFrame:
+    """A row for each form of each window that counts, columns as in ``ITEMS``."""
+    schema = pa.schema([(x.split()[0], pa.int64() if x.endswith("long") else pa.int32()) for x in ITEMS.split(", ")])
+
+    def run(batches):
+        words = Words()
+        for batch in batches:
+            for item, name, text in zip(*tuples(batch, "item", "item_id", "text")):
+                held = _telling(text, words, size)
+                if held:
+                    _, _, width, at, forms = held
+                    hashes, ats = np.concatenate(forms).view(np.int64), np.concatenate([at, at])
+                    n = len(ats)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([item] * n, [name] * n, [width] * n, ats, [len(at)] * n, hashes), schema)], schema=schema)
+
+    return items.mapInArrow(run, ITEMS).distinct()
+
+
+def document_windows(docs: DataFrame, widths: list[int], bitmap: np.ndarray) -> DataFrame:
+    """Windows of documents that the sieve lets through, columns as in ``WINDOWS``: their hash, place and plain words."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    text = F.col("text").cast("binary")
+    keyed = docs.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), text).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+
+    def run(batches):
+        words = Words()
+        for batch in batches:
+            for doc, name, text in zip(*tuples(batch, "doc", "doc_id", "text")):
+                template, plain, _ = words.canonical(text)
+                for width in widths:
+                    w = windows(template, width)
+                    at = np.flatnonzero(passes(shared.value, w))
+                    if len(at):
+                        held = plain[at[:, None] + np.arange(width)].view(np.int64)
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, width * len(at) + 1, width), pa.int32()), pa.array(held.ravel()))
+                        n = len(at)
+                        yield pa.RecordBatch.from_arrays([pa.array([doc] * n), pa.array([name] * n, pa.int64()), pa.array(w[at].view(np.int64)), pa.array(at, pa.int32()), lists], ["doc", "doc_id", "hash", "at", "plain"])
+
+    return keyed.mapInArrow(run, WINDOWS)
+
+
+def judged(i: np.ndarray, d: np.ndarray, plain: dict[int, int], original: np.ndarray, slots: np.ndarray, width: int, total: int, threshold: float) -> tuple | None:
+    """(n_matched, n_slots, n_consistent, verbatim, first_word, last_word) of the best stretch of matched windows ``i`` in the item, ``d`` in the document."""
+    # The best stretch: matches whose shift is close to a common one.
+    shift, slack = d - i, max(width, len(original) // 4)
+    stretches: dict[tuple, tuple] = {}
+    for s in np.unique(shift):
+        near = np.abs(shift - s) <= slack
+        matched = len(np.unique(i[near]))
+        if matched >= threshold * total:
+            # Of stretches with the same matches, the shift with most of them on it.
+            on = int((shift == s).sum())
+            key = (matched, *np.flatnonzero(near)[[0, -1]])
+            if key not in stretches or on > stretches[key][0]:
+                stretches[key] = (on, matched, int(s), near)
+    # A copy word by word first, then the most matches; the first whose slots agree counts.
+    ranked = []
+    for on, matched, s, near in stretches.values():
+        pairs = _paired(i[near], d[near], s, width, original, plain)
+        same = all(original[a] == plain[b] for a, b in pairs)
+        ranked.append((same, matched, on, -s, pairs))
+    for same, matched, _, _, pairs in sorted(ranked, key=lambda x: x[:4], reverse=True):
+        stands: dict[int, dict[int, int]] = {}
+        for a, b in pairs:
+            if slots[a]:
+                sides = stands.setdefault(int(original[a]), {})
+                sides[int(plain[b])] = sides.get(int(plain[b]), 0) + 1
+        n = sum(sum(x.values()) for x in stands.values())
+        agree = sum(max(x.values()) for x in stands.values())
+        if same or not n or agree >= threshold * n:
+            at_words = [b for _, b in pairs]
+            return matched, n, agree, same, min(at_words), max(at_words)
+    return None
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, threshold: float, most: int = MOST) -> DataFrame:
+    """``LEAKS`` and ``doc``, which tells rows of ``docs`` with other ids or texts apart."""
+    store = Store(docs.sparkSession, "decontaminate")
+    items = _items(benchmark)
+    index = store(item_windows(items, window))
+    widths = sorted(r.width for r in index.select("width").distinct().collect())
+    held = store(document_windows(docs, widths, sieve(index, "hash")))
+    # Candidates: of each item as many of its rarest places as no document can miss that holds enough of it.
+    common = index.groupBy("hash").agg(F.count_distinct("item").alias("f"))
+    places = index.join(common, "hash").groupBy("item", "at", "total").agg(F.max("f").alias("f"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("f", "at"))
+    seeds = places.withColumn("r", rank).where(F.col("r") <= F.col("total") - F.ceil(threshold * F.col("total")) + 1).select("item", "at")
+    seeds = store(index.join(seeds, ["item", "at"], "left_semi").select("item", "hash").distinct())
+    few = seeds.count() <= most
+    met = held.select("doc", "hash").distinct().join(F.broadcast(seeds) if few else seeds, "hash").select("doc", "item").distinct()
+    met = store(met)
+    mine = index.join(met.select("item").distinct(), "item", "left_semi").select("item", "hash", F.col("at").alias("i"))
+    pairs = held.join(met, "doc").join(mine, ["item", "hash"])
+    pairs = pairs.groupBy("doc", "doc_id", "item").agg(F.collect_set(F.struct("i", F.col("at").alias("d"), "plain")).alias("pairs"))
+    pairs = pairs.join(items, "item")
+
+    def run(batches):
+        words = Words()
+        for batch in batches:
+            rows = []
+            for doc, doc_id, item_id, text, held in zip(*tuples(batch, "doc", "doc_id", "item_id", "text", "pairs")):
+                original, slots, width, at, _ = _telling(text, words, window)
+                held = sorted((p["d"], p["i"], p["plain"]) for p in held if len(p["plain"]) == width)
+                if len({i for _, i, _ in held}) < threshold * len(at):
+                    continue
+                plain = {d + k: x & (1 << 64) - 1 for d, _, some in held for k, x in enumerate(some)}
+                best = judged(np.array([i for _, i, _ in held]), np.array([d for d, _, _ in held]), plain, original, slots, width, len(at), threshold)
+                if best:
+                    rows.append((doc, doc_id, item_id, best[0] / len(at), len(at), *best))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    kind = "doc long, " + LEAKS
+    names = [x.split()[0] for x in kind.split(", ")]
+    kinds = [{"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[x.split()[1]] for x in kind.split(", ")]
+    out = Store(docs.sparkSession, "leaks")(pairs.mapInArrow(run, kind))
+    store.close()
+    return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 5, threshold: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 5, threshold: float = 0.8) -> DataFrame:
     """A row for each document and item whose template it holds, columns as in ``LEAKS``.
 
     Words are counted without those of punctuation alone. Null and empty texts
     hold nothing; null and wordless items, and items that are all slots, match
-    nothing; items shorter than the window match whole. Rows that repeat give
-    rows that repeat; other columns are not read. Empty tables give no rows.
+    nothing; items shorter than the window match whole. Rows that repeat, of
+    either table, count once; other columns are not read. Empty tables give no rows.
     """
-    names = [x.split()[0] for x in LEAKS.split(", ")]
-    kinds = [{"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[x.split()[1]] for x in LEAKS.split(", ")]
-    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    parts = []
-    for index in blocks(benchmark, window, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches, shared=shared):
-            words = Words()
-            for batch in batches:
-                rows = [(doc, *leak) for doc, text in zip(*tuples(batch, "doc_id", "text")) for leak in shared.value.leaks(words, text, threshold)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-        parts.append(plain.mapInArrow(run, LEAKS))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
+    return _found(docs, benchmark, window, threshold).drop("doc")
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = 5, threshold: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns as they were."""
-    at = docs.columns.index("text")
-    for index in blocks(benchmark, window, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches, shared=shared):
-            words = Words()
-            for batch in batches:
-                texts = batch.column(at).cast(pa.binary()).to_pylist()
-                yield batch.filter(pa.array([not shared.value.leaks(words, t, threshold, True) for t in texts], pa.bool_()))
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 5, threshold: float = 0.8, most: int = MOST) -> DataFrame:
+    """The rows of ``docs`` that hold no item, all columns as they were.
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    Rows are judged by id and text, so rows that repeat go or stay together;
+    null texts and ids stay unless the text holds an item. An empty table gives
+    no rows, an empty benchmark all.
+    """
+    bad = _found(docs, benchmark, window, threshold).select(F.col("doc").alias("_doc")).distinct()
+    bad = F.broadcast(bad) if bad.count() <= most else bad
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("text").cast("binary"))
+    return docs.withColumn("_doc", key).join(bad, "_doc", "left_anti").select(*docs.columns)

@@ -25,10 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Store, components, looked_up, tuples
+from .common import Store, components, looked_up, passes, sieve, tuples
 from .packing import blocks
 
-SIEVE_BITS = (20, 28)  # of the smallest and the largest sieve, 128 kB and 32 MB
 
 
 def bands_for(threshold: float, rows: int, recall: float) -> int:
@@ -130,22 +129,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def sieve(df: DataFrame, column: str) -> np.ndarray:
-    """A bitmap with the low bits of all values of ``column``, some eight bits for each up to the bound; it reaches the driver in words of 64 bits."""
-    least, most = SIEVE_BITS
-    bits = min(most, max(least, (8 * df.count()).bit_length()))
-    low = df.select(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).alias("x"))
-    words = low.groupBy(F.shiftright("x", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("m")).toArrow()
-    bitmap = np.zeros(1 << bits - 6, np.uint64)
-    bitmap[words.column("w").to_numpy()] = words.column("m").to_numpy().view(np.uint64)
-    return bitmap
-
-
-def _passes(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    low = values & np.uint64((len(bitmap) << 6) - 1)
-    return bitmap[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1) > 0
-
-
 def sifted(df: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
     """The rows whose ``column`` the sieve lets through."""
     shared = df.sparkSession.sparkContext.broadcast(bitmap)
@@ -153,7 +136,7 @@ def sifted(df: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_passes(shared.value, batch.column(at).to_numpy().view(np.uint64))))
+            yield batch.filter(pa.array(passes(shared.value, batch.column(at).to_numpy().view(np.uint64))))
 
     return df.mapInArrow(run, df.schema)
 
@@ -202,7 +185,7 @@ class Source:
             if len(seen) > 200_000:
                 seen.clear()
             keep = []
-            for i in np.flatnonzero(_passes(shared.value, b.keys)).tolist():
+            for i in np.flatnonzero(passes(shared.value, b.keys)).tolist():
                 node = int(b.keys[i])
                 if node not in seen:
                     seen.add(node)
@@ -224,7 +207,7 @@ def _members(passages: DataFrame, bitmap: np.ndarray) -> DataFrame:
             bands = batch.column(1)
             nodes = np.repeat(batch.column(0).to_numpy(), pc.list_value_length(bands).to_numpy())
             keys = bands.flatten().to_numpy()
-            on = _passes(shared.value, keys.view(np.uint64))
+            on = passes(shared.value, keys.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(keys[on]), pa.array(nodes[on])], ["bucket", "node"])
 
     return passages.select("node", "bands").mapInArrow(run, "bucket long, node long")

@@ -209,8 +209,48 @@ def test_decontamination_finds_all_passages(spark, texts, sf):
     want = {(i, k) for i, t in texts.items() for k, item in items.items() if item in plain(t)}
     got = {(r.doc_id, r.item_id) for r in queries.op4_benchmark_decontamination(spark, sf).collect()}
     assert want <= got and len(got - want) <= 1
-    many = {(r.doc_id, r.item_id) for r in decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"), block_bytes=500).collect()}
-    assert many == got
+
+
+def test_decontamination_by_brute_force(spark):
+    """Every document against every item, windows compared one by one; planted copies word by word, with other values, and torn ones."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 7)))
+    vocabulary = [word() for _ in range(60)]
+    names, units = ["Anna", "Ben", "Carl", "Dora", "Emil", "Fay"], ["kg", "km", "hours", "%"]
+
+    def item():
+        kinds = [r.choice("wwwwwnNu") for _ in range(r.choice((3, 8, 20, 40)))]
+        return "first " + " ".join({"w": r.choice(vocabulary), "n": str(r.randint(1, 99)), "N": r.choice(names), "u": f"{r.randint(1, 9)} {r.choice(units)}"}[k] for k in kinds)
+
+    def other(text):
+        """The same template with other values, alike for alike."""
+        values: dict[str, str] = {}
+        swap = lambda w: values.setdefault(w, str(int(w) + 100) if w.isdigit() else names[(names.index(w) + 1) % 6] if w in names else units[(units.index(w) + 1) % 4] if w in units else w)
+        return " ".join(map(swap, text.split()))
+
+    items = [item() for _ in range(40)]
+    filler = lambda: " ".join(r.choice(vocabulary) for _ in range(30))
+    torn = lambda t: " ".join(w for w in t.split() if r.random() > 0.1)
+    copies = [t for k in range(40) for t in (items[k], other(items[k]), torn(items[k]), items[k].upper())]
+    docs = [f"{filler()} {t} {filler()}" for t in copies] + [filler() for _ in range(20)]
+    got = decontaminate.leaks(made(spark, docs), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+
+    words, want = decontaminate.Words(), {}
+    for k, text in enumerate(docs):
+        template, plain, _ = words.canonical(text.encode())
+        for n, it in enumerate(items):
+            form, original, slots = words.canonical(it.encode())
+            width = min(5, len(original))
+            telling = [a for a in range(len(original) - width + 1) if sum(not s for s in slots[a : a + width]) >= min(2, width)]
+            caseless = np.where(form == decontaminate.SLOTS[1], original, form)
+            pairs = [(a, b) for b in range(len(template) - width + 1) for a in telling if any(list(x[a : a + width]) == list(template[b : b + width]) for x in (form, caseless))]
+            if telling and len({a for a, _ in pairs}) >= 0.8 * len(telling):
+                best = decontaminate.judged(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]), dict(enumerate(plain.tolist())), original, slots, width, len(telling), 0.8)
+                if best:
+                    want[k, n] = (len(telling), *best)
+    assert {(x.doc_id, x.item_id): tuple(x)[3:] for x in got} == want
+    whole = {(4 * k + j, k) for k in range(40) for j in (0, 1) if any(n == k for _, n in want)}
+    assert len(whole & set(want)) >= 0.9 * len(whole)  # recall of planted copies
 
 
 def test_decontamination_parallel_clauses(spark):
