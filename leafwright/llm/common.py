@@ -128,8 +128,8 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 50, store: Store
     )
 
 
-#: Bits of the smallest and the largest sieve, 128 kB and 32 MB.
-SIEVE_BITS = (20, 28)
+#: Bits of the smallest and the largest sieve, 2 MB and 32 MB.
+SIEVE_BITS = (24, 28)
 
 
 def sieve(df: DataFrame, column: str) -> np.ndarray:

@@ -161,16 +161,24 @@ def document_windows(docs: DataFrame, widths: list[int], bitmap: np.ndarray) ->
     def run(batches):
         words = Words()
         for batch in batches:
-            for doc, name, text in zip(*tuples(batch, "doc", "doc_id", "text")):
+            rows, sizes, hashes, places, held = [], [], [], [], []
+            for k, text in enumerate(batch.column(2).to_pylist()):
                 template, plain, _ = words.canonical(text)
                 for width in widths:
                     w = windows(template, width)
                     at = np.flatnonzero(passes(shared.value, w))
                     if len(at):
-                        held = plain[at[:, None] + np.arange(width)].view(np.int64)
-                        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, width * len(at) + 1, width), pa.int32()), pa.array(held.ravel()))
-                        n = len(at)
-                        yield pa.RecordBatch.from_arrays([pa.array([doc] * n), pa.array([name] * n, pa.int64()), pa.array(w[at].view(np.int64)), pa.array(at, pa.int32()), lists], ["doc", "doc_id", "hash", "at", "plain"])
+                        rows.append(np.full(len(at), k))
+                        sizes.append(np.full(len(at), width))
+                        hashes.append(w[at].view(np.int64))
+                        places.append(at)
+                        held.append(plain[at[:, None] + np.arange(width)].view(np.int64).ravel())
+            if rows:
+                of = pa.array(np.concatenate(rows))
+                ends = np.append(0, np.cumsum(np.concatenate(sizes)))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(held)))
+                columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(places), pa.int32()), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "doc_id", "hash", "at", "plain"])
 
     return keyed.mapInArrow(run, WINDOWS)
 
