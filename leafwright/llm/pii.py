@@ -25,6 +25,7 @@ from .common import tuples
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
+LETTERLESS = ("ip", "card", "phone", "ssn")  # a span with a letter is none of these
 LONGEST = 24  # tokens of a segment
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -165,6 +166,8 @@ class Island:
                     self.segments.append((i, j + 1))
                     rows.append(features(span, before))
         self.x = np.array(rows).reshape(-1, len(NAMES))
+        # Added to scores: types that a segment cannot have.
+        self.barred = self.x[:, [PLACE["letters"]]] * np.array([-1e9 if k in LETTERLESS else 0.0 for k in KINDS])
 
     def of(self, k: int) -> tuple[int, int]:
         i, j = self.segments[k]
@@ -187,7 +190,7 @@ class Field:
     def decode(self, island: Island) -> list[tuple[str, int, int]]:
         if not island.segments:
             return []
-        scores, ends, n, y = island.x @ self.weights.T, self._by_end(island), len(island.tokens), len(KINDS) + 1
+        scores, ends, n, y = island.x @ self.weights.T + island.barred, self._by_end(island), len(island.tokens), len(KINDS) + 1
         best = np.full((n + 1, y), -np.inf)
         best[0, 0] = 0.0
         back: list[list] = [[None] * y for _ in range(n + 1)]
@@ -212,7 +215,7 @@ class Field:
 
     def _gradient(self, island: Island, gold: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Of the log likelihood; gold: segment -> type."""
-        scores, n, y = island.x @ self.weights.T, len(island.tokens), len(KINDS) + 1
+        scores, n, y = island.x @ self.weights.T + island.barred, len(island.tokens), len(KINDS) + 1
         ends = self._by_end(island)
         starts: dict[int, list[int]] = {}
         for k, (i, _) in enumerate(island.segments):
