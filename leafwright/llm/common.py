@@ -109,12 +109,11 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 50, store: Store
     )
     e = store(e.distinct())
     for _ in range(rounds):
-        # Done when each link leads from a node that has no other to one that leads nowhere.
-        n, nodes = e.agg(F.count("*"), F.countDistinct("u")).first()
-        if n == nodes and e.join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
-            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = store(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        # Done when a node with a smaller neighbour has no other: then that neighbour has no smaller one.
+        if least.where("m < u and n > 1").isEmpty():
+            break
         large = store(looked_up(both.where("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         lower = store(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         small = looked_up(large, lower, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")

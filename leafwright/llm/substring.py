@@ -224,7 +224,7 @@ def verified(source: Source, passages: DataFrame, store: Store, tile: int = 256)
     # Repeats go before the join, in partial aggregates: then a common passage is one row of its buckets.
     members = looked_up(store(_members(passages, sieve(met, "bucket")).distinct()), met, "bucket", "n")
     members = store(members.where("node != least").select("bucket", "node", "least"))
-    star = members.select("node", "least").distinct()
+    star = store(members.select("node", "least").distinct())
     wanted = store(star.select("node").unionByName(star.select(F.col("least").alias("node"))).distinct())
     sets = source.shingles(sieve(wanted, "node")).groupBy("node").agg(F.first("shingles").alias("shingles"))
     sets = store(sets.join(wanted, "node", "left_semi"))
@@ -303,7 +303,8 @@ def repeated(docs: DataFrame, run_words: int = 25, size: int = 5, threshold: flo
     spread = store(nodes.groupBy("class_id").agg(F.min("first").alias("first"), F.sum("n").alias("all"), F.count("*").alias("of")).where("all > 1"))
     shared = store(looked_up(nodes.select("node", "class_id", "n"), spread.select("class_id", "first", "of"), "class_id", "of"))
     found = store(sifted(passages.drop("bands"), "node", sieve(shared, "node")))
-    found = looked_up(found, shared, "node", "n").dropDuplicates(["doc_id", "no"])
+    # Dealt once, by document: what follows has its rows together already.
+    found = looked_up(found, shared, "node", "n").repartition("doc_id").dropDuplicates(["doc_id", "no"])
     found = found.withColumn("run", F.col("no") - F.row_number().over(Window.partitionBy("doc_id").orderBy("no")))
     of_run = Window.partitionBy("doc_id", "run").orderBy("no")
     whole_run = of_run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
