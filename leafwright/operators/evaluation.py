@@ -31,6 +31,13 @@ def long_table_lines(md: Column, longest: int = 300) -> Column:
     return F.size(F.filter(F.split(md, "\n", -1), lambda x: x.startswith("|") & (F.length(x) > longest))).cast("long")
 
 
+def page_envelope(pages: Column, text: Column) -> Column:
+    """A batch's text under its marker, ``PAGE n`` or ``PAGES a-b``; an empty text is nothing."""
+    first, last = F.get(pages, F.lit(0)).cast("string"), F.element_at(pages, -1).cast("string")
+    label = F.when(F.size(pages) > 1, F.concat(F.lit("PAGES "), first, F.lit("-"), last)).otherwise(F.concat(F.lit("PAGE "), first))
+    return F.when(F.length(F.coalesce(text, F.lit(""))) > 0, F.concat(F.lit("\n\n<!-- "), label, F.lit(" -->\n\n"), text)).otherwise("")
+
+
 def page_marks(md: Column) -> Column:
     return F.regexp_count(md, F.lit(PAGE_MARK)).cast("long")
 
@@ -65,20 +72,41 @@ def _held_by(phrases: Column):
 def phrase_hits(texts: DataFrame, phrases: DataFrame, block_bytes: int = PHRASE_BYTES) -> DataFrame:
     """(id, hits, phrases): how many phrases each text holds, white space apart.
 
-    Phrases go to the tasks in blocks of a bounded size, each a constant of the
-    plan; every block is held against all texts, with no join, and the counts
-    are summed on the row.
+    Phrases of up to ``block_bytes`` together are a constant of the plan, held
+    against each text with no join. More of them meet the texts in a join on
+    their first characters. Null texts are empty, empty phrases no phrases.
     """
     plain = phrases.select(squeezed(F.col("phrase")).alias("p")).where(F.length("p") > 0)
     bytes_, total = plain.agg(F.coalesce(F.sum(F.octet_length("p")), F.lit(0)), F.count("*")).first()
-    count = max(1, -(-bytes_ // block_bytes))
-    held = [[r.p for r in plain.where(F.pmod(F.xxhash64("p"), F.lit(count)) == k).collect()] for k in range(count)]
-    hits = F.lit(0)
-    for block in held:
-        # A lambda's variable is computed once; a column would be squeezed anew for each phrase.
-        one = F.transform(F.array(squeezed(F.coalesce("text", F.lit("")))), _held_by(F.from_json(F.lit(json.dumps(block)), "array<string>")))
-        hits = hits + F.get(one, F.lit(0))
-    return texts.select("id", hits.cast("long").alias("hits"), F.lit(total).cast("long").alias("phrases"))
+    total = F.lit(total).cast("long").alias("phrases")
+    if bytes_ > block_bytes:
+        return _joined_hits(texts, plain).select("id", "hits", total)
+    block = [r.p for r in plain.collect()]
+    # A lambda's variable is computed once; a column would be squeezed anew for each phrase.
+    one = F.transform(F.array(squeezed(F.coalesce("text", F.lit("")))), _held_by(F.from_json(F.lit(json.dumps(block)), "array<string>")))
+    return texts.select("id", F.get(one, F.lit(0)).cast("long").alias("hits"), total)
+
+
+def _joined_hits(texts: DataFrame, plain: DataFrame, sizes: tuple[int, ...] = (1, 2, 4, 8, 16, 32)) -> DataFrame:
+    """(id, hits) by a join on the longest start of a phrase that is one of ``sizes``; a text offers its stretches of those sizes, each once.
+
+    A phrase is counted as often as it is given. Only stretches go through the
+    shuffle; a text comes to its candidates afterwards, once for each.
+    """
+    n = F.length("p")
+    start = F.lit(sizes[0])
+    for size in sizes[1:]:
+        start = F.when(n >= size, size).otherwise(start)
+    keyed = plain.groupBy("p").agg(F.count("*").alias("times")).withColumn("key", F.left("p", start))
+    texts = texts.select("id", squeezed(F.coalesce("text", F.lit(""))).alias("t")).withColumn("h", F.xxhash64("t"))
+
+    def stretches(size: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - size + 1, F.lit(1))), lambda k: F.substr("t", k, F.lit(size)))
+
+    offered = texts.select("id", "h", F.explode(F.array_distinct(F.flatten(F.array(*map(stretches, sizes))))).alias("key"))
+    met = offered.join(keyed, "key").select("id", "h", "p", "times").distinct()
+    held = met.join(texts.distinct(), ["id", "h"]).where(F.contains("t", F.col("p"))).groupBy("id", "h").agg(F.sum("times").alias("hits"))
+    return texts.join(held, ["id", "h"], "left").select("id", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
 
 
 def text_labels(text: Column) -> Column:

@@ -40,6 +40,33 @@ def parse_pages(spec: str, total: int) -> tuple[list[int], list[str]]:
     return sorted(pages), warnings
 
 
+def page_parts(spec: str) -> list[tuple[int, int]]:
+    """First and last page of each part of ``spec``, as given; nothing is cut, as no document is known."""
+    runs: list[tuple[int, int]] = []
+    for part in filter(None, (p.strip() for p in spec.split(","))):
+        try:
+            a, *b = map(int, part.split("-"))
+        except ValueError:
+            raise PageRangeError(f"not a page number: {part}") from None
+        if len(b) > 1 or a < 1 or (b and b[0] < a):
+            raise PageRangeError(f"malformed range: {part}")
+        runs.append((a, b[0] if b else a))
+    if not runs:
+        raise PageRangeError("no page selected")
+    return runs
+
+
+def page_runs(spec: str) -> list[tuple[int, int]]:
+    """First and last pages of the runs that ``spec`` selects, its parts joined where they touch."""
+    joined: list[tuple[int, int]] = []
+    for a, b in sorted(page_parts(spec)):
+        if joined and a <= joined[-1][1] + 1:
+            joined[-1] = joined[-1][0], max(b, joined[-1][1])
+        else:
+            joined.append((a, b))
+    return joined
+
+
 def page_suffix(pages: list[int]) -> str:
     """Runs of pages as ``p5-10_20``; what follows the p is cut to 80 characters."""
     runs: list[list[int]] = []

@@ -6,26 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwright.operators import layout, report, selection
-from leafwright.options import ExtractOptions, parse_pages
+from leafwright.options import ExtractOptions, page_parts, page_runs
 
 
 def chosen_pages(pages: DataFrame, options: ExtractOptions) -> DataFrame:
     """Pages of a selection like ``2-5,9``, as a filter that reaches the source; documents that lack a page give what they have."""
     if options.pages is None:
         return pages
-    wanted, _ = parse_pages(options.pages, 10**6)
-    runs: list[list[int]] = []
-    for p in wanted:
-        if runs and p == runs[-1][1] + 1:
-            runs[-1][1] = p
-        else:
-            runs.append([p, p])
     keep = F.lit(False)
-    for a, b in runs:
+    for a, b in page_runs(options.pages):
         keep = keep | F.col("page_no").between(a, b)
     return pages.where(keep)
 
 
+def selection_faults(pages: DataFrame, options: ExtractOptions) -> DataFrame:
+    """(doc_id, pages, fault) of documents that a strict selection stops at: a single page or the start of a range lies beyond their last page.
+
+    Ends beyond it are cut. Without a selection there are no faults.
+    """
+    parts = page_parts(options.pages) if options.pages is not None else []
+    beyond = max((a for a, _ in parts), default=0)
+    last = pages.groupBy("doc_id").agg(F.max("page_no").alias("pages"))
+    return last.where(F.col("pages") < beyond).withColumn("fault", F.lit(f"out of range: page {beyond}"))
+
+
 def routed(pages: DataFrame, options: ExtractOptions) -> DataFrame:
     """Chosen pages with their document's engine; detection looks at the document's own first pages."""
     asked: dict[str, Column] = {"text_only": F.lit(options.text_only), "audit": F.lit(options.audit)}

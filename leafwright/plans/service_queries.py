@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from leafwright import config
 from leafwright.functions import text as T
-from leafwright.operators import cache, report, selection
+from leafwright.operators import backends, cache, report, selection
 from leafwright.sources import results
 from leafwright.sources.driver_tables import SQL_PAGES, attempts, pages, table
 
+from . import extract
 from .registry import query
 
 ATTEMPTS = "with t as (select user_id as job, event_id, ts, event_type <> 'error' as ok, value as seconds, event_type as engine from events)"
@@ -178,8 +179,8 @@ def mask_secrets(spark, d):
 
 @query(
     """with t as (select conv_id as job, turn, role, case when turn % 4 = 3 then '' else text end as text from conversations where turn % 5 <> 4)
-    select c.conv_id as job, coalesce(string_agg(t.text, chr(10) || chr(10) order by t.turn, t.role, t.text) filter (where t.text <> ''), '') as text,
-        case when count(*) filter (where t.text <> '') = 0 then 'empty result' end as error
+    select c.conv_id as job, coalesce(string_agg(t.text, chr(10) || chr(10) order by t.turn, t.role, t.text), '') as text,
+        case when count(t.text) = 0 then 'empty result' end as error
     from (select distinct conv_id from conversations) c left join t on t.job = c.conv_id group by 1"""
 )
 def jsonl_parse(spark, d):
@@ -254,3 +255,43 @@ def device_probe(spark, d):
     gpu = F.exists(F.split(listing, "\n"), lambda x: T.strip(x).startswith("CUDA"))
     delta, size = k % 5 * 200, F.lit(900) + F.lit(100)
     return table(spark, d, "pages").select("page_id", gpu.alias("gpu"), (delta >= F.lit(0.8) * size).alias("offloaded"), F.element_at(F.split("url", r"[/\\]", -1), -1).alias("tag"))
+
+
+@query(
+    """with f as (select event_id as machine, event_id % 7 <> 0 as exe, event_id % 5 <> 0 as model, case when event_id % 11 = 0 then null else event_id % 3 <> 0 end as mmproj, user_id % 4 = 0 as up,
+        case when event_id % 13 = 0 then null else (event_id * 37) % 6000 end as free, case event_id % 6 when 0 then 'GPU ' when 1 then 'openvino' else 'auto' end as forced,
+        case when user_id % 2 = 0 then 'gpu' else 'cpu' end as device, user_id % 3 as cuda, event_id % 9 as broken from events),
+    p as (select *, case when not exe then 'exe' when not model then 'model' when not coalesce(mmproj, false) then 'mmproj' when not up and free < 3000 then 'memory' end as why,
+        case when forced = 'auto' then case when device = 'gpu' and cuda >= 1 then 'gpu' else 'cpu' end else lower(trim(forced)) end as backend from f)
+    select machine, why is null as ok, coalesce(why, case when up then 'running' else 'ok' end) as reason, backend,
+        case when broken = 0 then null when broken < 5 and backend <> 'cpu' then 'cpu' else backend end as runs from p"""
+)
+def backend_choice(spark, d):
+    """Facts of machines made of events: the server's probe, the backend in the process, and what it falls back to."""
+    i, u = F.col("event_id"), F.col("user_id")
+    probe = backends.server_probe(i % 7 != 0, i % 5 != 0, F.when(i % 11 == 0, None).otherwise(i % 3 != 0), u % 4 == 0, F.when(i % 13 != 0, i * 37 % 6000), F.lit(None).cast("int"))
+    forced = F.when(i % 6 == 0, "GPU ").when(i % 6 == 1, "openvino").otherwise("auto")
+    chosen = backends.in_process(forced, F.when(u % 2 == 0, "gpu").otherwise("cpu"), u % 3)
+    loads = F.when(i % 9 == 0, F.array().cast("array<string>")).when(i % 9 < 5, F.array(F.lit("cpu"))).otherwise(F.array(*map(F.lit, backends.FORCED)))
+    found = table(spark, d, "events").select(i.alias("machine"), probe.alias("p"), chosen.alias("backend"), loads.alias("loads"))
+    return found.select("machine", "p.ok", "p.reason", "backend", backends.degraded(F.col("backend"), F.col("loads")).alias("runs"))
+
+
+@query(
+    """select case when part_key % 4 = 0 then null else 'ok' end as status, 'hybrid' as engine, part_key as pages, null::varchar as total_time, null::varchar as issues, 'out/' || part_key || '.md' as output,
+        case when part_key % 4 = 0 then 'failed' end as error from (select p_partkey as part_key from part)"""
+)
+def tool_fields(spark, d):
+    """Reports made of parts: six fields, absent ones null, an error passed through."""
+    k = F.col("p_partkey")
+    made = table(spark, d, "part").select(
+        F.when(k % 4 != 0, "ok").alias("status"), F.lit("hybrid").alias("engine"), k.alias("pages"), F.concat(F.lit("out/"), k.cast("string"), F.lit(".md")).alias("output"),
+        F.when(k % 4 == 0, "failed").alias("error"), F.lit(1).alias("host"),
+    )
+    return extract.tool_result(made)
+
+
+@query("select to_json({'doc_id': doc_id, 'source': source, 'text': text})::varchar as json from documents where text is not null and source is not null")
+def json_report(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", "text").where("text is not null and source is not null")
+    return report.as_json(docs)

@@ -276,3 +276,12 @@ def text_similarity(spark, d):
 @query(f"with {SQL_PAGES} select doc_id, string_agg('<!-- PAGE ' || page_no || ' -->' || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by page_no) as md from page group by 1")
 def page_concat(spark, d):
     return evaluation.concatenated(_pages(spark, d))
+
+
+@query(
+    """select doc_id, case when coalesce(text, '') = '' then '' else chr(10) || chr(10) || '<!-- PAGE' ||
+        case doc_id % 3 when 0 then ' ' || (doc_id % 10 + 1) else 'S ' || (doc_id % 10 + 1) || '-' || (doc_id % 10 + 1 + doc_id % 3) end || ' -->' || chr(10) || chr(10) || text end as md from documents"""
+)
+def batch_envelope(spark, d):
+    first = F.col("doc_id") % 10 + 1
+    return _docs(spark, d).select("doc_id", evaluation.page_envelope(F.sequence(first, first + F.col("doc_id") % 3), F.col("text")).alias("md"))

@@ -9,13 +9,13 @@ from leafwright.schemas import JSONL_RESULT
 
 
 def jsonl_texts(lines: DataFrame) -> DataFrame:
-    """(job, text, error) from (job, seq, line): texts of sound lines in order, joined by a blank line; bad lines are skipped."""
+    """(job, text, error) from (job, seq, line): texts of sound lines in order, empty ones too, joined by a blank line; bad lines are skipped, and a job without any text has an error."""
     parsed = lines.withColumn("r", F.from_json("line", JSONL_RESULT, {"mode": "PERMISSIVE"})).withColumn(
-        "texts", F.filter(F.transform("r.result.layoutParsingResults", lambda x: x.markdown.text), lambda t: F.length(F.coalesce(t, F.lit(""))) > 0)
+        "texts", F.filter(F.transform("r.result.layoutParsingResults", lambda x: x.markdown.text), lambda t: t.isNotNull())
     )
     held = F.array_sort(F.collect_list(F.when(F.size("texts") > 0, F.struct("seq", "texts"))))
     text = F.array_join(F.flatten(F.transform(held, lambda x: x.texts)), "\n\n")
-    return parsed.groupBy("job").agg(text.alias("text")).withColumn("error", F.when(F.col("text") == "", "empty result"))
+    return parsed.groupBy("job").agg(text.alias("text"), F.when(F.size(held) == 0, "empty result").alias("error"))
 
 
 LOG = r"prompt eval time = *([0-9.]+) ms / *([0-9]+) tokens[^\n]*\n[^\n]*?eval time = *([0-9.]+) ms / *([0-9]+) tokens"
