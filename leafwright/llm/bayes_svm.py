@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tuples
+from .common import Store, tuples
 
 #: Labelled rows that a fit takes at most, those of the lowest hash of doc_id.
 SAMPLE = 6000
+#: Bytes of their indicators that reach the driver at most: of longer texts a fit takes fewer rows.
+SAMPLE_BYTES = 128 << 20
 
 
 class Features(dict):
@@ -138,11 +140,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = 18, alpha: float
     return Model(bits, w, float(b), float(a[0]), float(a[1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = 18) -> Model:
-    """Fit on labelled rows that are not held out, ``sample`` at most by hash of doc_id.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = 18, most: int = SAMPLE_BYTES) -> Model:
+    """Fit on labelled rows that are not held out, ``sample`` at most by hash of doc_id, and no more of them than ``most`` bytes of indicators hold.
 
     Rows with a null doc_id or quality are left out; of repeated ids one row is
-    taken. ``labels`` serves for the fit alone.
+    taken. ``labels`` serves for the fit alone. Without a row, or with one class
+    alone, the model gives a constant score.
     """
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     chosen = (
@@ -164,10 +167,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
     ranked = chosen.join(texts.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
     ranked = ranked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     few = texts.join(F.broadcast(ranked), "doc_id").mapInArrow(featurize, "doc_id long, quality int, features binary")
-    # A row for each id, whatever repeats it: what reaches the driver has the sample's bound.
-    few = few.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("features").alias("features")).collect()
-    few.sort(key=lambda r: r.doc_id)
-    return fit([np.frombuffer(r.features, "<i4").astype(np.int64) for r in few], np.array([r.quality for r in few]), bits)
+    # A row for each id, whatever repeats it: what reaches the driver has the sample's bounds, in rows and in bytes.
+    few = few.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("features").alias("features"))
+    store = Store(docs.sparkSession, "sample")
+    try:
+        few = store(few)
+        if (few.agg(F.sum(F.octet_length("features"))).first()[0] or 0) > most:
+            sizes = few.select("doc_id", F.octet_length("features").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+            ends = np.cumsum([r.n for r in sizes])
+            few = few.where(F.col("doc_id").isin([r.doc_id for r in sizes[: max(1, int((ends <= most).sum()))]]))
+        rows = sorted(few.collect(), key=lambda r: r.doc_id)
+    finally:
+        store.close()
+    return fit([np.frombuffer(r.features, "<i4").astype(np.int64) for r in rows], np.array([r.quality for r in rows]), bits)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -196,7 +208,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that the model predicts as of good quality, all columns as they were."""
+    """The rows of ``docs`` that the model predicts as of good quality, all columns as they were.
+
+    A null or empty text has the score of no indicators and stays or goes by
+    it. Repeated rows and null ids are judged like others, further columns pass
+    through unread. An empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -397,7 +397,11 @@ def masked(text: str, field: Field) -> str:
 
 
 def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """``docs`` with personal data in text masked, n_chars made to fit; all columns and rows stay."""
+    """``docs`` with personal data in text masked, n_chars made to fit; all columns and rows stay.
+
+    Null and empty texts stay as they are. Null ids and repeated rows are masked
+    like others, further columns pass through. An empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(field or trained())
     at = docs.columns.index("text")
 

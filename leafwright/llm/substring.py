@@ -334,7 +334,11 @@ def repeated(docs: DataFrame, run_words: int = 25, size: int = 5, threshold: flo
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with stretches for removal cut out of text and n_chars made to fit; all rows and columns stay."""
+    """``docs`` with stretches for removal cut out of text and n_chars made to fit; all rows and columns stay.
+
+    Null and empty texts, and texts without a stretch, stay as they are; rows
+    without an id are never cut. An empty table stays empty.
+    """
     spans = repeated(docs, **options).where("remove").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_cut"))
     kept = """concat(substr(text, 1, cast(_cut[0].start as int)), array_join(transform(_cut, (x, i) ->
         substr(text, cast(x.stop + 1 as int), cast(coalesce(get(_cut, i + 1).start, length(text)) - x.stop as int))), ''))"""

@@ -532,6 +532,19 @@ def test_classifier_awkward(spark, awkward):
     assert bayes_svm.score(awkward.limit(0), none).count() == 0
 
 
+def test_classifier_sample_is_bounded_in_bytes(spark, monkeypatch):
+    """Of long texts fewer rows are taken, in the order of the sample's hash; with room for all, all are."""
+    texts = [(k, " ".join(f"w{k}x{i}" for i in range(200))) for k in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    took = []
+    monkeypatch.setattr(bayes_svm, "fit", lambda rows, y, bits: took.append(sum(4 * len(r) for r in rows)) or len(rows))
+    free = sum(zlib.crc32(str(k).encode()) % 3 != 1 for k in range(40))
+    assert bayes_svm.train(docs, labels) == free and took[0] > 20_000
+    assert 1 < bayes_svm.train(docs, labels, most=20_000) < free and took[1] <= 20_000
+    assert bayes_svm.train(docs, labels, most=1) == 1
+
+
 def test_dual_coordinate_descent_closes_the_gap():
     """The primal and the dual value meet at the optimum."""
     r = np.random.default_rng(6)
