@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from leafwright.options import ExtractOptions
+from leafwright.sources import pdf
 from leafwright.sources.driver_tables import SQL_BLOCKS, SQL_OCR, SQL_PAGES, layout_blocks, ocr_lines, pages, table
 from leafwright.streaming import ingest
 
@@ -76,3 +77,38 @@ def event_windows(spark, d):
 )
 def event_sessions(spark, d):
     return ingest.event_sessions(table(spark, d, "events"))
+
+
+def _as_pdf(page):
+    """(path, length, content): each document's pages (doc_id, page_no, text) as an uncompressed PDF of UTF-16 codes, its second lines ruled as a table of one row."""
+    code = lambda x: F.concat(F.lit("<"), F.hex(F.encode(x, "UTF-16BE")), F.lit("> Tj"))
+    line = F.split("text", "\n")
+    drawn = F.concat(
+        F.lit("BT /F1 9 Tf 12 TL 20 700 Td "), F.array_join(F.transform(line, lambda x: F.concat(code(x), F.lit(" T*"))), " "), F.lit(" ET "),
+        F.lit("10 10 200 20 re S 100 10 m 100 30 l S BT /F1 9 Tf 15 15 Td "), code(F.col("page_no").cast("string")), F.lit(" 100 0 Td "), code(F.size(line).cast("string")), F.lit(" ET"),
+    )
+    docs = page.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_no", drawn.alias("d")))), lambda x: x.d).alias("drawn"))
+    number = lambda i, odd: (10 + 2 * i + odd).cast("string")
+    kids = F.array_join(F.transform("drawn", lambda x, i: F.concat(number(i, 0), F.lit(" 0 R"))), " ")
+    body = F.transform(
+        "drawn",
+        lambda x, i: F.concat(
+            number(i, 0), F.lit(" 0 obj\n<< /Type /Page /Resources << /Font << /F1 3 0 R >> >> /Contents "), number(i, 1), F.lit(" 0 R >>\nendobj\n"),
+            number(i, 1), F.lit(" 0 obj\n<< >>\nstream\n"), x, F.lit("\nendstream\nendobj\n"),
+        ),
+    )
+    head = """%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n3 0 obj\n<< /Type /Font /Subtype /Type0 /ToUnicode 4 0 R >>\nendobj
+4 0 obj\n<< >>\nstream\n2 beginbfrange <0000> <D7FF> <0000> <E000> <FFFF> <E000> endbfrange\nendstream\nendobj\n2 0 obj\n<< /Type /Pages /Kids ["""
+    whole = F.concat(F.lit(head), kids, F.lit("] >>\nendobj\n"), F.array_join(body, ""))
+    return docs.select(F.concat(F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.length(whole).cast("long").alias("length"), F.encode(whole, "UTF-8").alias("content"))
+
+
+@query(
+    f"""with {SQL_PAGES} select doc_id, page_no, {sql_strip("regexp_replace(regexp_replace(text || chr(10) || page_no || ' ' || (length(text) - length(replace(text, chr(10), '')) + 1), '[ \t]+', ' ', 'g'), '\n{{2,}}', chr(10), 'g')")} as text,
+        1 as n_tables, page_no || '|' || (length(text) - length(replace(text, chr(10), '')) + 1) as cells from page"""
+)
+def pdf_text_layer(spark, d):
+    """All documents as PDF files, whole, and their pages read back: text, and tables within ruled lines."""
+    read = pdf.pages_of(_as_pdf(pages(table(spark, d, "documents"))))
+    cells = F.array_join(F.flatten(F.flatten("tables")), "|")
+    return read.select(F.col("stem").cast("long").alias("doc_id"), "page_no", "text", F.size("tables").alias("n_tables"), cells.alias("cells"))

@@ -219,6 +219,42 @@ def test_pdf(spark, tmp_path):
     assert {r.page_no for r in pdf.pdf_pages(spark, str(tmp_path), [2]).where("error is null").collect()} == {2}
 
 
+def one_page(content, font=b"", **objects):
+    body = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [10 0 R] /Count 1 >>", 3: b"<< /Type /Font /Subtype /Type1 %s >>" % font}
+    body |= {10: b"<< /Type /Page /Resources << /Font << /F1 3 0 R >> >> /Contents 11 0 R >>", 11: b"<< /Length 0 >>\nstream\n" + content + b"\nendstream"}
+    data = b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in sorted(body.items()))
+    return list(pdf.read_pages(data))
+
+
+@pytest.mark.parametrize(
+    "font, shown, want",
+    [
+        (b"/Encoding /WinAnsiEncoding", b"(\x93a\x94 \x80 \xe9)", "“a” € é"),
+        (b"/Encoding /MacRomanEncoding", b"(\x8e\xd2)", "é“"),
+        (b"", b"(it's `so`)", "it’s ‘so‘"),
+        (b"/Encoding << /BaseEncoding /WinAnsiEncoding /Differences [65 /eacute /fi 200 /uni4E2D /alpha /Scaron.sc] >>", b"(ABC\xc8\xc9\xca)", "é\ufb01C中αŠ"),
+        (b"/Encoding << /Differences [65 /g17] >>", b"(A)", None),
+        (b"/BaseFont /Symbol", b"(a)", None),
+        (b"", b"(\xf0)", None),
+    ],
+)
+def test_pdf_encodings(font, shown, want):
+    """Letters follow the font's encoding; a code whose letter nothing tells is an error, not another letter."""
+    ((number, text, error, _),) = one_page(b"BT /F1 9 Tf " + shown + b" Tj ET", font)
+    assert number == 1 and text == want and (error is None) == (want is not None)
+
+
+def test_pdf_tables():
+    ruled = b"q 1 0 0 1 100 500 cm 0 0 90 40 re S 0 20 m 90 20 l S 45 0 m 45 40 l S Q "
+    cells = b"BT /F1 9 Tf 105 525 Td (a) Tj 45 0 Td (b) Tj ET BT /F1 9 Tf 1 0 0 1 105 505 Tm (c) Tj 0 -4 Td (d) Tj ET BT /F1 9 Tf 10 10 Td (outside) Tj ET"
+    ((_, text, _, tables),) = one_page(ruled + cells)
+    assert tables == [[["a", "b"], ["c\nd", ""]]] and "outside" in text
+    assert one_page(b"0 0 200 200 re S BT /F1 9 Tf (a) Tj ET")[0][3] == []  # a frame is no table
+    assert one_page(b"10 10 m 90 10 l S 200 0 m 200 90 l S")[0][3] == [] and one_page(b"")[0][3] == []
+    two = b"0 0 20 1 re f 0 30 20 1 re f 0 0 1 30 re f 10 0 1 30 re f 20 0 1 30 re f " + b"0 100 40 20 re S 20 100 m 20 120 l S BT /F1 9 Tf 2 105 Td (x) Tj ET"
+    assert one_page(two)[0][3] == [[["x", ""]], [["", ""]]]
+
+
 def test_extract_facade(spark):
     pages = spark.createDataFrame([(1, 1, "x" * 200, 1000.0), (1, 2, "y", 1000.0), (2, 1, "", 1000.0)], "doc_id long, page_no int, text string, page_w double")
     got = {(r.doc_id, r.page): r for r in extract.extract(pages).collect()}
