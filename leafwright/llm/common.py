@@ -65,6 +65,13 @@ class Store:
         for file in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
             removed(self.spark, file)
 
+    def only(self, *tables: DataFrame) -> None:
+        """Delete all tables but these, from which the result is read."""
+        kept = {f.rsplit("/", 2)[1] for t in tables for f in t.inputFiles()}
+        for k in range(1, self.made + 1):
+            if str(k) not in kept:
+                removed(self.spark, f"{self.path}/{k}")
+
     def close(self) -> None:
         removed(self.spark, self.path)
 

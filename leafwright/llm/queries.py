@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bayes_svm, decontaminate, html_text, packing, pii, quality_rules, secrets, simhash, substring, warc
+from . import bayes_svm, decontaminate, html_text, merkle, packing, pii, quality_rules, secrets, simhash, substring, warc
 from .common import table
 
 
@@ -54,6 +54,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), F.when(tampered, merkle.ascii_lower(F.col("text"))).otherwise(F.col("text")))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -65,10 +70,12 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.oracle(),
+    "op11_merkle_manifest": merkle.oracle(),
     "op7_warc_index_merge": """
         with p as (
             select page_id, coalesce(html, '') as h, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest
