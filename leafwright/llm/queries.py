@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bayes_svm, decontaminate, html_text, merkle, packing, pii, quality_rules, secrets, simhash, substring, warc
+from . import bayes_svm, decontaminate, html_text, merkle, packing, pii, quality_rules, secrets, simhash, substring, voronoi, warc
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), F.when(tampered, merkle.ascii_lower(F.col("text"))).otherwise(F.col("text")))
 
 
+def op12_voronoi_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -71,11 +75,13 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_voronoi_search": op12_voronoi_search,
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.oracle(),
     "op11_merkle_manifest": merkle.oracle(),
+    "op12_voronoi_search": voronoi.oracle(),
     "op7_warc_index_merge": """
         with p as (
             select page_id, coalesce(html, '') as h, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest
