@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bayes_svm, decontaminate, html_text, merkle, packing, pii, quality_rules, secrets, simhash, substring, voronoi, warc
+from . import bayes_svm, decontaminate, heap_lloyd, html_text, merkle, packing, pii, quality_rules, secrets, simhash, substring, voronoi, warc
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op12_voronoi_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op13_heap_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heap_lloyd.codes(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -76,12 +80,14 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_voronoi_search": op12_voronoi_search,
+    "op13_heap_lloyd": op13_heap_lloyd,
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.oracle(),
     "op11_merkle_manifest": merkle.oracle(),
     "op12_voronoi_search": voronoi.oracle(),
+    "op13_heap_lloyd": heap_lloyd.oracle(),
     "op7_warc_index_merge": """
         with p as (
             select page_id, coalesce(html, '') as h, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest
