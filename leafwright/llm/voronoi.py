@@ -65,7 +65,8 @@ def bounds(near: np.ndarray, far: np.ndarray, least: dict[int, list[float]], k:
     """
     reach = np.concatenate([np.empty((len(far), 0)), *(far[:, j, None] + np.array(d)[None, :] for j, d in least.items())], axis=1)
     radius = np.sort(reach, axis=1)[:, k - 1 : k] if reach.shape[1] >= k else np.full((len(far), 1), np.inf)
-    return near - radius - slack, far + radius + slack
+    with np.errstate(invalid="ignore"):  # cells without queries
+        return near - radius - slack, far + radius + slack
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, pivots: int = 128, tile_rows: int = 65536) -> DataFrame:
@@ -132,7 +133,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, piv
 
     # Small cells share a tile, large ones have several; tiles grow with the data up to ``tile_rows``.
     most_rows = max(1, min(tile_rows, (1 << 24) // (4 * width)))
-    of_data = tiled([(c, 0, m) for c, m in sizes.items()], max(1, min(most_rows, max(256, n // 256))))
+    of_data = tiled([(c, 0, m) for c, m in sizes.items()], max(1, min(most_rows, max(256, n // 64))))
     of_asks = tiled([(c, 0, m) for c, m in homes.items()], most_rows)
     groups: dict[int, list[int]] = {}
     for home, _, first, parts in of_asks:
