@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import difflib
 import json
+from itertools import zip_longest
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from leafwright.functions.text import let, squeezed, strip
+from leafwright.operators import phrases_by_gram
 
 PAGE_MARK = r"<!-- PAGE (\d+) -->"
 #: Fixed value: symbols that speak for formulas.
@@ -74,41 +76,19 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, block_bytes: int = PHRASE_
 
     Phrases of up to ``block_bytes`` together are a constant of the plan, held
     against each text with no join. More of them meet the texts in a join on
-    their first characters. Null texts are empty, empty phrases no phrases.
+    their rarest grams. Null texts are empty, empty phrases no phrases.
     """
     plain = phrases.select(squeezed(F.col("phrase")).alias("p")).where(F.length("p") > 0)
     bytes_, total = plain.agg(F.coalesce(F.sum(F.octet_length("p")), F.lit(0)), F.count("*")).first()
     total = F.lit(total).cast("long").alias("phrases")
     if bytes_ > block_bytes:
-        return _joined_hits(texts, plain).select("id", "hits", total)
+        return phrases_by_gram.hits(texts, plain).select("id", "hits", total)
     block = [r.p for r in plain.collect()]
     # A lambda's variable is computed once; a column would be squeezed anew for each phrase.
     one = F.transform(F.array(squeezed(F.coalesce("text", F.lit("")))), _held_by(F.from_json(F.lit(json.dumps(block)), "array<string>")))
     return texts.select("id", F.get(one, F.lit(0)).cast("long").alias("hits"), total)
 
 
-def _joined_hits(texts: DataFrame, plain: DataFrame, sizes: tuple[int, ...] = (1, 2, 4, 8, 16, 32)) -> DataFrame:
-    """(id, hits) by a join on the longest start of a phrase that is one of ``sizes``; a text offers its stretches of those sizes, each once.
-
-    A phrase is counted as often as it is given. Only stretches go through the
-    shuffle; a text comes to its candidates afterwards, once for each.
-    """
-    n = F.length("p")
-    start = F.lit(sizes[0])
-    for size in sizes[1:]:
-        start = F.when(n >= size, size).otherwise(start)
-    keyed = plain.groupBy("p").agg(F.count("*").alias("times")).withColumn("key", F.left("p", start))
-    texts = texts.select("id", squeezed(F.coalesce("text", F.lit(""))).alias("t")).withColumn("h", F.xxhash64("t"))
-
-    def stretches(size: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - size + 1, F.lit(1))), lambda k: F.substr("t", k, F.lit(size)))
-
-    offered = texts.select("id", "h", F.explode(F.array_distinct(F.flatten(F.array(*map(stretches, sizes))))).alias("key"))
-    met = offered.join(keyed, "key").select("id", "h", "p", "times").distinct()
-    held = met.join(texts.distinct(), ["id", "h"]).where(F.contains("t", F.col("p"))).groupBy("id", "h").agg(F.sum("times").alias("hits"))
-    return texts.join(held, ["id", "h"], "left").select("id", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
-
-
 def text_labels(text: Column) -> Column:
     """Labels of a page that its text alone tells; the patterns are fixed values."""
     dots = (F.length(text) - F.length(F.replace(text, F.lit("......"), F.lit("")))) / 6 + F.regexp_count(text, F.lit("…")) + F.regexp_count(text, F.lit(r"[^\s]\s*\.{3,}\s*\d+"))
@@ -143,27 +123,64 @@ def ruled(strokes: DataFrame, least: int = 4) -> DataFrame:
 def representatives(labelled: DataFrame, each: int = 2) -> DataFrame:
     """(label, doc_id, page_no): the first pages of each label.
 
-    A partial top-k: each task keeps a few candidates of a label before any
-    shuffle, so a label on a third of all pages costs no sort of them.
+    A limit on the place within the label: Spark cuts each task's rows to that
+    many of a label before it shuffles them, so a label on a third of all pages costs no sort of them.
     """
-    part = F.spark_partition_id()
-    few = labelled.groupBy("label", part.alias("_part")).agg(F.slice(F.array_sort(F.collect_list(F.struct("doc_id", "page_no"))), 1, each).alias("few"))
-    top = few.groupBy("label").agg(F.slice(F.array_sort(F.flatten(F.collect_list("few"))), 1, each).alias("few"))
-    return top.select("label", F.explode("few").alias("x")).select("label", "x.*")
+    place = F.row_number().over(Window.partitionBy("label").orderBy("doc_id", "page_no"))
+    return labelled.select("label", "doc_id", "page_no", place.alias("_place")).where(F.col("_place") <= each).drop("_place")
+
+
+def samples(labelled: DataFrame, each: int = 2) -> DataFrame:
+    """(doc_id, page_no, labels): the representatives of all labels together, each page once with the labels it stands for, in page order."""
+    held = representatives(labelled, each).groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    return held.orderBy("doc_id", "page_no")
+
+
+def finite(vector: Column) -> Column:
+    return F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def pivots(vectors: DataFrame, count: int = 4, sample: int = 256) -> list[list[float]]:
+    """``count`` vectors that are far from each other, out of the ``sample`` of the lowest hashes; the choice changes no result."""
+    rows = [r[0] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect()]
+    apart = lambda a, b: sum(abs(x - y) for x, y in zip_longest(a, b, fillvalue=0.0))
+    chosen, far = rows[:1], [apart(rows[0], x) for x in rows]
+    while len(chosen) < count and max(far, default=0) > 0:
+        chosen.append(rows[far.index(max(far))])
+        far = [min(d, apart(chosen[-1], x)) for d, x in zip(far, rows)]
+    return chosen
 
 
-def near_vectors(vectors: DataFrame, limit: float) -> DataFrame:
-    """(a, b, distance): pairs a < b of one label with a mean absolute difference below ``limit``.
+def near_pairs(vectors: DataFrame, limit: float, count: int = 4, most: int = 2048) -> DataFrame:
+    """(a, x, b, y): pairs of one label, a < b, that no pivot tells apart; all with a mean absolute difference below ``limit`` are among them.
 
-    The difference of two vectors' means is no more than that, so only vectors
-    in the same or the next band of means (bands as wide as the limit) meet.
+    The distances of two vectors to a pivot differ by no more than the vectors
+    do. Vectors go to cells as wide as the limit by the distance to the first
+    pivot and meet those of their own and the next cells. A cell of more than ``most`` vectors
+    is split by the second pivot in the same way. The other pivots sift the pairs that met.
     """
-    mean = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x) / F.size("embedding")
-    v = vectors.select("vec_id", "label", "embedding", F.floor(mean / limit).alias("band"))
-    a = v.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    b = v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y"), "band")
+    n = F.size("embedding")
+    v = vectors.where(F.col("label").isNotNull() & (n > 0)).where(finite(F.col("embedding")))
+    known = pivots(v, count)
+    away = lambda p: F.zip_with("embedding", F.lit([float(x) for x in p]), lambda x, y: F.abs(F.coalesce(x.cast("double"), F.lit(0.0)) - F.coalesce(y, F.lit(0.0))))
+    d = F.array(*(F.aggregate(away(p), F.lit(0.0), lambda t, z: t + z) / n for p in known)).cast("array<double>")
+    v = v.select("vec_id", "label", "embedding", n.alias("n"), d.alias("d"))
+    cell = lambda k: F.floor(F.get("d", F.lit(k)) / limit)
+    v = v.select("*", F.coalesce(cell(0), F.lit(0)).alias("c"), F.coalesce(cell(1), F.lit(0)).alias("c2"))
+    hot = v.groupBy("label", "n", "c").agg(F.count("*").alias("held")).where(F.col("held") > most).select("label", "n", "c", F.lit(True).alias("hot"))
+    near = lambda c: F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)
+    a = v.select("label", "n", F.col("vec_id").alias("a"), F.col("embedding").alias("x"), F.col("d").alias("dx"), "c2", F.explode(near("c")).alias("c")).join(hot, ["label", "n", "c"], "left")
+    a = a.select("label", "n", "c", "a", "x", "dx", F.explode(F.when(F.col("hot"), near("c2")).otherwise(F.array(F.lit(None).cast("long")))).alias("c2"))
+    b = v.join(hot, ["label", "n", "c"], "left").select("label", "n", "c", F.when(F.col("hot"), F.col("c2")).alias("c2"), F.col("vec_id").alias("b"), F.col("embedding").alias("y"), F.col("d").alias("dy"))
+    a, b = (t.withColumn("c2", F.coalesce("c2", F.lit(-1 << 40))) for t in (a, b))
+    close = F.forall(F.zip_with("dx", "dy", lambda p, q: F.abs(p - q) < limit * (1 + 1e-9) + 1e-12), lambda ok: ok)
+    return a.join(b, ["label", "n", "c", "c2"]).where(F.col("a") < F.col("b")).where(close).select("a", "x", "b", "y")
+
+
+def near_vectors(vectors: DataFrame, limit: float, count: int = 4, most: int = 2048) -> DataFrame:
+    """(a, b, distance): pairs a < b of one label with a mean absolute difference below ``limit``; null and non-finite vectors have none."""
     d = F.aggregate(F.zip_with("x", "y", lambda p, q: F.abs(p.cast("double") - q.cast("double"))), F.lit(0.0), lambda t, z: t + z) / F.size("x")
-    return a.join(b, ["label", "band"]).where("a < b").select("a", "b", d.alias("distance")).where(F.col("distance") < limit)
+    return near_pairs(vectors, limit, count, most).select("a", "b", d.alias("distance")).where(F.col("distance") < limit)
 
 
 COMPARED = StructType([StructField(n, DoubleType() if n == "ratio" else LongType()) for n in ("chars_a", "chars_b", "ratio", "changed_lines")])

@@ -38,10 +38,10 @@ def kept_blocks(blocks: DataFrame, min_score: float = 0.3) -> DataFrame:
 
 
 def overlap(line: Column, block: Column) -> Column:
-    """Share of the line's area within the block; 0 for a line without a box."""
+    """Share of the line's area within the block; 0 if either has no box."""
     side = lambda a, b: F.greatest(F.lit(0.0), F.least(line[b], block[b].cast("double")) - F.greatest(line[a], block[a].cast("double")))
     area = F.greatest(F.lit(1e-6), (line.x1 - line.x0) * (line.y1 - line.y0))
-    return F.coalesce(side("x0", "x1") * side("y0", "y1") / area, F.lit(0.0))
+    return F.coalesce(F.when(line.isNotNull() & block.isNotNull(), side("x0", "x1") * side("y0", "y1") / area), F.lit(0.0))
 
 
 def _blocks_by_page(blocks: DataFrame) -> DataFrame:

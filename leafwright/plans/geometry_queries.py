@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafwright.operators import evaluation, layout, recognition
+from leafwright.operators import boxjoin, evaluation, layout, recognition
 from leafwright.sources.driver_tables import PAGE_WIDTH, SQL_BLOCKS, SQL_OCR, ctc_matrices, layout_blocks, ocr_lines, table
 
 from .registry import query
@@ -47,6 +47,25 @@ def line_assign(spark, d):
     return layout.assigned(_lines(spark, d), _blocks(spark, d)).select("doc_id", "page_no", "line_id", "block_idx", F.round("overlap", 9).alias("overlap"))
 
 
+@query(f"with {RATIO} select doc_id, page_no, line_id, block_idx, round(r, 9) as overlap from placed")
+def line_assign_grid(spark, d):
+    return boxjoin.assigned_by_grid(_lines(spark, d), _blocks(spark, d)).select("doc_id", "page_no", "line_id", "block_idx", F.round("overlap", 9).alias("overlap"))
+
+
+def _scroll(rows, number, of_page):
+    """A document as one long page: its pages stand below each other, and numbers go on."""
+    low = F.col("page_no") * 1000
+    box = F.col("bbox").withField("y0", F.col("bbox.y0") + low).withField("y1", F.col("bbox.y1") + low)
+    return rows.withColumns({"bbox": box, number: (F.col("page_no") * of_page + F.col(number)).cast("int"), "page_no": F.lit(1)})
+
+
+@query(f"with {RATIO} select doc_id, 1 as page_no, (page_no * 10 + line_id)::int as line_id, (page_no * 8 + block_idx)::int as block_idx, round(r, 9) as overlap from placed")
+def line_assign_scroll(spark, d):
+    """Whole documents as pages: the long ones go by the grid, the others by rows."""
+    lines, blocks = _scroll(_lines(spark, d), "line_id", 10), _scroll(_blocks(spark, d), "block_idx", 8)
+    return boxjoin.assigned_by_size(lines, blocks, pairs=2000).select("doc_id", "page_no", "line_id", "block_idx", F.round("overlap", 9).alias("overlap"))
+
+
 @query(f"with {RATIO} select doc_id, page_no, line_id, text from placed where block_idx is null")
 def orphan_lines(spark, d):
     return layout.assigned(_lines(spark, d), _blocks(spark, d)).where("block_idx is null").select("doc_id", "page_no", "line_id", "text")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafwright.functions import text as T
@@ -196,6 +196,19 @@ def _labelled(spark, d):
     return _pages(spark, d).select("doc_id", "page_no", evaluation.text_labels(text).alias("labels"))
 
 
+_STARTS = "text, left(text, 1), left(text, 2), left(text, 3), substr(text, 5, 12)"
+
+
+@query(
+    f"""with p as (select {sql_squeeze("x")} as p from (select unnest([{_STARTS}]) as x from benchmark)), t as (select doc_id as id, {sql_squeeze("text")} as t from documents)
+    select id, (select count(*) from p where p <> '' and contains(t, p)) as hits, (select count(*) from p where p <> '') as phrases from t"""
+)
+def phrase_hits_by_gram(spark, d):
+    """Whole items, their starts of one to three characters, and parts of them, by the index of rarest grams."""
+    phrases = table(spark, d, "benchmark").select(F.explode(F.expr(f"array({_STARTS})")).alias("phrase"))
+    return evaluation.phrase_hits(_docs(spark, d).select(F.col("doc_id").alias("id"), "text"), phrases, block_bytes=0)
+
+
 @query(f"with {SQL_LABELLED} select doc_id, page_no, array_to_string(labels, ',') as labels from l")
 def page_labels(spark, d):
     return _labelled(spark, d).select("doc_id", "page_no", F.array_join("labels", ",").alias("labels"))
@@ -206,6 +219,15 @@ def representative_pages(spark, d):
     return evaluation.representatives(_labelled(spark, d).select(F.explode("labels").alias("label"), "doc_id", "page_no"))
 
 
+@query(
+    f"""with {SQL_LABELLED}, u as (select unnest(labels) as label, doc_id, page_no from l), r as (select * from u qualify row_number() over (partition by label order by doc_id, page_no) <= 2)
+    select doc_id, page_no, string_agg(distinct label, ',' order by label) as labels from r group by all"""
+)
+def sample_pages(spark, d):
+    found = evaluation.samples(_labelled(spark, d).select(F.explode("labels").alias("label"), "doc_id", "page_no"))
+    return found.withColumn("labels", F.array_join("labels", ","))
+
+
 @query(
     f"""with {SQL_PAGES}, i as (select doc_id, page_no as page, length(text) as n, case when (doc_id + page_no) % 50 = 0 then 'timeout' end as e from page)
     select doc_id, page, 0 as seq, 'page ' || page || ': low content (' || n || ' chars)' as issue from i where n < 30
@@ -261,8 +283,9 @@ def rerun_acceptance(spark, d):
 def keyword_triage(spark, d):
     t = F.col("text")
     score = F.when(t.contains("|"), 3).otherwise(0) + F.when(t.rlike("[0-9]"), 2).otherwise(0) + F.when(F.length(t) < 100, 1).otherwise(0)
-    few = _pages(spark, d).select("doc_id", "page_no", score.alias("priority")).where("priority > 0").groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), "page_no"))), 1, 5).alias("few"))
-    return few.select("doc_id", F.explode("few").alias("x")).select("doc_id", "x.page_no", (-F.col("x.p")).alias("priority"))
+    found = _pages(spark, d).select("doc_id", "page_no", score.alias("priority")).where("priority > 0")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("priority").desc(), "page_no"))
+    return found.withColumn("place", place).where("place <= 5").drop("place")
 
 
 @query()
