@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from leafwright.options import ExtractOptions
 from leafwright.sources import pdf
 from leafwright.sources.driver_tables import SQL_BLOCKS, SQL_OCR, SQL_PAGES, layout_blocks, ocr_lines, pages, table
-from leafwright.streaming import ingest
+from leafwright.streaming import ingest, jobs
 
 from . import extract
 from .geometry_queries import RENDERED
@@ -66,6 +66,33 @@ def ingest_incremental(spark, d):
     return ingest.cached(spark, f"{path}/table")
 
 
+def _job_events(events):
+    """Events as those of a service's jobs, a job for each user and day."""
+    state = F.create_map(*[F.lit(x) for x in ("signup", "submit", "purchase", "done", "error", "failed")])
+    day = F.date_format("ts", "yyyy-MM-dd")
+    return events.select(
+        F.concat_ws("/", F.col("user_id").cast("string"), day).alias("job"), F.col("ts").alias("at"), F.col("event_id").alias("seq"),
+        F.coalesce(F.try_element_at(state, F.col("event_type")), F.lit("poll")).alias("state"), F.col("props").alias("message"), F.when(F.col("value") >= 5, "http://result").alias("url"),
+    )
+
+
+@query(
+    """with e as (select user_id || '/' || strftime(ts, '%Y-%m-%d') as job, ts, event_id as seq, event_type as t, props, value from events),
+    j as (select job, min(ts) as started, min({'a': ts, 's': seq, 't': t, 'p': props, 'v': value}) filter (t in ('purchase', 'error')) as x from e group by job),
+    k as (select *, started + interval 4 hour as until, (select max(ts) from events) - interval 1 minute as now from j)
+    select job, case when x.a < until then case when x.t = 'error' or x.v < 5 then 'failed' else 'done' end when until <= now then 'failed' else 'open' end as state,
+        case when x.a < until then case when x.t = 'error' then x.p when x.v < 5 then 'done without a result' end when until <= now then 'timeout' end as cause,
+        started, case when x.a < until then x.a when until <= now then until end as ended from k"""
+)
+def job_states_stream(spark, d):
+    """Last states of jobs whose events came as a stream, timeouts by timers."""
+    events, path = table(spark, d, "events"), _scratch(spark)
+    read = lambda s: _job_events(s.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]"))
+    jobs.follow(spark, read, f"{path}/states", f"{path}/progress", wait=4 * 3600, late="1 minute")
+    last = jobs.latest(spark, f"{path}/states")
+    return last.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")})
+
+
 @query("select date_trunc('day', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def event_windows(spark, d):
     return ingest.event_windows(table(spark, d, "events")).withColumn("total", F.round("total", 4))
