@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwright.operators import layout, report, selection
 from leafwright.options import ExtractOptions, page_parts, page_runs
+from leafwright.sources.cache_table import CacheTable
 
 
 def chosen_pages(pages: DataFrame, options: ExtractOptions) -> DataFrame:
@@ -67,6 +71,27 @@ def extract(pages: DataFrame, options: ExtractOptions | None = None, lines: Data
     return text.unionByName(seen).withColumn("chars", F.length("text"))
 
 
+def extract_cached(pages: DataFrame, read: Callable[[DataFrame], DataFrame], held: CacheTable, options: ExtractOptions | None = None) -> DataFrame:
+    """Rows of ``pages`` with text, error and cache: ``hit`` if the text was held, else what ``read`` gives of the pages that were not.
+
+    ``pages`` has cache_key and engine. Texts that were read are held from then
+    on; audits are neither looked up nor held. ``refresh`` reads all anew and holds
+    the results, ``no_cache`` does neither. What was read is written once, to a folder of the table, before it is put or returned.
+    """
+    options = options or ExtractOptions()
+    able = F.col("engine") != "audit"
+    known = held.lookup(pages.where(able)) if not (options.refresh or options.no_cache) else pages.where(able).withColumn("cached_text", F.lit(None).cast("string"))
+    misses = known.where("cached_text is null").drop("cached_text").unionByName(pages.where(~able))
+    path = f"{held.path}/runs/{uuid.uuid4().hex}"
+    read(misses).write.parquet(path)
+    got = pages.sparkSession.read.parquet(path)
+    hits = known.where("cached_text is not null").withColumn("text", F.col("cached_text")).withColumns({"error": F.lit(None).cast("string"), "cache": F.lit("hit")})
+    out = hits.select(*pages.columns, "text", "error", "cache").unionByName(got.select(*pages.columns, "text", "error", F.lit(None).cast("string").alias("cache")))
+    if not options.no_cache:
+        held.upsert(got.where(able).select("cache_key", "text"))
+    return out
+
+
 def extract_report(results: DataFrame) -> DataFrame:
     """The run report of ``extract``'s rows."""
     return report.run_report(results.withColumn("time", F.lit(0.0)))

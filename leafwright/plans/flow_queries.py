@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwright.options import ExtractOptions
 from leafwright.sources import pdf
+from leafwright.sources.cache_table import CacheTable
 from leafwright.sources.driver_tables import SQL_BLOCKS, SQL_OCR, SQL_PAGES, layout_blocks, ocr_lines, pages, table
 from leafwright.streaming import ingest, jobs
 
@@ -66,6 +69,37 @@ def ingest_incremental(spark, d):
     return ingest.cached(spark, f"{path}/table")
 
 
+@query(
+    f"""with {SQL_PAGES}, k as (select 'd' || doc_id || '_p' || page_no as cache_key, doc_id, page_no, text from page)
+    select 1 as version, cache_key, text from k where doc_id % 2 = 0 and text <> ''
+    union all select 2, cache_key, case when page_no = 1 then 'new ' || text else text end from k where case when page_no = 1 then true else text <> '' and doc_id % 2 = 0 end
+    union all select 3, cache_key, case when page_no = 1 then 'new ' || text else text end from k where case when page_no = 1 then true else text <> '' and doc_id % 2 = 0 end"""
+)
+def cache_versions(spark, d):
+    """Three versions of a cache: pages of every other document, first pages of all put over them, compacted; each read as it was."""
+    keyed = pages(table(spark, d, "documents")).withColumn("cache_key", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("_p"), F.col("page_no").cast("string")))
+    held = CacheTable(spark, f"{_scratch(spark)}/cache", buckets=16)
+    held.upsert(keyed.where("doc_id % 2 = 0"))
+    held.upsert(keyed.where("page_no = 1").withColumn("text", F.concat(F.lit("new "), "text")))
+    held.compact()
+    return reduce(DataFrame.unionByName, (held.snapshot(v).select(F.lit(v).alias("version"), "cache_key", "text") for v in (1, 2, 3)))
+
+
+@query(
+    f"""with {SQL_PAGES} select doc_id, page_no, case when doc_id % 3 = 0 then 'old ' || doc_id else text end as text, case when doc_id % 3 <> 0 and text = '' then 'empty result' end as error,
+        case when doc_id % 3 = 0 then 'hit' end as cache from page"""
+)
+def extract_with_cache(spark, d):
+    """A run against a cache that holds every third document: hits are taken, the rest is read and held, a second run reads what had no text."""
+    keyed = pages(table(spark, d, "documents")).select(
+        "doc_id", "page_no", "text", F.lit("hybrid").alias("engine"), F.concat_ws("_", F.lit("d"), F.col("doc_id").cast("string"), F.col("page_no").cast("string")).alias("cache_key")
+    )
+    held = CacheTable(spark, f"{_scratch(spark)}/cache", buckets=16)
+    held.upsert(keyed.where("doc_id % 3 = 0").select("cache_key", F.concat(F.lit("old "), F.col("doc_id").cast("string")).alias("text")))
+    read = lambda misses: misses.join(keyed.select("cache_key", "text"), "cache_key").withColumn("error", F.when(F.length("text") == 0, "empty result"))
+    return extract.extract_cached(keyed.drop("text"), read, held).select("doc_id", "page_no", "text", "error", "cache")
+
+
 def _job_events(events):
     """Events as those of a service's jobs, a job for each user and day."""
     state = F.create_map(*[F.lit(x) for x in ("signup", "submit", "purchase", "done", "error", "failed")])

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from leafwright.sources.cache_table import CacheTable
+
 
 def ingest(spark: SparkSession, source: str, schema: StructType, transform: Callable[[DataFrame], DataFrame], sink: str, state: str, files_a_batch: int = 64) -> None:
     """Run what is new at ``source`` through ``transform`` (to rows with cache_key and text) into ``sink``; ``state`` keeps the progress."""
@@ -24,10 +26,20 @@ def ingest(spark: SparkSession, source: str, schema: StructType, transform: Call
     stream.writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
+def ingest_into(spark: SparkSession, source: str, schema: StructType, transform: Callable[[DataFrame], DataFrame], table: CacheTable, state: str, files_a_batch: int = 64) -> None:
+    """``ingest`` into a versioned cache table: each micro-batch is one version, put once however often it is run."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        table.upsert(transform(batch), tag=(source, number))
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
 def cached(spark: SparkSession, sink: str) -> DataFrame:
-    """(cache_key, text): the last batch's text of each key."""
+    """(cache_key, text): the last batch's text of each key, the greatest if that batch has several."""
     rows = spark.read.schema("cache_key string, text string, batch long").parquet(sink)
-    return rows.groupBy("cache_key").agg(F.max_by("text", "batch").alias("text"))
+    return rows.groupBy("cache_key").agg(F.max_by("text", F.struct("batch", "text")).alias("text"))
 
 
 def event_windows(events: DataFrame, window: str = "1 day", late: str = "2 hours") -> DataFrame:
