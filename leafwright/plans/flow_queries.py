@@ -10,8 +10,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafwright.operators.evaluation import concatenated
 from leafwright.options import ExtractOptions
-from leafwright.sources import pdf
+from leafwright.sources import document_files, pdf
 from leafwright.sources.cache_table import CacheTable
 from leafwright.sources.driver_tables import SQL_BLOCKS, SQL_OCR, SQL_PAGES, layout_blocks, ocr_lines, pages, table
 from leafwright.streaming import ingest, jobs
@@ -100,6 +101,19 @@ def extract_with_cache(spark, d):
     return extract.extract_cached(keyed.drop("text"), read, held).select("doc_id", "page_no", "text", "error", "cache")
 
 
+@query(
+    f"""with {SQL_PAGES} select 'doc' || doc_id as stem, 'txt' as ext, string_agg(text || chr(12), '' order by page_no) as text from page group by doc_id"""
+)
+def document_files_read(spark, d):
+    """Each document written as a text file with form feeds and as Markdown under page marks, and the text files read back by a filter on the name."""
+    page, path = pages(table(spark, d, "documents")), f"{_scratch(spark)}/files"
+    plain = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: F.concat(x.text, F.lit("\f"))), "")
+    marked = concatenated(page).select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("stem"), F.col("md").alias("text"))
+    document_files.write(page.groupBy(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("stem")).agg(plain.alias("text")), path, "txt")
+    document_files.write(marked, path, "md")
+    return document_files.read(spark, path).where("ext = 'txt'").select("stem", "ext", "text")
+
+
 def _job_events(events):
     """Events as those of a service's jobs, a job for each user and day."""
     state = F.create_map(*[F.lit(x) for x in ("signup", "submit", "purchase", "done", "error", "failed")])
