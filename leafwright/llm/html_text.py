@@ -2,12 +2,13 @@
 
 The standard library's parser gives events; block tags cut them into lines, and
 containers are numbered, each with its parent, so a line costs one number
-however deep it lies. A line's ratio is its text to its tags, nothing for text in
-menus, adverts and the like, and link text does not count. The ratios are
-smoothed with a Gaussian, a multiple of their deviation is the threshold, and
-runs of lines over it are the content clusters. The clusters choose the
-containers that are content: all that lies in them belongs to the text, short
-paragraphs and headings too, and what lies outside does not.
+however deep it lies. A line's ratio is its text, without that of links, to its tags, nothing for
+text in menus, adverts and the like, and no more than ``FULL``. The ratios are
+smoothed with a Gaussian; runs of lines over a threshold, a multiple of the ratios'
+deviation, are the content clusters, which grow over the next lines of half that
+height. The clusters choose: a container most of whose text is in them is
+content as it stands, short paragraphs and headings included; of any other only
+the lines of clusters are, and what lies between them.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ CONTAINER = BLOCK - {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd"}
 #: Furniture by class, id or role: names that say so alone, and words that may stand with them.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies"
-    " disclaimer disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related"
-    " respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
+    " disclaimer disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion recommended recommendations related"
+    " replies respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
 BESIDE = frozenset(
     "area bar block bottom box buttons container content form global inner item left links list main page panel post posts reader right section site slot"
@@ -46,6 +47,9 @@ BESIDE = frozenset(
 HEADER = frozenset(("header", "masthead", "banner"))
 TITLED = frozenset(("content", "post", "posts", "text"))  # a header of these holds a title
 WORDS = re.compile(r"[a-z]+")
+#: Words that are written as one: commentlist, navlinks.
+JOINED = re.compile("(?:" + "|".join(sorted(NAMES | BESIDE, key=len, reverse=True)) + ")+")
+PART = re.compile("|".join(sorted(NAMES | BESIDE, key=len, reverse=True)))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
@@ -53,7 +57,7 @@ def furnished(names: str) -> set[str]:
     """Furniture names among class, id and role: of tokens all of whose words are such names or stand beside them."""
     found: set[str] = set()
     for token in names.lower().split():
-        words = set(WORDS.findall(token))
+        words = {part for word in WORDS.findall(token) for part in (PART.findall(word) if word not in NAMES | BESIDE and JOINED.fullmatch(word) else [word])}
         if words and words <= NAMES | BESIDE and (HEADER.isdisjoint(words) or TITLED.isdisjoint(words)):
             found |= words & NAMES
     return found
@@ -67,7 +71,8 @@ class Lines(HTMLParser):
         self.stack: list[tuple[str, int, bool, int]] = []  # tag, container, unseen, furniture container
         self.open: dict[str, list[int]] = {}  # tag -> where it is in the stack
         self.walls: list[int] = []  # where containers are in the stack
-        self.parent, self.tag, self.form = [0], [""], [False]  # of containers, by number
+        self.parent, self.tag = [0], [""]  # of containers, by number
+        self.titled: set[int] = set()  # header containers with a first heading
         self.lines: list[tuple[list[str], int, int, int, int, str]] = []
         self.parts: list[str] = []
         self.tags = self.linked = self.whole = 0  # whole: open article and main tags
@@ -100,8 +105,9 @@ class Lines(HTMLParser):
             self.tag.append(tag)
             at = len(self.parent) - 1
             furniture = furniture or (at if own else 0)
-            self.form.append(tag == "form")
         self.whole += tag in ("article", "main")
+        if tag == "h1" and furniture and self.tag[furniture] == "header":
+            self.titled.add(furniture)
         if tag in CONTAINER:
             self.walls.append(len(self.stack))
         self.open.setdefault(tag, []).append(len(self.stack))
@@ -138,7 +144,7 @@ class Lines(HTMLParser):
         if not (self.stack and self.stack[-1][2]):
             self.parts.append(data)
             if self.open.get("a"):
-                self.linked += len(data)
+                self.linked += len("".join(data.split()))
 
 
 def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -147,88 +153,156 @@ def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, "edge"), kernel / kernel.sum(), "valid")
 
 
-def _within(mass: list[int], parent: list[int]) -> list[int]:
-    """Sums over containers and all that lies in them; numbers grow inwards."""
-    mass = list(mass)
-    for k in range(len(parent) - 1, 0, -1):
-        mass[parent[k]] += mass[k]
-    return mass
-
-
-def regions(content: list[int], sizes: list[int], where: list[int], parent: list[int], tag: list[str], least: float) -> set[int]:
-    """Numbers of the containers that the lines ``content`` choose; ``sizes`` and ``where``: text and container of each line."""
-    mass, own = [0] * len(parent), [False] * len(parent)
-    for k in content:
-        mass[where[k]] += sizes[k]
-        own[where[k]] = True
-    mass = _within(mass, parent)
-    children: dict[int, list[int]] = {}
-    for k in range(1, len(parent)):
-        if mass[k]:
-            children.setdefault(parent[k], []).append(k)
-    whole = [t in ("article", "main") for t in tag]
-    for k in range(1, len(parent)):
-        whole[k] |= whole[parent[k]]
-    # Inwards as long as one container has all the clusters, or outside of articles those of weight.
-    at = 0
-    while not own[at]:
-        some = children.get(at, [])
-        heavy = max((mass[c] for c in some), default=0)
-        kept = [c for c in some if whole[at] or mass[c] >= least * heavy]
-        if len(kept) != 1:
-            return set(kept) or {at}
-        at = kept[0]
-    while tag[at] not in ("article", "main") and whole[at]:  # the rest of its article, such as a heading above the body
-        at = parent[at]
-    return {at}
-
-
-def main_text(html: str | None, sigma: float = 1.0, factor: float = 1.0, least: float = 0.2, most: float = 0.5) -> str:
+def clusters(ratios: np.ndarray, sigma: float, factor: float) -> tuple[set[int], set[int]]:
+    """Lines that are content by themselves, and all lines of the clusters.
+
+    A cluster is lines whose smoothed ratio reaches ``factor`` deviations of the
+    ratios, and neighbours within the Gaussian's reach while they have half of
+    that; those whose own ratio reaches it too are content by themselves. A line
+    without a ratio is in no cluster. If no line reaches the threshold the one
+    of the greatest ratio is all there is.
+    """
+    even, least, reach = smooth(ratios, sigma), factor * ratios.std(), int(np.ceil(3 * sigma))
+    core = {int(k) for k in np.flatnonzero((even >= least) & (ratios > 0))}
+    if not core and ratios.any():
+        core = {int(ratios.argmax())}
+    grown = set(core)
+    for k in core:
+        for step in (1, -1):
+            at = k + step
+            while abs(at - k) <= reach and 0 <= at < len(ratios) and ratios[at] > 0 and even[at] >= least / 2:
+                grown.add(at)
+                at += step
+    return {k for k in core if ratios[k] >= least}, grown
+
+
+class Regions:
+    """What the clusters choose; ``where`` is each line's container, ``sizes`` its text without links, ``links`` whether it has link text alone."""
+
+    def __init__(self, parent: list[int], tag: list[str], where: list[int], sizes: list[int], links: list[bool], strong: set[int], grown: set[int]):
+        self.parent, self.tag, self.strong, self.grown = parent, tag, strong, grown
+        self.lines: list[list[int]] = [[] for _ in parent]  # that lie in a container directly
+        self.children: list[list[int]] = [[] for _ in parent]
+        self.first, self.last = [None] * len(parent), [-1] * len(parent)
+        self.free, self.held, self.sure, self.linked, self.solid = ([0] * len(parent) for _ in range(5))
+        for k, w in enumerate(where):
+            if sizes[k] or links[k]:
+                self.lines[w].append(k)
+                self.free[w] += sizes[k]
+                self.held[w] += sizes[k] if k in grown else 0
+                self.sure[w] += k in strong
+                self.linked[w] += links[k]
+                self.solid[w] += not links[k]
+                self.first[w] = k if self.first[w] is None else self.first[w]
+                self.last[w] = k
+        for k in range(len(parent) - 1, 0, -1):  # numbers grow inwards
+            p = parent[k]
+            if self.last[k] >= 0:
+                self.children[p].append(k)
+                for mass in (self.free, self.held, self.sure, self.linked, self.solid):
+                    mass[p] += mass[k]
+                self.first[p] = self.first[k] if self.first[p] is None else min(self.first[p], self.first[k])
+                self.last[p] = max(self.last[p], self.last[k])
+
+    def whole(self, top: int, menus: bool) -> list[int]:
+        """All lines of a container; with ``menus``, but for containers of several lines that are links alone."""
+        out, todo = [], [top]
+        while todo:
+            c = todo.pop()
+            out += self.lines[c]
+            todo += [x for x in self.children[c] if not (menus and self.linked[x] > 1 and not self.solid[x])]
+        return out
+
+    def _outermost(self, tag: str) -> list[int]:
+        """The outermost containers of a tag that hold a line of a cluster."""
+        inside, out = [False] * len(self.parent), []
+        for k in range(1, len(self.parent)):
+            inside[k] = inside[self.parent[k]] or self.tag[k] == tag
+            if inside[k] and not inside[self.parent[k]] and self.held[k]:
+                out.append(k)
+        return out
+
+    def chosen(self) -> list[int]:
+        # A page that says what its main part or its articles are is taken at its word, if the clusters lie there.
+        for tag in ("main", "article"):
+            some = self._outermost(tag)
+            if some and 2 * sum(self.held[c] for c in some) >= self.held[0]:
+                return sorted(k for c in some for k in self.whole(c, False))
+        out, todo = set(), [(0, True)]
+        while todo:
+            c, page = todo.pop()
+            page = page and self.tag[c] in ("", "html", "body")
+            most = 2 * self.held[c] >= self.free[c]
+            if most and any(k in self.grown for k in self.lines[c]):
+                out.update(self.whole(c, page))
+                continue
+            some = [x for x in self.children[c] if self.sure[x] or self.held[x] and 2 * self.held[x] >= self.free[x]]
+            own = [k for k in self.lines[c] if k in (self.grown if most else self.strong)]
+            ends = [self.first[x] for x in some] + [self.last[x] for x in some] + own
+            if ends:  # what stands between is of the same region
+                low, high = min(ends), max(ends)
+                out.update(k for k in self.lines[c] if low <= k <= high)
+                for x in self.children[c]:
+                    if x not in some and low < self.first[x] < high and self.solid[x]:
+                        out.update(self.whole(x, page))
+            todo += [(x, page) for x in some]
+        return sorted(out)
+
+
+def closed(html: str) -> str:
+    """The page without a comment or a tag that never ends; the parser would look for its end again and again."""
+    at = html.find("<!--", html.rfind("-->") + 1)
+    html = html[:at] if at >= 0 else html
+    last = html.rfind(">") + 1
+    open_tag = OPEN.search(html, last)
+    return html[: open_tag.start()] if open_tag else html
+
+
+OPEN = re.compile(r"<[a-zA-Z/!?]")
+FULL = 100.0  # characters to a tag from which a line is text, however long
+
+
+def main_text(html: str | None, sigma: float = 1.0, factor: float = 1.0, most: float = 0.5) -> str:
     """The article's blocks, in order, with two newlines between; empty if there is none.
 
     ``sigma`` and ``factor``: width of the Gaussian in lines, and threshold in
-    deviations of the smoothed ratios. Clusters outside of articles count if
-    their container has ``least`` of the heaviest one's text. What is named as
-    furniture is none if all text of the page but other furniture's lies in it,
-    and a form is none from a share ``most`` of the page's text on.
+    deviations of the ratios. What is named as furniture is none if all text of
+    the page but other furniture's lies in it, a form is none from a share
+    ``most`` of the page's text on, and a header is none that holds the first heading and no links.
     """
     parser = Lines()
-    parser.feed(html or "")
-    if parser.rawdata.startswith("<!--"):  # a comment that never ends is no text
-        parser.rawdata = ""
+    parser.feed(closed(html or ""))
     parser.close()
     parser.cut()
     parent, tag = parser.parent, parser.tag
     texts = [" ".join("".join(x[0]).split()) for x in parser.lines]
     where, furniture = [x[3] for x in parser.lines], [x[4] for x in parser.lines]
     # A form around most of the page, or a named container that nearly all else lies in, is a wrapper.
-    total, mass, free = sum(map(len, texts)), [0] * len(parent), 0
-    for text, f in zip(texts, furniture):
+    total, mass, links = sum(map(len, texts)), [0] * len(parent), [0] * len(parent)
+    for text, f, x in zip(texts, furniture, parser.lines):
         mass[f] += len(text)
+        links[f] += x[1]
     free = mass[0]
-    wrapper = {f for f in set(furniture) if f and (mass[f] > most * total if parser.form[f] else mass[f] > 0.9 * (mass[f] + free))}
+    wrapper = {f for f in set(furniture) if f and (mass[f] > most * total if tag[f] == "form" else mass[f] > 0.9 * (mass[f] + free))}
+    wrapper |= {f for f in parser.titled if not links[f]}
     if wrapper:  # what is furniture within it still is
         inner = [0] * len(parent)
         for k in range(1, len(parent)):
             inner[k] = inner[parent[k]] or (k if k not in wrapper and tag[k] in FURNITURE - {"form"} else 0)
         furniture = [inner[w] if f in wrapper else f for w, f in zip(where, furniture)]
-    if not any(text and not f for text, f in zip(texts, furniture)):
-        return ""
-    ratios = np.array([0.0 if f else max(0, len(t) - x[1]) / max(1, x[2]) for t, f, x in zip(texts, furniture, parser.lines)])
-    even = smooth(ratios, sigma)
-    content = [int(k) for k in np.flatnonzero((even >= factor * even.std()) & (ratios > 0)) if texts[k]] or [k for k in [int(ratios.argmax())] if texts[k]]
-    content = content or [k for k, (t, f) in enumerate(zip(texts, furniture)) if t and not f]
-    chosen = regions(content, [len(t) for t in texts], where, parent, tag, least)
-    inside = [False] * len(parent)
-    for k in range(len(parent)):
-        inside[k] = k in chosen or k > 0 and inside[parent[k]]
-    held = [k for k, (t, f) in enumerate(zip(texts, furniture)) if t and not f and inside[where[k]]]
-    if chosen == {0} or all(tag[c] in ("html", "body") for c in chosen):
-        # No container is narrower than the page: from the first cluster to the last, with a heading right above.
-        held = [k for k in held if content[0] <= k <= content[-1]]
-    heading = [k for k, (t, f, x) in enumerate(zip(texts, furniture, parser.lines)) if t and not f and x[5] == "h1" and held and k < held[0]]
-    if heading and not any(parser.lines[k][5] == "h1" for k in held):
-        held = [heading[-1], *held]
+    plain = [0 if f else max(0, len(t) - t.count(" ") - x[1]) for t, f, x in zip(texts, furniture, parser.lines)]
+    ratios = np.array([min(FULL, n / max(1, x[2])) for n, x in zip(plain, parser.lines)])
+    linked = [bool(t) and not f and not n for t, f, n in zip(texts, furniture, plain)]
+    if not any(plain):  # links alone
+        return "\n\n".join(t for t, f in zip(texts, furniture) if t and not f)
+    # Lines of tags alone stand between no others.
+    some = np.flatnonzero([bool(t) for t in texts])
+    strong, grown = ({int(some[k]) for k in x} for x in clusters(ratios[some], sigma, factor))
+    held = Regions(parent, tag, where, plain, linked, strong, grown).chosen()
+    # The heading above, with what stands between it and the text.
+    first = [k for k in range(held[0] if held else 0) if plain[k] and parser.lines[k][5] == "h1"]
+    if first and not any(parser.lines[k][5] == "h1" for k in held):
+        held = [k for k in range(first[-1], held[0]) if plain[k]] + held
     return "\n\n".join(texts[k] for k in held)
 
 
