@@ -25,11 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Store, components, looked_up, passes, sieve, tuples
+from .common import MOST, Store, components, looked_up, passes, sieve, tuples
 from .packing import blocks
 
 
-
 def bands_for(threshold: float, rows: int, recall: float) -> int:
     """The fewest bands of ``rows`` values by which a pair at the threshold meets with probability ``recall``."""
     return int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows)))
@@ -74,8 +73,8 @@ class Batch:
         self.no = np.arange(len(some)) - np.searchsorted(self.doc, self.doc)
         letters = np.append(0, np.cumsum((data & 0xC0) != 0x80, dtype=np.int64))
         self.start, self.stop = (letters[x] - letters[ends[self.doc]] for x in (starts, stops))
-        self.ids = ids.take(pa.array(self.doc))
         self.ends = np.cumsum(self.counts)
+        self.ids = ids.take(pa.array(self.doc))
         self.begins = self.ends - self.counts
         self.hashes, self.size = self._words(data, at, chunk), size
         # The whole sequence's hash, place by place.
@@ -101,7 +100,7 @@ class Batch:
         """(shingles, where each passage's start); a passage shorter than a shingle is one shingle, its own hash."""
         h, size = self.hashes, self.size
         mixed = h.copy()
-        for k in range(1, size):  # a shingle that would cross a passage's end is dropped below
+        for k in range(1, min(size, len(h))):  # a shingle that would cross a passage's end is dropped below
             mixed[: len(h) - k] = _mix(mixed[: len(h) - k]) + h[k:]
         n = np.maximum(1, self.counts - size + 1)
         first = np.cumsum(n) - n
@@ -145,7 +144,8 @@ class Source:
     """Passes over the documents, each for what its step needs."""
 
     def __init__(self, docs: DataFrame, size: int, bands: int, rows: int, threshold: float):
-        self.docs = docs.select(F.col("doc_id").cast("long"), "text")
+        self.keys = ["doc_id", *(c for c in docs.columns if c == "of_text")]
+        self.docs = docs.select("text", *(F.col(c).cast("long") for c in self.keys))
         self.size, self.bands, self.rows, self.threshold = size, bands, rows, threshold
 
     def _run(self, emit, schema: str) -> DataFrame:
@@ -154,34 +154,34 @@ class Source:
         def run(batches):
             seen = set()
             for batch in batches:
-                ids, texts = batch.column(0), batch.column(1)
+                texts = batch.column(0)
                 for i, j in blocks(texts, 1 << 20):
-                    made = Batch(ids[i:j], texts[i:j], size)
+                    made = Batch(batch.column(1)[i:j], texts[i:j], size)
                     if len(made.keys):
-                        yield emit(made, seen)
+                        yield emit(made, [c[i:j] for c in batch.columns[2:]], seen)
 
         return self.docs.mapInArrow(run, schema)
 
     def passages(self) -> DataFrame:
-        """(doc_id, no, start, stop, n_words, node, bands) of all passages, bands being their bucket keys."""
-        bands, rows = self.bands, self.rows
+        """The documents' keys, and (no, start, stop, n_words, node, bands) of all passages, bands being their bucket keys."""
+        bands, rows, names = self.bands, self.rows, self.keys
         few = self.threshold / (1 - self.threshold) - 1e-6 if self.threshold < 1 else np.inf
 
-        def emit(b, seen):
-            keys = b.bands(bands, rows)
+        def emit(b, own, seen):
+            keys, of = b.bands(bands, rows), pa.array(b.doc)
             # Sets of under ``few`` shingles reach the threshold with equal sets only, and those meet in any band.
             on = (b.counts - b.size + 1 >= few)[:, None] | (np.arange(bands) == 0)
             held = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(on.sum(1))), pa.int32()), pa.array(keys[on].view(np.int64)))
-            columns = [b.ids, *(pa.array(x, pa.int32()) for x in (b.no, b.start, b.stop, b.counts)), pa.array(b.keys.view(np.int64)), held]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "no", "start", "stop", "n_words", "node", "bands"])
+            columns = [b.ids, *(c.take(of) for c in own), *(pa.array(x, pa.int32()) for x in (b.no, b.start, b.stop, b.counts)), pa.array(b.keys.view(np.int64)), held]
+            return pa.RecordBatch.from_arrays(columns, [*names, "no", "start", "stop", "n_words", "node", "bands"])
 
-        return self._run(emit, "doc_id long, no int, start int, stop int, n_words int, node long, bands array<long>")
+        return self._run(emit, "".join(f"{c} long, " for c in names) + "no int, start int, stop int, n_words int, node long, bands array<long>")
 
     def shingles(self, bitmap) -> DataFrame:
         """(node, shingles) of passages that the sieve lets through; repeats within a task mostly once."""
         shared = self.docs.sparkSession.sparkContext.broadcast(bitmap)
 
-        def emit(b, seen):
+        def emit(b, own, seen):
             if len(seen) > 200_000:
                 seen.clear()
             keep = []
@@ -280,33 +280,52 @@ def verified(source: Source, passages: DataFrame, store: Store, tile: int = 256)
     return links.unionByName(more)
 
 
+def _told_apart(docs: DataFrame, store: Store, most: int = MOST) -> DataFrame:
+    """(doc_id, text) of rows with an id and, if ids repeat, of_text: the text's hash where the id has other rows, else 0.
+
+    Rows alike in id and text are one document, rows of one id with other texts are several.
+    """
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    again = store(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    n = again.count()
+    if not n:
+        return rows
+    again = F.broadcast(again) if n <= most else again
+    many = rows.join(again, "doc_id", "left_semi").withColumn("of_text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return rows.join(again, "doc_id", "left_anti").withColumn("of_text", F.lit(0).cast("long")).unionByName(store(many.dropDuplicates(["doc_id", "of_text"])))
+
+
 def repeated(docs: DataFrame, run_words: int = 25, size: int = 5, threshold: float = 0.8, rows: int = 2, recall: float = 0.99) -> DataFrame:
-    """Repeated stretches: (doc_id, start, stop, n_words, class_id, remove), start and stop in code points.
+    """Repeated stretches: (doc_id, start, stop, n_words, class_id, remove, of_text), start and stop in code points.
 
     A run of a document's passages that all stand in another place too (another
-    document, or a document of the same id elsewhere in its text) is told if it
+    document, or the same one elsewhere in its text) is told if it
     has ``run_words`` words at least together. Its rows are parts of it: passages
     whose classes stand side by side, in this order, in every place told are one
     part, others are parts of their own, so a part may have fewer words. Equal
     parts have the same class_id, that of their first passage; remove says that
-    the part has an earlier place, in order of (doc_id, position). Null and
-    wordless texts have no passages, null ids no place; rows that repeat an id
-    are one document. Other columns are not read. An empty table gives no rows.
+    the part has an earlier place, in order of (doc_id, of_text, position). Null and
+    wordless texts have no passages, null ids no place. Rows that repeat an id and
+    a text are one document; rows that repeat an id with other texts are documents of
+    their own, told apart by of_text, their texts' hash, which is 0 for all
+    others. Other columns are not read. An empty table gives no rows.
     """
-    source = Source(docs.where("doc_id is not null"), size, bands_for(threshold, rows, recall), rows, threshold)
     store = Store(docs.sparkSession, "substring")
+    source = Source(_told_apart(docs, store), size, bands_for(threshold, rows, recall), rows, threshold)
+    keys = source.keys
+    me = F.col("doc_id") if len(keys) == 1 else F.struct(*keys)
     passages = store(source.passages())
     classes = components(verified(source, passages, store), "u", "v", store=store).withColumnRenamed("component", "class_id")
-    nodes = passages.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    nodes = passages.groupBy("node").agg(F.min(me).alias("first"), F.count("*").alias("n"))
     nodes = nodes.join(classes, "node", "left").where("n > 1 or class_id is not null")
     nodes = store(nodes.withColumn("class_id", F.coalesce("class_id", "node")))
     spread = store(nodes.groupBy("class_id").agg(F.min("first").alias("first"), F.sum("n").alias("all"), F.count("*").alias("of")).where("all > 1"))
     shared = store(looked_up(nodes.select("node", "class_id", "n"), spread.select("class_id", "first", "of"), "class_id", "of"))
     found = store(sifted(passages.drop("bands"), "node", sieve(shared, "node")))
     # Dealt once, by document: what follows has its rows together already.
-    found = looked_up(found, shared, "node", "n").repartition("doc_id").dropDuplicates(["doc_id", "no"])
-    found = found.withColumn("run", F.col("no") - F.row_number().over(Window.partitionBy("doc_id").orderBy("no")))
-    of_run = Window.partitionBy("doc_id", "run").orderBy("no")
+    found = looked_up(found, shared, "node", "n").repartition(*keys)
+    found = found.withColumn("run", F.col("no") - F.row_number().over(Window.partitionBy(*keys).orderBy("no")))
+    of_run = Window.partitionBy(*keys, "run").orderBy("no")
     whole_run = of_run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = found.withColumns({"told": F.sum("n_words").over(whole_run) >= run_words, "before": F.lag("class_id").over(of_run), "after": F.lead("class_id").over(of_run)})
     found = found.withColumns({c: F.when(F.col("told"), F.col(c)) for c in ("before", "after")})
@@ -314,7 +333,7 @@ def repeated(docs: DataFrame, run_words: int = 25, size: int = 5, threshold: flo
     # What stands in front of a class, or after it, in all places told; null if that differs or is nothing.
     told = F.count(F.when(F.col("told"), 1))
     only = lambda c: F.when((F.count(c) == told) & (F.min(c) == F.max(c)), F.min(c))
-    first_no = F.min(F.when(F.col("doc_id") == F.col("first"), F.col("no")))
+    first_no = F.min(F.when(me == F.col("first"), F.col("no")))
     ways = found.groupBy("class_id").agg(only("before").alias("only_before"), only("after").alias("only_after"), first_no.alias("first_no"), F.count("*").alias("n"))
     told = looked_up(found.where("told").drop("before", "after", "told"), store(ways), "class_id", "n")
     ahead = lambda c: F.lag(c).over(of_run)
@@ -323,12 +342,14 @@ def repeated(docs: DataFrame, run_words: int = 25, size: int = 5, threshold: flo
         (F.col("only_before") == ahead("class_id")) & (ahead("only_after") == F.col("class_id")) & (ahead("first") == F.col("first")) & (ahead("first_no") + 1 == F.col("first_no"))
     )
     told = told.withColumn("starts", (~F.coalesce(joined, F.lit(False))).cast("int")).withColumn("part", F.sum("starts").over(of_run))
-    later = (F.col("doc_id") > F.col("first")) | (F.col("no") > F.col("first_no"))
-    parts = told.groupBy("doc_id", "run", "part").agg(
+    later = (me > F.col("first")) | (F.col("no") > F.col("first_no"))
+    parts = told.groupBy(*keys, "run", "part").agg(
         F.min("start").cast("long").alias("start"), F.max("stop").cast("long").alias("stop"), F.sum("n_words").alias("n_words"),
         F.min_by("class_id", "no").alias("class_id"), F.min(later).alias("remove"),
     )
-    parts = Store(docs.sparkSession, "repeated")(parts.drop("run", "part"))
+    of_text = F.col("of_text") if "of_text" in keys else F.lit(0).cast("long")
+    parts = parts.select("doc_id", "start", "stop", "n_words", "class_id", "remove", of_text.alias("of_text"))
+    parts = Store(docs.sparkSession, "repeated")(parts)
     store.close()
     return parts
 
@@ -337,12 +358,16 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with stretches for removal cut out of text and n_chars made to fit; all rows and columns stay.
 
     Null and empty texts, and texts without a stretch, stay as they are; rows
-    without an id are never cut. An empty table stays empty.
+    without an id are never cut. Of rows that repeat an id each is cut by its own text's stretches. An empty table stays empty.
     """
-    spans = repeated(docs, **options).where("remove").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_cut"))
+    spans = repeated(docs, **options).where("remove").groupBy("doc_id", "of_text").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_cut"))
     kept = """concat(substr(text, 1, cast(_cut[0].start as int)), array_join(transform(_cut, (x, i) ->
         substr(text, cast(x.stop + 1 as int), cast(coalesce(get(_cut, i + 1).start, length(text)) - x.stop as int))), ''))"""
-    out = docs.join(spans, "doc_id", "left").withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.expr(kept)))
+    out = docs.join(spans.where("of_text = 0").drop("of_text"), "doc_id", "left")
+    others = spans.where("of_text <> 0").select("doc_id", F.col("of_text").alias("_of"), F.col("_cut").alias("_other"))
+    if not others.isEmpty():  # rows that repeat an id: each text by its own stretches
+        out = out.withColumn("_of", F.xxhash64(F.coalesce("text", F.lit("")))).join(others, ["doc_id", "_of"], "left").withColumn("_cut", F.coalesce("_cut", "_other"))
+    out = out.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.expr(kept)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
