@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import MOST, Store, passes, sieve, tuples
+from .common import MOST, Store, looked_up, passes, sieve, tuples
 
 #: Units of measure that follow a number.
 UNITS = frozenset(
@@ -183,38 +183,103 @@ def document_windows(docs: DataFrame, widths: list[int], bitmap: np.ndarray) ->
     return keyed.mapInArrow(run, WINDOWS)
 
 
+class Pair:
+    """One document and one item: matched windows by the document's place, without a list of all of them.
+
+    ``d`` has the places in the document, ascending, ``of`` the number of each
+    one's hash, ``ways`` the places of each hash in the item.
+    """
+
+    def __init__(self, d: np.ndarray, of: np.ndarray, ways: list[np.ndarray], plain: np.ndarray, original: np.ndarray, slots: np.ndarray, width: int, total: int):
+        self.d, self.of, self.ways, self.plain = d, of, ways, plain
+        self.original, self.slots, self.width, self.total = original, slots, width, total
+        self.slack = max(width, len(original) // 4)
+        self.seen: dict[bytes, tuple] = {}
+
+    def matches(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shift, item place, number of the document's place) of matches with a shift in [low, high), by shift, then item place."""
+        first, last = np.searchsorted(self.d, [low, high + len(self.original)])
+        if first == last:
+            return (np.zeros(0, np.int64),) * 3
+        i = np.concatenate([self.ways[k] for k in self.of[first:last]])
+        at = np.repeat(np.arange(first, last), [len(self.ways[k]) for k in self.of[first:last]])
+        shift = self.d[at] - i
+        on = (shift >= low) & (shift < high)
+        shift, i, at = shift[on], i[on], at[on]
+        order = np.lexsort((i, shift))
+        return shift[order], i[order], at[order]
+
+    def stretches(self, threshold: float, most: int = 1 << 20):
+        """(matched, on, shift, item places, document places) of each shift around which enough windows match, matches with the same shifts once.
+
+        Shifts come in blocks of about ``most`` matches, each with what lies ``slack`` around it.
+        """
+        each = max(1.0, float(np.mean([len(self.ways[k]) for k in self.of[:: max(1, len(self.of) // 1000)]])))
+        step, start, end = max(64, int(most / each)), int(self.d[0]) - len(self.original), int(self.d[-1]) + 1
+        while start < end:
+            shift, i, at = self.matches(start - self.slack, start + step + self.slack)
+            mine = np.unique(shift[(shift >= start) & (shift < start + step)])
+            if not len(mine) and len(self.d):  # on to the next place
+                after = np.searchsorted(self.d, start + step)
+                start = max(start + step, int(self.d[after]) - len(self.original)) if after < len(self.d) else end
+                continue
+            lows, highs = np.searchsorted(shift, mine - self.slack), np.searchsorted(shift, mine + self.slack, "right")
+            ons = np.searchsorted(shift, mine, "right") - np.searchsorted(shift, mine)
+            counts, matched, a, b = np.zeros(len(self.original), np.int64), 0, 0, 0
+            for s, low, high, on in zip(mine.tolist(), lows.tolist(), highs.tolist(), ons.tolist()):
+                for k in range(b, high):
+                    matched += counts[i[k]] == 0
+                    counts[i[k]] += 1
+                for k in range(a, low):
+                    counts[i[k]] -= 1
+                    matched -= counts[i[k]] == 0
+                a, b = low, high
+                if matched >= threshold * self.total:
+                    yield int(matched), on, s, i[low:high], at[low:high]
+            start += step
+
+    def told(self, s: int, i: np.ndarray, at: np.ndarray) -> tuple:
+        """(same, pairs with document places from ``s``) of one stretch; stretches that look alike are paired once."""
+        d = self.d[at] - s
+        words = self.plain[at]
+        key = i.astype(np.int32).tobytes() + d.astype(np.int32).tobytes() + words.tobytes()
+        if key not in self.seen:
+            if len(self.seen) >= 4096:
+                self.seen.clear()
+            plain = {int(p) + k: int(x) for p, row in zip(d, words) for k, x in enumerate(row)}
+            pairs = _paired(i, d, 0, self.width, self.original, plain)
+            same = all(self.original[a] == plain[b] for a, b in pairs)
+            stands: dict[int, dict[int, int]] = {}
+            for a, b in pairs:
+                if self.slots[a]:
+                    sides = stands.setdefault(int(self.original[a]), {})
+                    sides[plain[b]] = sides.get(plain[b], 0) + 1
+            n = sum(sum(x.values()) for x in stands.values())
+            agree = sum(max(x.values()) for x in stands.values())
+            self.seen[key] = same, n, agree, min(b for _, b in pairs), max(b for _, b in pairs)
+        return self.seen[key]
+
+    def best(self, threshold: float) -> tuple | None:
+        """(n_matched, n_slots, n_consistent, verbatim, first_word, last_word): a copy word by word first, then the most matches, of those whose slots agree."""
+        top, found = None, None
+        for matched, on, s, i, at in self.stretches(threshold):
+            if top and top >= (True, matched, on, -s):  # no stretch like it can be better
+                continue
+            same, n, agree, first, last = self.told(s, i, at)
+            rank = (same, matched, on, -s)
+            if (same or not n or agree >= threshold * n) and (top is None or rank > top):
+                top, found = rank, (matched, n, agree, same, first + s, last + s)
+                if top[:3] == (True, self.total, self.total):
+                    break  # the first whole copy: no later one ranks before it
+        return found
+
+
 def judged(i: np.ndarray, d: np.ndarray, plain: dict[int, int], original: np.ndarray, slots: np.ndarray, width: int, total: int, threshold: float) -> tuple | None:
-    """(n_matched, n_slots, n_consistent, verbatim, first_word, last_word) of the best stretch of matched windows ``i`` in the item, ``d`` in the document."""
-    # The best stretch: matches whose shift is close to a common one.
-    shift, slack = d - i, max(width, len(original) // 4)
-    stretches: dict[tuple, tuple] = {}
-    for s in np.unique(shift):
-        near = np.abs(shift - s) <= slack
-        matched = len(np.unique(i[near]))
-        if matched >= threshold * total:
-            # Of stretches with the same matches, the shift with most of them on it.
-            on = int((shift == s).sum())
-            key = (matched, *np.flatnonzero(near)[[0, -1]])
-            if key not in stretches or on > stretches[key][0]:
-                stretches[key] = (on, matched, int(s), near)
-    # A copy word by word first, then the most matches; the first whose slots agree counts.
-    ranked = []
-    for on, matched, s, near in stretches.values():
-        pairs = _paired(i[near], d[near], s, width, original, plain)
-        same = all(original[a] == plain[b] for a, b in pairs)
-        ranked.append((same, matched, on, -s, pairs))
-    for same, matched, _, _, pairs in sorted(ranked, key=lambda x: x[:4], reverse=True):
-        stands: dict[int, dict[int, int]] = {}
-        for a, b in pairs:
-            if slots[a]:
-                sides = stands.setdefault(int(original[a]), {})
-                sides[int(plain[b])] = sides.get(int(plain[b]), 0) + 1
-        n = sum(sum(x.values()) for x in stands.values())
-        agree = sum(max(x.values()) for x in stands.values())
-        if same or not n or agree >= threshold * n:
-            at_words = [b for _, b in pairs]
-            return matched, n, agree, same, min(at_words), max(at_words)
-    return None
+    """``Pair.best`` of matched windows ``i`` in the item, ``d`` in the document, whose plain words are ``plain``."""
+    places = np.unique(d)
+    ways = [np.unique(i[d == p]) for p in places]
+    words = np.array([[plain[int(p) + k] for k in range(width)] for p in places], np.uint64)
+    return Pair(places, np.arange(len(places)), ways, words, original, slots, width, total).best(threshold)
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, threshold: float, most: int = MOST) -> DataFrame:
@@ -233,24 +298,51 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, threshold: float,
     few = seeds.count() <= most
     met = held.select("doc", "hash").distinct().join(F.broadcast(seeds) if few else seeds, "hash").select("doc", "item").distinct()
     met = store(met)
-    mine = index.join(met.select("item").distinct(), "item", "left_semi").select("item", "hash", F.col("at").alias("i"))
-    pairs = held.join(met, "doc").join(mine, ["item", "hash"])
-    pairs = pairs.groupBy("doc", "doc_id", "item").agg(F.collect_set(F.struct("i", F.col("at").alias("d"), "plain")).alias("pairs"))
-    pairs = pairs.join(items, "item")
+    # Places of an item's windows in a document: a window of an item that many documents have is no hot key.
+    wanted = store(index.select(F.xxhash64("item", "hash").alias("key")).distinct())
+    left = held.join(met, "doc").withColumn("key", F.xxhash64("item", "hash"))
+    if wanted.count() <= most:
+        left = left.join(F.broadcast(wanted), "key", "left_semi")
+    else:
+        left = store(left)
+        left = looked_up(left, store(left.groupBy("key").agg(F.count("*").alias("n")).join(wanted, "key")), "key", "n", "left_semi", most)
+    pairs = left.groupBy("doc", "doc_id", "item").agg(F.collect_set(F.struct("at", "hash", "plain")).alias("places"))
+    texts = store(items.join(met.groupBy("item").agg(F.count("*").alias("n")), "item").dropDuplicates(["item"]))
+    pairs = looked_up(pairs, texts, "item", "n", most=most)
 
     def run(batches):
-        words = Words()
+        words, known = Words(), {}
         for batch in batches:
             rows = []
-            for doc, doc_id, item_id, text, held in zip(*tuples(batch, "doc", "doc_id", "item_id", "text", "pairs")):
-                original, slots, width, at, _ = _telling(text, words, window)
-                held = sorted((p["d"], p["i"], p["plain"]) for p in held if len(p["plain"]) == width)
-                if len({i for _, i, _ in held}) < threshold * len(at):
+            docs_, ids, names_, texts_ = tuples(batch, "doc", "doc_id", "item_id", "text")
+            items_ = batch.column(batch.schema.get_field_index("item")).to_pylist()
+            lists = batch.column(batch.schema.get_field_index("places"))
+            for row, (doc, doc_id, item, item_id, text) in enumerate(zip(docs_, ids, items_, names_, texts_)):
+                if item not in known:
+                    if len(known) >= 1000:
+                        known.clear()
+                    original, slots, width, at, forms = _telling(text, words, window)
+                    hashes, of = np.unique(np.concatenate(forms), return_inverse=True)
+                    ats = np.concatenate([at, at])
+                    known[item] = original, slots, width, len(at), hashes, [np.unique(ats[of == k]) for k in range(len(hashes))]
+                original, slots, width, total, hashes, ways = known[item]
+                places = lists[row].values
+                sizes = places.field("plain").value_lengths().to_numpy()
+                hash_ = places.field("hash").to_numpy().view(np.uint64)
+                of = np.minimum(np.searchsorted(hashes, hash_), len(hashes) - 1)
+                ok = np.flatnonzero((hashes[of] == hash_) & (sizes == width))
+                if not len(ok):
+                    continue
+                d = places.field("at").to_numpy().astype(np.int64)
+                ok = ok[np.argsort(d[ok], kind="stable")]
+                if len(np.unique(np.concatenate([ways[k] for k in np.unique(of[ok])]))) < threshold * total:
                     continue
-                plain = {d + k: x & (1 << 64) - 1 for d, _, some in held for k, x in enumerate(some)}
-                best = judged(np.array([i for _, i, _ in held]), np.array([d for d, _, _ in held]), plain, original, slots, width, len(at), threshold)
+                offsets = places.field("plain").offsets.to_numpy()
+                flat = places.field("plain").values.to_numpy().view(np.uint64)
+                plain = flat[offsets[ok][:, None] + np.arange(width)]
+                best = Pair(d[ok], of[ok], ways, plain, original, slots, width, total).best(threshold)
                 if best:
-                    rows.append((doc, doc_id, item_id, best[0] / len(at), len(at), *best))
+                    rows.append((doc, doc_id, item_id, best[0] / total, total, *best))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
