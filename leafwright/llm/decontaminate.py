@@ -261,6 +261,19 @@ class Pair:
 
     def best(self, threshold: float) -> tuple | None:
         """(n_matched, n_slots, n_consistent, verbatim, first_word, last_word): a copy word by word first, then the most matches, of those whose slots agree."""
+        # If the stretch of the most matches is a copy word by word, no other ranks before it.
+        most = None
+        for x in self.stretches(threshold):
+            if most is None or x[:2] > most[:2]:
+                most = x
+                if x[:2] == (self.total, self.total):
+                    break
+        if most is None:
+            return None
+        matched, on, s, i, at = most
+        same, n, agree, first, last = self.told(s, i, at)
+        if same:
+            return matched, n, agree, same, first + s, last + s
         top, found = None, None
         for matched, on, s, i, at in self.stretches(threshold):
             if top and top >= (True, matched, on, -s):  # no stretch like it can be better
@@ -269,8 +282,6 @@ class Pair:
             rank = (same, matched, on, -s)
             if (same or not n or agree >= threshold * n) and (top is None or rank > top):
                 top, found = rank, (matched, n, agree, same, first + s, last + s)
-                if top[:3] == (True, self.total, self.total):
-                    break  # the first whole copy: no later one ranks before it
         return found
 
 
