@@ -15,7 +15,7 @@ from leafwright.options import ExtractOptions
 from leafwright.sources import document_files, pdf
 from leafwright.sources.cache_table import CacheTable
 from leafwright.sources.driver_tables import SQL_BLOCKS, SQL_OCR, SQL_PAGES, layout_blocks, ocr_lines, pages, table
-from leafwright.streaming import ingest, jobs
+from leafwright.streaming import ingest, jobs, totals
 
 from . import extract
 from .geometry_queries import RENDERED
@@ -114,6 +114,21 @@ def document_files_read(spark, d):
     return document_files.read(spark, path).where("ext = 'txt'").select("stem", "ext", "text")
 
 
+@query(
+    f"""with {SQL_PAGES}, i as (select length(text) as n, (doc_id * 7 + page_no) % 40 / 8.0::double as s, (doc_id + page_no) % 50 = 0 as e from page)
+    select case when sum((n < 30)::int + e::int) > 0 then 'warn' else 'ok' end as status, round(sum(round_even(s, 1)), 1) as total_time, count(*) as pages, count(*) filter (e) as errors,
+        sum((n < 30)::int + e::int)::bigint as issues, sum(n)::bigint as chars from i"""
+)
+def run_totals(spark, d):
+    """Totals of a run over all pages, gathered while its rows are written."""
+    id_, page = F.col("doc_id"), F.col("page_no")
+    error = F.when((id_ + page) % 50 == 0, "timeout")
+    rows = pages(table(spark, d, "documents")).select("doc_id", "page_no", F.length("text").alias("chars"), ((id_ * 7 + page) % 40 / F.lit(8.0)).alias("time"), error.alias("error"), "text")
+    rows, seen = totals.observed(rows)
+    rows.write.parquet(f"{_scratch(spark)}/rows")
+    return totals.told(spark, seen)
+
+
 def _job_events(events):
     """Events as those of a service's jobs, a job for each user and day."""
     state = F.create_map(*[F.lit(x) for x in ("signup", "submit", "purchase", "done", "error", "failed")])
