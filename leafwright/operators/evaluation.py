@@ -6,7 +6,9 @@ import difflib
 import json
 from itertools import zip_longest
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -151,36 +153,112 @@ def pivots(vectors: DataFrame, count: int = 4, sample: int = 256) -> list[list[f
     return chosen
 
 
-def near_pairs(vectors: DataFrame, limit: float, count: int = 4, most: int = 2048) -> DataFrame:
-    """(a, x, b, y): pairs of one label, a < b, that no pivot tells apart; all with a mean absolute difference below ``limit`` are among them.
+ALONE = -1 << 40  # the second cell of vectors whose first cell is not split
+CELL = ["label", "n", "c", "c2"]
+PAIR = [*CELL, "t", "e", "e2", "u"]
+STEP = 1 << 15  # pairs compared at a time, so that what is summed stays in a core's cache
+
+
+def _cells(v: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(label, n, c, at, c2, parts): where each first and second cell goes, and in how many tiles; and the tiles' pairs, each once."""
+    held = v.groupBy("label", "n", "c", "at").agg(F.count("*").alias("held"))
+    whole, of = Window.partitionBy("label", "n", "c"), Window.partitionBy(*CELL)
+    held = held.withColumn("c2", F.when(F.sum("held").over(whole) > most, F.col("at")).otherwise(ALONE))
+    held = held.withColumn("parts", F.ceil(F.sum("held").over(of) / most)).drop("held")
+    a = held.select(*CELL, "parts").distinct()
+    b = a.select("label", "n", F.col("c").alias("e"), F.col("c2").alias("e2"), F.col("parts").alias("q"))
+    next_ = a.select("*", F.explode(F.array(F.col("c"), F.col("c") + 1)).alias("e"))
+    alone = F.col("c2") == ALONE
+    # Cells that are not split meet all of the next ones; split ones meet those that are not, and near ones of those that are.
+    any_ = next_.where(alone).join(b, ["label", "n", "e"])
+    seconds = F.when(F.col("e") == F.col("c"), F.array(F.col("c2"), F.col("c2") + 1)).otherwise(F.array(F.lit(ALONE).cast("long"), F.col("c2") - 1, F.col("c2"), F.col("c2") + 1))
+    some = next_.where(~alone).withColumn("e2", F.explode(seconds)).join(b, ["label", "n", "e", "e2"])
+    pairs = any_.unionByName(some).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    same = (F.col("c") == F.col("e")) & (F.col("c2") == F.col("e2"))
+    pairs = pairs.withColumn("u", F.explode(F.sequence(F.when(same, F.col("t")).otherwise(0), F.col("q") - 1)))
+    return held, pairs.select(*PAIR)
+
+
+def _matrix(lists: pa.ChunkedArray, width: int) -> np.ndarray:
+    return lists.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width).T.copy()
+
+
+def _compared_tiles(limit: float, sift_only: bool):
+    """Of two tiles, or of one with itself: pairs that no pivot tells apart, and unless ``sift_only`` those that are near."""
+    slack = limit * (1 + 1e-9) + 1e-12
+
+    def summed(shape, pairs):
+        """Sums from the first component to the last, as a plain sum has them."""
+        total, part = np.zeros(shape), np.empty(shape)
+        for p, q in pairs:
+            part = np.subtract(p, q, out=part)
+            total += np.abs(part, out=part)
+        return total
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        alone = not right.num_rows
+        right = left if alone else right
+        ids, others = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
+        n = left.column("n")[0].as_py()
+        x, y = _matrix(left.column("embedding"), n), _matrix(right.column("embedding"), n)
+        k = len(left.column("d")[0])
+        dx, dy = _matrix(left.column("d"), k), _matrix(right.column("d"), k)
+        found, step = [], max(1, STEP // len(others))
+        for s in range(0, len(ids), step):
+            first, second = ids[s : s + step, None], others[None, :]
+            met = first < second if alone else first != second
+            for p, q in zip(dx, dy):
+                met &= np.abs(p[s : s + step, None] - q[None, :]) < slack
+            i, j = np.nonzero(met)
+            if sift_only:
+                distance = np.zeros(len(i))
+            elif len(i) * 4 > met.size:
+                distance = (summed(met.shape, zip(x[:, s : s + step, None], y[:, None, :])) / n)[i, j]
+            else:
+                distance = summed(i.shape, ((p[s + i], q[j]) for p, q in zip(x, y))) / n
+            near = slice(None) if sift_only else distance < limit
+            i, j = ids[s + i[near]], others[j[near]]
+            found.append((np.minimum(i, j), np.maximum(i, j), distance[near]))
+        return pa.table([pa.array(np.concatenate(z)) for z in zip(*found)], names=["a", "b", "distance"])
+
+    return run
+
+
+def _met(vectors: DataFrame, limit: float, count: int, most: int, sift_only: bool) -> DataFrame:
+    """(a, b, distance), by tiles.
 
     The distances of two vectors to a pivot differ by no more than the vectors
     do. Vectors go to cells as wide as the limit by the distance to the first
     pivot and meet those of their own and the next cells. A cell of more than ``most`` vectors
-    is split by the second pivot in the same way. The other pivots sift the pairs that met.
+    is split by the second pivot in the same way, and what still has more is cut by hash: no tile, and so no
+    task's piece of work, grows with the data. The other pivots sift the pairs that met.
     """
     n = F.size("embedding")
-    v = vectors.where(F.col("label").isNotNull() & (n > 0)).where(finite(F.col("embedding")))
+    v = vectors.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (n > 0)).where(finite(F.col("embedding")))
     known = pivots(v, count)
     away = lambda p: F.zip_with("embedding", F.lit([float(x) for x in p]), lambda x, y: F.abs(F.coalesce(x.cast("double"), F.lit(0.0)) - F.coalesce(y, F.lit(0.0))))
     d = F.array(*(F.aggregate(away(p), F.lit(0.0), lambda t, z: t + z) / n for p in known)).cast("array<double>")
     v = v.select("vec_id", "label", "embedding", n.alias("n"), d.alias("d"))
-    cell = lambda k: F.floor(F.get("d", F.lit(k)) / limit)
-    v = v.select("*", F.coalesce(cell(0), F.lit(0)).alias("c"), F.coalesce(cell(1), F.lit(0)).alias("c2"))
-    hot = v.groupBy("label", "n", "c").agg(F.count("*").alias("held")).where(F.col("held") > most).select("label", "n", "c", F.lit(True).alias("hot"))
-    near = lambda c: F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)
-    a = v.select("label", "n", F.col("vec_id").alias("a"), F.col("embedding").alias("x"), F.col("d").alias("dx"), "c2", F.explode(near("c")).alias("c")).join(hot, ["label", "n", "c"], "left")
-    a = a.select("label", "n", "c", "a", "x", "dx", F.explode(F.when(F.col("hot"), near("c2")).otherwise(F.array(F.lit(None).cast("long")))).alias("c2"))
-    b = v.join(hot, ["label", "n", "c"], "left").select("label", "n", "c", F.when(F.col("hot"), F.col("c2")).alias("c2"), F.col("vec_id").alias("b"), F.col("embedding").alias("y"), F.col("d").alias("dy"))
-    a, b = (t.withColumn("c2", F.coalesce("c2", F.lit(-1 << 40))) for t in (a, b))
-    close = F.forall(F.zip_with("dx", "dy", lambda p, q: F.abs(p - q) < limit * (1 + 1e-9) + 1e-12), lambda ok: ok)
-    return a.join(b, ["label", "n", "c", "c2"]).where(F.col("a") < F.col("b")).where(close).select("a", "x", "b", "y")
+    cell = lambda k: F.coalesce(F.floor(F.get("d", F.lit(k)) / limit), F.lit(0))
+    v = v.select("*", cell(0).alias("c"), cell(1).alias("at"))
+    held, pairs = _cells(v, most)
+    v = v.join(held, ["label", "n", "c", "at"]).withColumn("t", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("parts")))
+    left = v.join(pairs, [*CELL, "t"]).select(*PAIR, "vec_id", "embedding", "d")
+    other = v.select("label", "n", F.col("c").alias("e"), F.col("c2").alias("e2"), F.col("t").alias("u"), "vec_id", "embedding", "d")
+    apart = pairs.where((F.col("c") != F.col("e")) | (F.col("c2") != F.col("e2")) | (F.col("t") != F.col("u")))
+    right = other.join(apart, ["label", "n", "e", "e2", "u"]).select(*(F.col(x).alias(x) for x in (*PAIR, "vec_id", "embedding", "d")))  # columns of its own
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    return left.groupBy(*PAIR).cogroup(right.groupBy(*PAIR)).applyInArrow(_compared_tiles(limit, sift_only), f"a {kind}, b {kind}, distance double")
+
+
+def near_pairs(vectors: DataFrame, limit: float, count: int = 4, most: int = 2048) -> DataFrame:
+    """(a, b): pairs of one label, a < b, that no pivot tells apart; all with a mean absolute difference below ``limit`` are among them."""
+    return _met(vectors, limit, count, most, True).select("a", "b")
 
 
 def near_vectors(vectors: DataFrame, limit: float, count: int = 4, most: int = 2048) -> DataFrame:
     """(a, b, distance): pairs a < b of one label with a mean absolute difference below ``limit``; null and non-finite vectors have none."""
-    d = F.aggregate(F.zip_with("x", "y", lambda p, q: F.abs(p.cast("double") - q.cast("double"))), F.lit(0.0), lambda t, z: t + z) / F.size("x")
-    return near_pairs(vectors, limit, count, most).select("a", "b", d.alias("distance")).where(F.col("distance") < limit)
+    return _met(vectors, limit, count, most, False)
 
 
 COMPARED = StructType([StructField(n, DoubleType() if n == "ratio" else LongType()) for n in ("chars_a", "chars_b", "ratio", "changed_lines")])

@@ -131,3 +131,17 @@ def test_grams_shuffle_few_rows(spark):
     met = phrases_by_gram.candidates(given, spark.createDataFrame([(p,) for p in phrases], "p string"))
     hits = sum(p in t for _, t in texts for p in phrases)
     assert hits <= met.count() < 2 * hits
+
+
+def test_many_vectors_of_one_label_are_compared_in_small_tiles(spark):
+    """Vectors spread evenly, which no pivot tells apart: tiles of bounded size, all near pairs, in the time that arrays take."""
+    r = random.Random(6)
+    given = [(k, [r.gauss(0, 0.125) for _ in range(64)], 1) for k in range(1500)]
+    vectors = spark.createDataFrame(given, VECTORS)
+    start = time.monotonic()
+    got = evaluation.near_vectors(vectors, 0.125, most=200).collect()
+    assert time.monotonic() - start < 15
+    plain = [(r.vec_id, r.embedding) for r in vectors.collect()]
+    some = {i: x for i, x in plain if i < 20}
+    want = {(i, j) for i, x in some.items() for j, y in plain if i < j and sum(abs(p - q) for p, q in zip(x, y)) / 64 < 0.125}
+    assert want and {(r.a, r.b) for r in got if r.a < 20} == want and len({(r.a, r.b) for r in got}) == len(got)
