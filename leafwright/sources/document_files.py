@@ -2,19 +2,21 @@
 
 A name says what a file holds: ``{stem}_p{page}.{ext}`` is a page, ``{stem}.{ext}``
 a document. Filters on stem, page and ext are told from the listing, before a
-file is opened. Written files come as ``{stem}_output/{stem}[_suffix].{ext}``:
-tasks write to a staging folder, the commit moves what they wrote, and a job
-that fails leaves nothing behind. Any file system that pyarrow opens will do.
+file is opened; of many folders each is listed by the task that reads it. Written files come as ``{stem}_output/{stem}[_suffix].{ext}``:
+tasks write to a staging folder, tasks of a second job move what they wrote, and a job
+that fails before that leaves nothing behind. Any file system that pyarrow opens will do.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,7 @@ NAME = re.compile(r"(?P<stem>.+?)(?:_p(?P<page>[0-9]{1,9}))?\.(?P<ext>[^./]+)")
 #: Bytes and files of one partition.
 PART_BYTES, PART_FILES = 16 << 20, 512
 MOVES = 32  # files that a commit moves at a time
+FOLDERS = 64  # from so many folders on, tasks list them
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -63,7 +66,10 @@ def passes(held: dict, f: Filter) -> bool:
 
 @dataclass
 class Part(InputPartition):
+    """Files as they were listed, and folders whose files are yet to be."""
+
     files: list[tuple[dict, str, int]]
+    folders: list[str]
 
 
 class Reader(DataSourceReader):
@@ -77,83 +83,143 @@ class Reader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Part]:
-        """The files that pass the filters, dealt by size."""
-        store, root = opened(self.options["path"])
+    def _listed(self, store: fs.FileSystem, folder: str, infos: list[fs.FileInfo]) -> list[tuple[dict, str, int]]:
+        """The files below ``folder`` that pass the filters, in the order of their paths."""
         found = []
-        for x in store.get_file_info(fs.FileSelector(root, recursive=True)):
-            hidden = any(p[:1] in "._" for p in x.path[len(root) :].split("/") if p)
+        for x in infos:
+            hidden = any(p[:1] in "._" for p in x.path[len(folder) :].split("/") if p)
             held = None if hidden or not x.is_file else named(x.base_name)
             if held and all(passes(held, f) for f in self.filters):
                 found.append((held, x.path, x.size))
-        parts, size = [Part([])], 0
-        for file in sorted(found, key=lambda x: x[1]):
+        return sorted(found, key=lambda x: x[1])
+
+    def partitions(self) -> list[Part]:
+        """The files that pass the filters, dealt by size; many folders are dealt as they are."""
+        store, root = opened(self.options["path"])
+        infos = store.get_file_info(fs.FileSelector(root))
+        folders = sorted(x.path for x in infos if not x.is_file and x.base_name[:1] not in "._")
+        if len(folders) < FOLDERS:
+            infos, folders = store.get_file_info(fs.FileSelector(root, recursive=True)), []
+        each = max(1, min(PART_FILES, len(folders) // FOLDERS))
+        parts, size = [Part([], folders[i : i + each]) for i in range(0, len(folders), each)] + [Part([], [])], 0
+        for file in self._listed(store, root, infos):
             if size + file[2] > PART_BYTES or len(parts[-1].files) >= PART_FILES:
-                parts, size = [*parts, Part([])] if parts[-1].files else parts, 0
+                parts, size = [*parts, Part([], [])] if parts[-1].files else parts, 0
             parts[-1].files.append(file)
             size += file[2]
         return parts
 
-    def read(self, partition: Part) -> Iterator[tuple]:
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         store, _ = opened(self.options["path"])
-        for held, path, size in partition.files:
+        names = ["stem", "page", "ext", "path", "size", "text"]
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string()]
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        rows, held_bytes = [], 0
+        below = (x for f in partition.folders for x in self._listed(store, f, store.get_file_info(fs.FileSelector(f, recursive=True))))
+        for held, path, size in (x for files in (partition.files, below) for x in files):
             with store.open_input_stream(path) as stream:
                 text = stream.readall().decode("utf-8", "replace")
-            yield held["stem"], held["page"], held["ext"], path, size, text
+            rows.append((held["stem"], held["page"], held["ext"], path, size, text))
+            held_bytes += len(text)
+            if len(rows) >= PART_FILES or held_bytes >= PART_BYTES:
+                yield batch(rows)
+                rows, held_bytes = [], 0
+        if rows:
+            yield batch(rows)
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[str]
+    """A task's folder; the names of its files, by number, lie in it."""
+
+    folder: str
+
+
+NAMES, TASKS = "names.json", "tasks.json"
+
+
+def put(store: fs.FileSystem, path: str, held: list) -> None:
+    with store.open_output_stream(path) as out:
+        out.write(json.dumps(held).encode())
+
+
+def got(store: fs.FileSystem, path: str) -> list:
+    with store.open_input_stream(path) as stream:
+        return json.loads(stream.readall())
+
+
+def staged(store: fs.FileSystem, root: str, folder: str) -> tuple[list[str], list[str]]:
+    """Where a task's files are and where they go."""
+    names = got(store, f"{root}/{folder}/{NAMES}")
+    return [f"{root}/{folder}/{k}" for k in range(len(names))], [f"{root}/{x}" for x in names]
+
+
+def moved(store: fs.FileSystem, source: str, target: str) -> None:
+    store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+    try:
+        store.move(source, target)
+    except FileNotFoundError:  # an earlier try of this task moved it
+        if store.get_file_info(target).type != fs.FileType.File:
+            raise
+
+
+def emptied(store: fs.FileSystem, root: str) -> None:
+    """Delete what earlier writes left at ``root``."""
+    for x in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if x.base_name.endswith("_output") and not x.is_file:
+            store.delete_dir(x.path)
+
+
+SAME, THERE = "two rows have one file's name: tell their stems apart with apart()", "a file of that name is there already"
 
 
 class Writer(DataSourceWriter):
-    """One file for each row; the staging folder's name is told to the tasks with the writer."""
+    """One file for each row; the staging folder's name is told to the tasks with the writer.
+
+    With the option ``staging``, that folder's name, the commit leaves the files there and says which tasks' are whole.
+    """
 
     def __init__(self, options: dict, overwrite: bool):
-        self.options, self.overwrite, self.staging = dict(options), overwrite, f"_staging-{uuid.uuid4().hex}"
+        self.options, self.overwrite = dict(options), overwrite
+        self.staging = self.options.get("staging") or f"_staging-{uuid.uuid4().hex}"
         store, root = opened(self.options["path"])
         store.create_dir(f"{root}/{self.staging}", recursive=True)
 
     def write(self, iterator: Iterator) -> Written:
         store, root = opened(self.options["path"])
-        mine, files = f"{root}/{self.staging}/{uuid.uuid4().hex}", []
+        folder, names = f"{self.staging}/{uuid.uuid4().hex}", []
+        mine = f"{root}/{folder}"
         store.create_dir(mine, recursive=False)  # fails once the job has been given up
         try:
             for row in iterator:
                 if not row.stem or "/" in row.stem or row.stem in (".", "..") or "/" in (row.suffix or "") or "/" in row.ext:
                     raise ValueError(f"no name for a file: {row.stem!r}, {row.suffix!r}, {row.ext!r}")
-                name = f"{row.stem}_output/{row.stem}{'_' + row.suffix if row.suffix else ''}.{row.ext}"
-                store.create_dir(f"{mine}/{row.stem}_output", recursive=False)
-                with store.open_output_stream(f"{mine}/{name}") as out:
+                with store.open_output_stream(f"{mine}/{len(names)}") as out:
                     out.write((row.text or "").encode())
-                files.append(f"{mine.rsplit('/', 1)[1]}/{name}")
+                names.append(f"{row.stem}_output/{row.stem}{'_' + row.suffix if row.suffix else ''}.{row.ext}")
+            put(store, f"{mine}/{NAMES}", names)
         except BaseException:
             if store.get_file_info(mine).type != fs.FileType.NotFound:
                 store.delete_dir(mine)
             raise
-        return Written(files)
+        return Written(folder)
 
     def commit(self, messages: list[Written | None]) -> None:
         store, root = opened(self.options["path"])
-        files = [x for m in messages if m for x in m.files]
-        targets = [f"{root}/{x.split('/', 1)[1]}" for x in files]
+        folders = [m.folder for m in messages if m]
+        if "staging" in self.options:
+            return put(store, f"{root}/{self.staging}/{TASKS}", folders)
         try:
+            pairs = [x for f in folders for x in zip(*staged(store, root, f))]
+            targets = [x[1] for x in pairs]
             if len(set(targets)) < len(targets):
-                raise ValueError("two rows have one file's name: tell their stems apart with apart()")
+                raise ValueError(SAME)
             if self.overwrite:
-                for x in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
-                    if x.base_name.endswith("_output") and not x.is_file:
-                        store.delete_dir(x.path)
+                emptied(store, root)
             elif any(x.type != fs.FileType.NotFound for x in store.get_file_info(targets)):
-                raise FileExistsError("a file of that name is there already")
-
-            def moved(pair):
-                store.create_dir(pair[1].rsplit("/", 1)[0], recursive=True)
-                store.move(f"{root}/{self.staging}/{pair[0]}", pair[1])
-
+                raise FileExistsError(THERE)
             with ThreadPoolExecutor(MOVES) as pool:
-                list(pool.map(moved, zip(files, targets)))
+                list(pool.map(lambda x: moved(store, *x), pairs))
         finally:
             self.abort(messages)
 
@@ -204,8 +270,48 @@ def apart(docs: DataFrame, stem: str, key: str) -> DataFrame:
 
 
 def write(rows: DataFrame, path: str, ext: str | Column, mode: str = "append") -> None:
-    """Write (stem, text) and, if it is there, suffix: a file each. A name that is there already is an error unless ``mode`` is overwrite."""
+    """Write (stem, text) and, if it is there, suffix: a file each. A name that is there already is an error unless ``mode`` is overwrite.
+
+    Names are compared and files are moved by tasks; the driver sees a name for each task.
+    """
     ext = F.lit(ext) if isinstance(ext, str) else ext
     suffix = F.col("suffix") if "suffix" in rows.columns else F.lit(None).cast("string")
-    registered(rows.sparkSession)
-    rows.select("stem", suffix.alias("suffix"), ext.alias("ext"), "text").write.format(FORMAT).mode(mode).option("path", path).save()
+    spark, staging = registered(rows.sparkSession), f"_staging-{uuid.uuid4().hex}"
+    store, root = opened(path)
+    try:
+        rows.select("stem", suffix.alias("suffix"), ext.alias("ext"), "text").write.format(FORMAT).mode("append").option("path", path).option("staging", staging).save()
+        folders = got(store, f"{root}/{staging}/{TASKS}")
+        if not folders:
+            if mode == "overwrite":
+                emptied(store, root)
+            return
+        tasks = spark.createDataFrame([(x,) for x in folders], "folder string").repartition(len(folders), "folder")
+
+        def told(batches):
+            store, root = opened(path)
+            for batch in batches:
+                for f in batch.column("folder").to_pylist():
+                    targets = staged(store, root, f)[1]
+                    there = [x.type != fs.FileType.NotFound for x in store.get_file_info(targets)]
+                    yield pa.RecordBatch.from_arrays([pa.array(targets, pa.string()), pa.array(there, pa.bool_())], ["target", "there"])
+
+        def moving(batches):
+            store, root = opened(path)
+            for batch in batches:
+                for f in batch.column("folder").to_pylist():
+                    for pair in zip(*staged(store, root, f)):
+                        moved(store, *pair)
+                yield batch
+
+        names = tasks.mapInArrow(told, "target string, there boolean")
+        most, there = names.groupBy("target").agg(F.count("*").alias("n"), F.max("there").alias("there")).agg(F.max("n"), F.max("there")).first()
+        if (most or 0) > 1:
+            raise ValueError(SAME)
+        if mode == "overwrite":
+            emptied(store, root)
+        elif there:
+            raise FileExistsError(THERE)
+        tasks.mapInArrow(moving, "folder string").write.format("noop").mode("overwrite").save()
+    finally:
+        if store.get_file_info(f"{root}/{staging}").type != fs.FileType.NotFound:
+            store.delete_dir(f"{root}/{staging}")

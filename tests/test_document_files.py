@@ -101,3 +101,15 @@ def test_failed_writes_leave_nothing(spark, tmp_path):
     assert left(path) == ["other_output/other.txt"]
     document_files.write(rows(spark, []), path, "txt")
     assert left(path) == ["other_output/other.txt"]
+
+
+def test_the_driver_moves_and_lists_no_files(spark, tmp_path, monkeypatch):
+    """Files are moved by tasks, and of many folders the driver lists none."""
+    path, n = str(tmp_path / "out"), 300
+    monkeypatch.setattr(document_files.ThreadPoolExecutor, "map", lambda *_: 1 / 0)
+    document_files.write(spark.range(n).select(F.concat(F.lit("s"), "id").alias("stem"), F.col("id").cast("string").alias("text")), path, "txt")
+    document_files.write(spark.range(n).select(F.concat(F.lit("s"), "id").alias("stem"), F.lit("m").alias("text")), path, "md")
+    parts = document_files.Reader({"path": path}).partitions()
+    assert len(os.listdir(path)) == n and sum(len(p.folders) for p in parts) == n and not any(p.files for p in parts)
+    got = document_files.read(spark, path).where("ext = 'txt'")
+    assert {(r.stem, r.text) for r in got.collect()} == {(f"s{k}", str(k)) for k in range(n)} and document_files.read(spark, path).count() == 2 * n
