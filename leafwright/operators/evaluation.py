@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from leafwright.functions.similar import ratio
 from leafwright.functions.text import let, squeezed, strip
 from leafwright.operators import phrases_by_gram
 
@@ -271,7 +272,7 @@ def compared(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     def one(x, y):
         lines = difflib.unified_diff(x.splitlines(), y.splitlines(), n=0, lineterm="")
         changed = sum(line[:1] in ("+", "-") for line in lines if line[:3] not in ("+++", "---"))
-        return len(x), len(y), difflib.SequenceMatcher(None, x, y).ratio(), changed
+        return len(x), len(y), ratio(x, y), changed
 
     return pd.DataFrame([one(x, y) for x, y in zip(a.fillna(""), b.fillna(""))], columns=["chars_a", "chars_b", "ratio", "changed_lines"])
 
