@@ -76,11 +76,17 @@ def candidates(lines: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def assigned_by_grid(lines: DataFrame, blocks: DataFrame, least: float = OVERLAP) -> DataFrame:
-    """What ``layout.assigned`` gives, by a grid; repeated lines are looked up once."""
-    each = lines.groupBy(*lines.columns).agg(F.count("*").alias("_times"))
-    best = candidates(lines.dropDuplicates(), blocks).groupBy(*lines.columns).agg(F.max(F.struct("r", (-F.col("block_idx")).alias("i"))).alias("_best"))
-    same = reduce(lambda a, b: a & b, (F.col(f"l.{c}").eqNullSafe(F.col(f"b.{c}")) for c in lines.columns))
-    out = each.alias("l").join(best.alias("b"), same, "left").select("l.*", "_best").withColumn("_n", F.explode(F.expr("sequence(1L, _times)")))
+    """What ``layout.assigned`` gives, by a grid.
+
+    Only pages and boxes go through the grid, each box of a page once; what else a
+    line has meets its box's result in the end.
+    """
+    key = [*PAGE, "bbox"]
+    best = candidates(lines.select(*key).distinct(), blocks).groupBy(*key).agg(F.max(F.struct("r", (-F.col("block_idx")).alias("i"))).alias("_best"))
+    found = best.select(*(F.col(c).alias(f"_{c}") for c in key), "_best")
+    # Lines without a box have no result and are not equal to any; so plain equality will do.
+    same = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_{c}") for c in key))
+    out = lines.join(found, same, "left")
     r = F.coalesce("_best.r", F.lit(0.0))
     return out.select(*lines.columns, F.when(r >= least, -F.col("_best.i")).alias("block_idx"), r.alias("overlap"))
 

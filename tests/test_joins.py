@@ -145,3 +145,11 @@ def test_many_vectors_of_one_label_are_compared_in_small_tiles(spark):
     some = {i: x for i, x in plain if i < 20}
     want = {(i, j) for i, x in some.items() for j, y in plain if i < j and sum(abs(p - q) for p, q in zip(x, y)) / 64 < 0.125}
     assert want and {(r.a, r.b) for r in got if r.a < 20} == want and len({(r.a, r.b) for r in got}) == len(got)
+
+
+def test_texts_do_not_go_through_the_grid(spark):
+    """Only pages and boxes are shuffled for the grid: a line's text is in none of its exchanges, and if nobody asks for it in none at all."""
+    lines, blocks = boxes(spark)
+    out = boxjoin.assigned_by_grid(lines, blocks).select("doc_id", "page_no", "line_id", "block_idx", "overlap")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in "".join(x for x in plan.split("\n") if "Aggregate" in x or "Join" in x or "Project" in x)
