@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS = "cache_key string, text string"
+JOINED = 4  # versions that are read by joins with the newer ones' keys; more are grouped, texts and all
 
 
 class Conflict(Exception):
@@ -99,9 +100,14 @@ class CacheTable:
                     several.setdefault(version, []).append(name)
         read = lambda names: self.spark.read.schema(ROWS).parquet(*(f"{self.path}/{n}" for n in names))
         parts = [read(single)] if single else []
-        if several:
+        if len(several) > JOINED:
             rows = reduce(DataFrame.unionByName, (read(names).withColumn("version", F.lit(v)) for v, names in several.items()))
             parts.append(rows.groupBy("cache_key").agg(F.max_by("text", "version").alias("text")))
+            several = {}
+        # Rows of the newest version are as they are; of an older one those count whose key no newer one has. Only the newer keys are held in memory.
+        keys = lambda v: reduce(DataFrame.unionByName, (read(names).select("cache_key") for w, names in several.items() if w > v))
+        for v in several:
+            parts.append(read(several[v]) if v == max(several) else read(several[v]).join(keys(v).hint("shuffle_hash"), "cache_key", "left_anti"))
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], ROWS)
 
     def snapshot(self, version: int | None = None) -> DataFrame:
@@ -114,10 +120,17 @@ class CacheTable:
         held = self._read(self.manifest(version), wanted).withColumnRenamed("text", "cached_text")
         return keys.join(held, "cache_key", "left")
 
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows with ``bucket`` and ``part``, those of a key together, in one shuffle: a bucket in as many parts as give all shuffle partitions work."""
+        parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        key = F.xxhash64("cache_key")
+        part = F.pmod(F.floor(key / self.buckets), F.lit(parts)).cast("int")
+        return rows.withColumns({"bucket": self._bucket(F.col("cache_key")), "part": part}).repartition("bucket", "part")
+
     def _written(self, rows: DataFrame) -> dict[str, list[str]]:
-        """Write (cache_key, text) as new files: bucket -> names."""
+        """Write (cache_key, text, bucket) as new files: bucket -> names."""
         folder = f"data/{uuid.uuid4().hex}"
-        rows.select("cache_key", "text", self._bucket(F.col("cache_key")).alias("bucket")).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        rows.write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
         found = {}
         for part in self.files.names(f"{self.path}/{folder}"):
             if part.startswith("bucket="):
@@ -132,7 +145,9 @@ class CacheTable:
         if tag and self.manifest()["done"].get(tag[0], -1) >= tag[1]:
             return self.versions()[-1]
         new = results.where(F.length(F.coalesce("text", F.lit(""))) > 0).where("cache_key is not null")
-        new = new.groupBy("cache_key").agg(F.max(F.struct((F.lit(0) if order is None else order).alias("o"), F.col("text").alias("t"))).alias("x")).select("cache_key", F.col("x.t").alias("text"))
+        new = self._dealt(new.select("cache_key", (F.lit(0) if order is None else order).alias("o"), F.col("text").alias("t")))
+        # The grouping is by the same columns first, and so needs no shuffle of its own.
+        new = new.groupBy("bucket", "part", "cache_key").agg(F.max(F.struct("o", "t")).alias("x")).select("cache_key", F.col("x.t").alias("text"), "bucket")
         written = self._written(new)
         for _ in range(tries):
             old = self.manifest()
@@ -154,7 +169,7 @@ class CacheTable:
         many = {b: x for b, x in old["files"].items() if len({v for _, v in x}) > most}
         if not many:
             return old["version"]
-        written = self._written(self._read(old, [int(b) for b in many]))
+        written = self._written(self._dealt(self._read(old, [int(b) for b in many])).drop("part"))
         while True:
             now = self.manifest()
             files = dict(now["files"])

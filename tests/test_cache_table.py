@@ -109,3 +109,19 @@ def test_extract_cached(spark, tmp_path):
     assert run(no_cache=True)["a"] == ("a3", None, None) and run()["a"] == ("a1", None, "hit")
     assert run(refresh=True)["a"] == ("a5", None, None) and run()["a"] == ("a5", None, "hit")
     assert calls == [["a", "b", "c", "d"], ["c", "d"], ["a", "b", "c", "d"], ["c", "d"], ["a", "b", "c", "d"], ["c", "d"]]
+
+
+def test_texts_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """An upsert deals its rows out once; a snapshot of several versions groups no rows; each version is right."""
+    table, plans = CacheTable(spark, str(tmp_path / "cache"), buckets=2), []
+    plain = CacheTable._written
+    monkeypatch.setattr(CacheTable, "_written", lambda self, rows: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or plain(self, rows))
+    want = {}
+    for v in range(1, 7):
+        new = {f"k{i}": f"{v}" for i in range(0, 60, v)}
+        table.upsert(frame(spark, list(new.items())))
+        want |= new
+        assert held(table.snapshot()) == want and table.snapshot().count() == len(want)
+        assert v > 4 or "Aggregate" not in table.snapshot()._jdf.queryExecution().executedPlan().toString()
+    assert all(x.count("Exchange") == 1 for x in plans)
+    assert table.compact() == 7 and held(table.snapshot()) == want and table.snapshot().count() == len(want)
