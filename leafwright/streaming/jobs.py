@@ -20,6 +20,7 @@ ENDS = ("done", "failed")
 NO_RESULT, TIMEOUT = "done without a result", "timeout"
 STATES = "job string, revision long, state string, cause string, started timestamp, ended timestamp"
 KEPT = "started long, end long, seq long, state string, cause string, revision long, closed boolean"
+FIELDS = [x.split()[0] for x in KEPT.split(", ")]
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -52,41 +53,55 @@ class Machine(StatefulProcessor):
             now = ("open", None, None)
         return (*now, held["started"])
 
+    def _due(self, held: dict) -> int:
+        """When the job's one timer fires: at the end of its time, or once it has ended by an event or that timer, when it is forgotten."""
+        until = held["started"] + self.wait
+        over = held["closed"] or (held["end"] is not None and held["end"] < until)
+        return -(-until // 1000) + (self.keep // 1000 if over else 0)
+
+    def _get(self) -> dict | None:
+        held = self.held.get()
+        return None if held is None else dict(zip(FIELDS, held))
+
     def _told(self, key, before, held: dict) -> Iterator[Row]:
         now = self._row(key, held)
         if before != now:
             held["revision"] += 1
             yield Row(job=key[0], revision=held["revision"], state=now[0], cause=now[1], started=now[3], ended=now[2])
-        self.held.update(tuple(held[x.split()[0]] for x in KEPT.split(", ")))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held, before = None, None
-        if self.held.exists():
-            held = dict(zip((x.split()[0] for x in KEPT.split(", ")), self.held.get()))
-            before = self._row(key, held)
-            if held["closed"] and timerValues.getCurrentWatermarkInMs() >= -(-(held["started"] + self.wait) // 1000) + self.keep // 1000:
-                held, before = None, None  # its time to be forgotten has come with this batch: the name is a new job's
+        # Each call of the state or a timer is a message to another process and back, so none is made that changes nothing.
+        old = held = self._get()
+        due = None if held is None else self._due(held)
+        if held is not None and due >= -(-(held["started"] + self.wait) // 1000) + self.keep // 1000 and timerValues.getCurrentWatermarkInMs() >= due:
+            held = None  # its time to be forgotten has come with this batch: the name is a new job's
+        before, held = (None, None) if held is None else (self._row(key, held), dict(held))
         for r in rows:
             if held is None:
                 held = {"started": r.at, "end": None, "seq": None, "state": None, "cause": None, "revision": 0, "closed": False}
             held["started"] = min(held["started"], r.at)
             if r.state in ENDS and (held["end"] is None or (r.at, r.seq) < (held["end"], held["seq"])):
                 held.update(end=r.at, seq=r.seq, state=r.state, cause=r.cause)
-        if not held["closed"]:  # an earlier start moves the timer, a new job has no old one
-            for at in list(self.handle.listTimers()):
-                self.handle.deleteTimer(at)
-            self.handle.registerTimer(-(-(held["started"] + self.wait) // 1000))
+        if (now := self._due(held)) != due:  # an earlier start or an end moves the timer, a new job has no old one
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(now)
         yield from self._told(key, before, held)
+        if held != old:
+            self.held.update(tuple(held[x] for x in FIELDS))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        held = dict(zip((x.split()[0] for x in KEPT.split(", ")), self.held.get()))
-        if held["closed"]:
+        held = self._get()
+        due, at = self._due(held), expiredTimerInfo.getExpiryTimeInMs()
+        over = due > -(-(held["started"] + self.wait) // 1000) or held["closed"]
+        if over and at >= due:
             self.held.clear()
             return
         before = self._row(key, held)
         held["closed"] = True
-        self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.keep // 1000)
+        self.handle.registerTimer(self._due(held))
         yield from self._told(key, before, held)
+        self.held.update(tuple(held[x] for x in FIELDS))
 
 
 def _events(events: DataFrame) -> DataFrame:

@@ -75,3 +75,40 @@ def test_outcomes(spark):
     rows = [("j", START, 1, "submit", None, None), ("j", START + datetime.timedelta(seconds=5), 2, "done", None, None), ("k", START, 3, "failed", None, None)]
     got = shown(jobs.replayed(spark.createDataFrame(rows, EVENTS), F.lit(START)))
     assert [x[:3] for x in got] == [("j", "failed", "done without a result"), ("k", "failed", "")]
+
+
+class Counted:
+    """A store of one job's state and timers that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name == "registerTimer":
+                self.timers.add(*args)
+            elif name == "deleteTimer":
+                self.timers.remove(*args)
+            elif name == "update":
+                self.value = args[0]
+            elif name == "clear":
+                self.value = None
+            return {"getValueState": self, "get": self.value, "exists": self.value is not None, "listTimers": sorted(self.timers), "getCurrentWatermarkInMs": 0, "getExpiryTimeInMs": min(self.timers, default=0)}.get(name)
+
+        return call
+
+
+def test_calls_of_the_store_are_few():
+    """A new job takes three calls, an event that changes nothing one, one that ends it four; an ended job has one timer, its last."""
+    from types import SimpleNamespace as Event
+
+    store, machine = Counted(), jobs.Machine(300_000_000, 600_000_000)
+    machine.init(store)
+    taken = []
+    for at, state in ((0, "submit"), (1000, "poll"), (2000, "done")):
+        before = store.calls
+        list(machine.handleInputRows(("j",), [Event(at=at, seq=at, state=state, cause=None)], Event(getCurrentWatermarkInMs=lambda: 0)))
+        taken.append(store.calls - before)
+    assert taken == [3, 1, 4] and store.timers == {900_000}
+    assert list(machine.handleExpiredTimer(("j",), None, Event(getExpiryTimeInMs=lambda: 900_000))) == [] and store.value is None
