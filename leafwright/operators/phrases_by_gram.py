@@ -21,6 +21,7 @@ from leafwright.functions.text import squeezed
 SIZE = 3
 #: Grams that a sieve holds one by one (8 MB), and bits of the bitmap beyond that (32 MB, a prime).
 EXACT, BITS = 1 << 20, 268435399
+MARKS = 20  # bits of a gram's place among the marks of a sieve, 1 MB
 
 
 def grams(text: str, size: int) -> np.ndarray:
@@ -32,6 +33,11 @@ def grams(text: str, size: int) -> np.ndarray:
     return out
 
 
+def mixed(found: np.ndarray) -> np.ndarray:
+    """Places of grams among the marks."""
+    return (found.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MARKS)
+
+
 class Sieve:
     """Which grams may be wanted."""
 
@@ -39,6 +45,8 @@ class Sieve:
         self.exact = wanted.count() <= exact
         if self.exact:
             self.held = np.sort(wanted.toArrow().column(0).to_numpy())
+            self.marks = np.zeros(1 << MARKS, bool)  # most grams fail here, so few are sorted
+            self.marks[mixed(self.held)] = True
             return
         at = wanted.select(F.pmod("gram", F.lit(BITS)).alias("x"))
         words = at.groupBy(F.expr("x div 64").cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x % 64 as int))")).alias("m")).toArrow()
@@ -47,10 +55,11 @@ class Sieve:
 
     def of(self, found: np.ndarray) -> np.ndarray:
         """Those of the grams that pass, each once."""
-        found = np.unique(found)
         if not self.exact:
+            found = np.unique(found)
             x = found % BITS
             return found[self.held[x // 64] >> (x % 64).astype(np.uint64) & np.uint64(1) > 0]
+        found = np.unique(found[self.marks[mixed(found)]])
         at = np.searchsorted(self.held, found)
         return found[np.append(self.held, -1)[at] == found]
 
@@ -107,8 +116,9 @@ def candidates(texts: DataFrame, plain: DataFrame, exact: int = EXACT) -> DataFr
 def hits(texts: DataFrame, plain: DataFrame, exact: int = EXACT) -> DataFrame:
     """(id, hits): how many phrases ``p`` each text holds, without white space; a phrase counts as often as it is given."""
     texts = texts.select("id", squeezed(F.coalesce("text", F.lit(""))).alias("t")).withColumn("h", F.xxhash64("t"))
-    met = candidates(texts.distinct(), plain, exact)
+    # Rows that repeat an id and a text are told from others by what was found, so that no texts are shuffled to be compared.
+    met = candidates(texts, plain, exact).distinct()
     sure = met.where(F.length("p") <= SIZE).select("id", "h", "times")
-    held = met.where(F.length("p") > SIZE).join(texts.distinct(), ["id", "h"]).where(F.contains("t", F.col("p"))).select("id", "h", "times")
+    held = met.where(F.length("p") > SIZE).join(texts, ["id", "h"]).where(F.contains("t", F.col("p"))).select("id", "h", "p", "times").distinct().drop("p")
     counts = sure.unionByName(held).groupBy("id", "h").agg(F.sum("times").alias("hits"))
     return texts.join(counts, ["id", "h"], "left").select("id", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
