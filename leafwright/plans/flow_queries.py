@@ -148,10 +148,11 @@ def _job_events(events):
         started, case when x.a < until then x.a when until <= now then until end as ended from k"""
 )
 def job_states_stream(spark, d):
-    """Last states of jobs whose events came as a stream, timeouts by timers."""
+    """Last states of jobs whose events came as a stream, timeouts by timers. All jobs come at once, so state is held by shards."""
     events, path = table(spark, d, "events"), _scratch(spark)
+    shards = max(1024, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     read = lambda s: _job_events(s.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]"))
-    jobs.follow(spark, read, f"{path}/states", f"{path}/progress", wait=4 * 3600, late="1 minute")
+    jobs.follow(spark, read, f"{path}/states", f"{path}/progress", wait=4 * 3600, late="1 minute", shards=shards)
     last = jobs.latest(spark, f"{path}/states")
     return last.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")})
 

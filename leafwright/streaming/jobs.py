@@ -6,10 +6,14 @@ watermark has passed that time. Events after the end change nothing. What
 a job keeps are the earliest start and the earliest end, so its states do not
 depend on how events are cut into micro-batches or come in within the watermark's delay.
 A second timer forgets the job ``keep`` after its time is over; only then its name is that of a new job.
+
+State is held by job, or by shard of jobs: the former touches only the jobs of a micro-batch, the latter costs a
+few calls a shard and not a job, and reads and writes all jobs of the shards that have events.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -21,6 +25,7 @@ NO_RESULT, TIMEOUT = "done without a result", "timeout"
 STATES = "job string, revision long, state string, cause string, started timestamp, ended timestamp"
 KEPT = "started long, end long, seq long, state string, cause string, revision long, closed boolean"
 FIELDS = [x.split()[0] for x in KEPT.split(", ")]
+SHARD = "shards int, timer long, jobs string"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -59,6 +64,21 @@ class Machine(StatefulProcessor):
         over = held["closed"] or (held["end"] is not None and held["end"] < until)
         return -(-until // 1000) + (self.keep // 1000 if over else 0)
 
+    def _gone(self, held: dict, watermark: Callable[[], int]) -> bool:
+        """Whether its time to be forgotten has come with this batch: the name is a new job's."""
+        due = self._due(held)
+        return due >= -(-(held["started"] + self.wait) // 1000) + self.keep // 1000 and watermark() >= due
+
+    @staticmethod
+    def _fed(held: dict | None, at: int, seq: int, state: str, cause: str | None) -> dict:
+        """The job, which is changed, after an event."""
+        if held is None:
+            held = dict.fromkeys(FIELDS) | {"started": at, "revision": 0, "closed": False}
+        held["started"] = min(held["started"], at)
+        if state in ENDS and (held["end"] is None or (at, seq) < (held["end"], held["seq"])):
+            held.update(end=at, seq=seq, state=state, cause=cause)
+        return held
+
     def _get(self) -> dict | None:
         held = self.held.get()
         return None if held is None else dict(zip(FIELDS, held))
@@ -73,15 +93,11 @@ class Machine(StatefulProcessor):
         # Each call of the state or a timer is a message to another process and back, so none is made that changes nothing.
         old = held = self._get()
         due = None if held is None else self._due(held)
-        if held is not None and due >= -(-(held["started"] + self.wait) // 1000) + self.keep // 1000 and timerValues.getCurrentWatermarkInMs() >= due:
-            held = None  # its time to be forgotten has come with this batch: the name is a new job's
+        if held is not None and self._gone(held, timerValues.getCurrentWatermarkInMs):
+            held = None
         before, held = (None, None) if held is None else (self._row(key, held), dict(held))
         for r in rows:
-            if held is None:
-                held = {"started": r.at, "end": None, "seq": None, "state": None, "cause": None, "revision": 0, "closed": False}
-            held["started"] = min(held["started"], r.at)
-            if r.state in ENDS and (held["end"] is None or (r.at, r.seq) < (held["end"], held["seq"])):
-                held.update(end=r.at, seq=r.seq, state=r.state, cause=r.cause)
+            held = self._fed(held, r.at, r.seq, r.state, r.cause)
         if (now := self._due(held)) != due:  # an earlier start or an end moves the timer, a new job has no old one
             if due is not None:
                 self.handle.deleteTimer(due)
@@ -104,21 +120,77 @@ class Machine(StatefulProcessor):
         self.held.update(tuple(held[x] for x in FIELDS))
 
 
+class Shard(Machine):
+    """All jobs of a shard: rows have job, too. There is one timer, the earliest that a job would have."""
+
+    def __init__(self, wait: int, keep: int, shards: int):
+        super().__init__(wait, keep)
+        self.shards = shards
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getValueState("shard", SHARD)
+
+    def _load(self) -> tuple[int | None, dict[str, dict]]:
+        shards, timer, jobs = self.held.get() or (self.shards, None, "[]")
+        if shards != self.shards:
+            raise ValueError(f"the stream was started with {shards} shards, not {self.shards}")
+        return timer, {job: dict(zip(FIELDS, held)) for job, *held in json.loads(jobs)}
+
+    def _save(self, timer: int | None, jobs: dict[str, dict]) -> None:
+        due = min(map(self._due, jobs.values()), default=None)
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if jobs:
+            self.held.update((self.shards, due, json.dumps([(job, *held.values()) for job, held in jobs.items()], ensure_ascii=False)))
+        else:
+            self.held.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs
+        (timer, jobs), before = self._load(), {}
+        for _, job, _, at, seq, state, cause in rows:
+            held = jobs.get(job)
+            if job not in before:
+                if held is not None and self._gone(held, watermark):
+                    held = None
+                before[job] = None if held is None else self._row(job, held)
+            jobs[job] = self._fed(held, at, seq, state, cause)
+        for job, was in before.items():
+            yield from self._told((job,), was, jobs[job])
+        self._save(timer, jobs)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        (_, jobs), now = self._load(), timerValues.getCurrentWatermarkInMs()
+        for job, held in jobs.items():
+            if self._due(held) <= now and (was := self._row(job, held))[0] == "open":
+                held["closed"] = True
+                yield from self._told((job,), was, held)
+        self._save(None, {job: held for job, held in jobs.items() if self._due(held) > now})  # the timer that has come is deleted by Spark
+
+
 def _events(events: DataFrame) -> DataFrame:
     """(job, at, seq, state, cause) from (job, at, seq, state, message, url)."""
     state, cause = outcome(F.col("state"), F.col("message"), F.col("url"))
     return events.where("job is not null and at is not null").select(F.col("job").cast("string"), F.col("at").cast("timestamp").alias("at"), F.col("seq").cast("long"), state.alias("state"), cause.alias("cause"))
 
 
-def states(events: DataFrame, wait: float = 300, late: str = "0 seconds", keep: float = 3600) -> DataFrame:
+def states(events: DataFrame, wait: float = 300, late: str = "0 seconds", keep: float = 3600, shards: int | None = None) -> DataFrame:
     """Changes of jobs' states, columns as in ``STATES``, from a stream of events (job, at, seq, state, message, url).
 
-    ``wait`` and ``keep`` are seconds. Revisions number a job's changes.
+    ``wait`` and ``keep`` are seconds. Revisions number a job's changes. ``shards``: state is held by that many shards of
+    jobs, each of which a task holds in memory, and not by job; a stream keeps the number that it was started with.
     """
     timed = _events(events).withWatermark("at", late).select("job", "at", F.unix_micros("at").alias("micros"), "seq", "state", "cause")
-    keyed = timed.select("job", F.col("at").alias("time"), F.col("micros").alias("at"), "seq", "state", "cause").groupBy("job")
-    raw = STATES.replace("timestamp", "long")
-    rows = keyed.transformWithState(Machine(int(wait * 1e6), int(keep * 1e6)), raw, "Update", "eventTime")
+    keyed = timed.select("job", F.col("at").alias("time"), F.col("micros").alias("at"), "seq", "state", "cause")
+    raw, spans = STATES.replace("timestamp", "long"), (int(wait * 1e6), int(keep * 1e6))
+    if shards is None:
+        rows = keyed.groupBy("job").transformWithState(Machine(*spans), raw, "Update", "eventTime")
+    else:
+        dealt = keyed.select(F.pmod(F.xxhash64("job"), F.lit(shards)).alias("shard"), "*").groupBy("shard")
+        rows = dealt.transformWithState(Shard(*spans, shards), raw, "Update", "eventTime")
     return rows.select("job", "revision", "state", "cause", F.timestamp_micros("started").alias("started"), F.timestamp_micros("ended").alias("ended"))
 
 

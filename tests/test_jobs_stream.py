@@ -3,6 +3,8 @@
 import datetime
 import random
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from leafwright.streaming import jobs
@@ -112,3 +114,79 @@ def test_calls_of_the_store_are_few():
         taken.append(store.calls - before)
     assert taken == [3, 1, 4] and store.timers == {900_000}
     assert list(machine.handleExpiredTimer(("j",), None, Event(getExpiryTimeInMs=lambda: 900_000))) == [] and store.value is None
+
+
+def fed(spark, tmp_path, name, **options):
+    """Follow the made events in five files, stopped after three; all changes told and the folder of progress."""
+    rows = sorted(made(), key=lambda x: x[1])
+    source, sink, progress = (str(tmp_path / name / x) for x in ("events", "states", "progress"))
+    read = lambda s: s.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
+    cuts = [0, 40, 41, 90, 150, len(rows)]
+    for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
+        put(spark, random.Random(k).sample(rows[i:j], j - i), source)
+        if k in (2, 4):
+            jobs.follow(spark, read, sink, progress, wait=300, late="1 second", **options)
+    return sorted(map(tuple, spark.read.parquet(sink).select("batch", *(x.split()[0] for x in jobs.STATES.split(", "))).collect()), key=repr), read, sink, progress
+
+
+def test_shards_tell_what_jobs_tell(spark, tmp_path):
+    """Every change in every micro-batch, over a restart, and each of few or many shards; another number of shards is refused."""
+    want = fed(spark, tmp_path, "jobs", keep=600)[0]
+    assert fed(spark, tmp_path, "many", keep=600, shards=97)[0] == want
+    got, read, sink, progress = fed(spark, tmp_path, "few", keep=600, shards=2)
+    assert got == want and len({x[0] for x in want}) >= 4
+    put(spark, [("open", START + datetime.timedelta(seconds=3701), 999, "poll", None, None)], str(tmp_path / "few" / "events"))
+    with pytest.raises(StreamingQueryException, match="started with 2 shards, not 1"):
+        jobs.follow(spark, read, sink, progress, wait=300, late="1 second", keep=600, shards=1)
+
+
+def test_shards_forget_and_take_what_is_odd(spark, tmp_path):
+    """A forgotten job's name is a new job's; a text with quotes, a long number or none as seq come back as they are."""
+    source, sink, progress = (str(tmp_path / x) for x in ("events", "states", "progress"))
+    read = lambda s: s.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
+    at = lambda s: START + datetime.timedelta(seconds=s, microseconds=1)
+    odd = 'j" \\\n\U0001f600'
+    put(spark, [("b", at(0), 2, "submit", None, None), (odd, at(0), None, "submit", None, None), (None, at(0), 3, "done", None, "u"), ("n", None, 4, "done", None, "u")], source)
+    # Equal times: the smallest seq is the end, told apart beyond 2^53.
+    put(spark, [(odd, at(9), 2**53 + 1, "done", None, "u"), (odd, at(9), 2**53, "failed", 'm" \\', None), (odd, at(10), None, "done", None, "u"), ("clock", at(350), 5, "submit", None, None)], source)
+    put(spark, [("b", at(299), 6, "done", None, "u")], source)  # late
+    put(spark, [("clock", at(1000), 7, "poll", None, None)], source)
+    put(spark, [("b", at(1001), 8, "submit", None, None), ("b", at(1002), 9, "done", None, "u")], source)  # a new run
+    jobs.follow(spark, read, sink, progress, wait=300, keep=600, shards=1)
+    got = {r.job: tuple(r)[1:] for r in jobs.latest(spark, sink).select("job", "state", "cause", "started", "ended").collect()}
+    assert got == {"b": ("done", None, at(1001), at(1002)), odd: ("failed", 'm" \\', at(0), at(9)), "clock": ("failed", "timeout", at(350), at(650))}
+
+
+def test_calls_of_the_store_do_not_grow_with_jobs():
+    """A thousand new jobs of a shard take three calls, their ends four, their time-outs and their end three and two."""
+    from types import SimpleNamespace as Some
+
+    store, machine, count = Counted(), jobs.Shard(300_000_000, 600_000_000, 1), 1000
+    machine.init(store)
+    told, taken = [], []
+    now = lambda ms: Some(getCurrentWatermarkInMs=lambda: ms)
+    rows = lambda n, at, state: [(0, f"j{k}", None, at, 1, state, None) for k in range(n)]
+    steps = [
+        lambda: machine.handleInputRows((0,), iter(rows(count, 0, "submit") + rows(count, 1000, "poll")), now(0)),
+        lambda: machine.handleInputRows((0,), iter(rows(count // 2, 2000, "done")), now(0)),
+        lambda: machine.handleExpiredTimer((0,), now(300_000), None),
+        lambda: machine.handleExpiredTimer((0,), now(900_000), None),
+    ]
+    for step in steps:
+        before = store.calls
+        told.append(len(list(step())))
+        taken.append(store.calls - before)
+        if step in steps[2:]:
+            store.timers.discard(min(store.timers))  # as Spark does
+    assert told == [count, count // 2, count // 2, 0] and max(taken) <= 4
+    assert store.value is None and not store.timers
+
+
+def test_the_query_holds_its_jobs_by_shards(spark, sf, monkeypatch):
+    """Python calls for each job would take hours over tens of millions of them."""
+    from leafwright.plans import QUERIES
+
+    seen, real = [], jobs.states
+    monkeypatch.setattr(jobs, "states", lambda events, **options: seen.append(options["shards"]) or real(events, **options))
+    assert QUERIES["job_states_stream"](spark, sf).count() > 0
+    assert seen and seen[0] >= 1024
